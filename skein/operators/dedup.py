@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.config import DEFAULTS, Settings
 from skein.operators.ranking import numbers
-from skein.session import stage
+from skein.session import fan_out, stage
 
 _BANDS = 4096
 
@@ -34,12 +34,11 @@ def _greedy(threshold: float, order: list[str]):
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
             unit = _unit(np.stack(block["embedding"].iloc[rows].to_numpy()).astype(np.float64))
-            close = unit @ unit.T >= threshold
-            chosen: list[int] = []
-            for i in range(len(rows)):
-                if not close[i, chosen].any():
-                    chosen.append(i)
-            keep[rows[chosen]] = True
+            close = np.tril(unit @ unit.T >= threshold, -1)
+            kept = ~close.any(axis=1)
+            for i in np.flatnonzero(~kept):
+                kept[i] = not (close[i] & kept).any()
+            keep[rows[kept]] = True
         return block[keep]
 
     return run
@@ -71,17 +70,16 @@ def collapse_copies(df: DataFrame, keys: list[str], copy_key: str, zero: str, or
 
 
 def greedy_dedup(df: DataFrame, keys: list[str], order: list[str], id_col: str, vectors: DataFrame,
-                 copy_key: str = "copy_key", zero: str = "is_zero", settings: Settings = DEFAULTS) -> DataFrame:
+                 settings: Settings = DEFAULTS) -> DataFrame:
     """Rows of ``df`` that survive, per group of ``keys`` in ascending ``order`` (last column unique).
 
-    ``df`` carries ``copy_key`` and ``zero`` but no vectors; ``vectors`` maps ``id_col`` to
-    ``embedding`` and is joined only for what the collapse leaves.
+    ``df`` carries no vectors; ``vectors`` maps ``id_col`` to ``embedding``. Run ``collapse_copies``
+    first. ``df`` should be a staged table: its group sizes are read before it is used.
     """
-    rows = stage(collapse_copies(df, keys, copy_key, zero, order), "dedup")
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    loaded = rows.join(vectors.select(id_col, "embedding"), id_col).filter(F.col("embedding").isNotNull())
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    loaded = df.join(vectors.select(id_col, "embedding"), id_col).filter(F.col("embedding").isNotNull())
     if largest <= settings.dedup_block_rows:
-        return loaded.groupBy(*keys).applyInPandas(
+        return fan_out(loaded, *keys).groupBy(*keys).applyInPandas(
             _greedy(settings.dedup_threshold, order), loaded.schema).select(df.columns)
     return _greedy_in_blocks(loaded, keys, order, id_col, settings).select(df.columns)
 

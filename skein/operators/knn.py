@@ -91,9 +91,12 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
     b_side = base.select(
         "base_id", F.col("embedding").alias("bvec"), F.pmod(F.xxhash64("base_id"), F.lit(b_blocks)).alias("bb"),
         F.explode(numbers(q_blocks)).alias("qb"))
-    cells = q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("qb", "bb")).applyInPandas(
+    # one task per cell: cells are small in bytes but heavy to compute, so they must not be coalesced
+    cells = q_blocks * b_blocks
+    q_side, b_side = q_side.repartition(cells, "qb", "bb"), b_side.repartition(cells, "qb", "bb")
+    best = q_side.groupBy("qb", "bb").cogroup(b_side.groupBy("qb", "bb")).applyInPandas(
         lambda left, right: _cell(k, metric, max_distance)(left, right) if len(left) and len(right)
         else _cell(k, metric, max_distance)(left.iloc[:0], right.iloc[:0]),
         "query_id bigint, base_id bigint, distance double")
-    return top_k(cells, ["query_id"], [F.round("distance", 6), F.col("base_id")], k, "rank").select(
+    return top_k(best, ["query_id"], [F.round("distance", 6), F.col("base_id")], k, "rank").select(
         "query_id", "rank", "base_id", "distance")

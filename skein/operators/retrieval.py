@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from skein.config import DEFAULTS, Settings
 from skein.functions import text as T, vectors as V
 from skein.operators import graph
-from skein.operators.dedup import greedy_dedup
+from skein.operators.dedup import collapse_copies, greedy_dedup
 from skein.operators.knn import nearest
 from skein.operators.ranking import budget_prefix, keep_one
 from skein.session import stage
@@ -151,28 +151,35 @@ def wiki_slot(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.coalesce(F.size("synthesized_from_sources"), F.lit(0)).alias("source_count"))
 
 
+def chunk_vectors(chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``(chunk_id, embedding)``; a chunk without a vector but with text is embedded on the fly."""
+    text = F.coalesce("text_content", F.lit(""))
+    made = F.when(text != "", V.hash_embedding(text, settings.embedding_dimensions))
+    return chunks.select("chunk_id", F.coalesce("embedding", made).alias("embedding")).filter(F.col("embedding").isNotNull())
+
+
+def distinct_vectors(pairs: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``pairs(query_id, chunk_id, tier, ...)`` reduced to the first chunk per distinct vector, plus ``cost``.
+
+    Copies score the same and all but the first are duplicates, so they leave before vectors move.
+    """
+    cost = chunks.select("chunk_id", T.estimate_tokens(F.coalesce("text_content", F.lit(""))).alias("cost"))
+    keys = chunk_vectors(chunks, settings).select(
+        "chunk_id", V.copy_key(F.col("embedding")).alias("copy_key"), V.is_zero(F.col("embedding")).alias("is_zero"))
+    keyed = pairs.join(keys.join(cost, "chunk_id"), "chunk_id")
+    return collapse_copies(keyed, ["query_id"], "copy_key", "is_zero", ["tier", "chunk_id"]).drop("copy_key", "is_zero")
+
+
 def score_chunks(pairs: DataFrame, vectors: DataFrame, chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Cosine of ``pairs(query_id, chunk_id, ...)`` against ``vectors(query_id, embedding)``.
 
-    Chunks without a vector but with text are embedded on the fly; other NULL vectors and vectors of
-    another length are skipped. Adds ``similarity``, ``neg_sim`` (sort key), ``copy_key``, ``is_zero``, ``cost``.
+    Vectors of another length are skipped. Adds ``similarity`` and the sort key ``neg_sim``.
     """
-    own = chunk_vectors(chunks, settings).select(
-        "chunk_id", F.col("embedding").alias("_vec"), V.copy_key(F.col("embedding")).alias("copy_key"),
-        V.is_zero(F.col("embedding")).alias("is_zero"), "cost")
+    own = chunk_vectors(chunks, settings).withColumnRenamed("embedding", "_vec")
     asked = vectors.select("query_id", F.col("embedding").alias("_query"))
-    scored = (
-        pairs.join(own, "chunk_id").join(asked, "query_id").filter(F.size("_vec") == F.size("_query"))
-        .withColumn("similarity", V.cosine_batch("_query", "_vec")).drop("_query", "_vec")
-    )
-    return scored.withColumn("neg_sim", -F.round("similarity", 6))
-
-
-def chunk_vectors(chunks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    text = F.coalesce("text_content", F.lit(""))
-    made = F.when(text != "", V.hash_embedding(text, settings.embedding_dimensions))
-    return chunks.select("chunk_id", F.coalesce("embedding", made).alias("embedding"),
-                         T.estimate_tokens(text).alias("cost")).filter(F.col("embedding").isNotNull())
+    both = pairs.join(own, "chunk_id").join(asked, "query_id").filter(F.size("_vec") == F.size("_query"))
+    return both.withColumn("similarity", V.cosine_batch("_query", "_vec")).drop("_query", "_vec").withColumn(
+        "neg_sim", -F.round("similarity", 6))
 
 
 def linked_chunks(seeds: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,10 +231,11 @@ def assemble(passes: DataFrame, seeds: DataFrame, data: Graph, settings: Setting
 
     funded = fixed.filter("elastic > 0").select("query_id")
     pairs = linked_chunks(seeds, nodes, data.chunk_entities).join(funded, "query_id", "left_semi")
-    scored = stage(score_chunks(pairs, passes, data.chunks, settings), "scored")
+    pairs = stage(pairs, "linked")
+    scored = stage(score_chunks(distinct_vectors(pairs, data.chunks, settings), passes, data.chunks, settings), "scored")
     fetched = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_fetched"))
     kept = stage(greedy_dedup(scored, ["query_id"], ["tier", "neg_sim", "chunk_id"], "chunk_id",
-                              chunk_vectors(data.chunks, settings), settings=settings), "kept")
+                              chunk_vectors(data.chunks, settings), settings), "kept")
     survived = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_after_dedup"))
     budgets = fixed.select("query_id", F.explode(F.array(
         F.struct(F.lit(0).alias("tier"), F.col("seed_budget").alias("room")),

@@ -123,8 +123,8 @@ FROM chunks JOIN documents d ON d.doc_id = source_id
 JOIN (SELECT source, min(doc_id) AS first_id FROM documents GROUP BY source) f ON f.source = d.source
 WHERE chunk_index = 0""")
 cte("links", """
-SELECT chunk_id, source_entity_id AS entity_id FROM relations
-UNION SELECT chunk_id, target_entity_id FROM relations""")
+SELECT chunk_id, source_entity_id AS entity_id FROM relations WHERE relation_type <> 'published_with'
+UNION SELECT chunk_id, target_entity_id FROM relations WHERE relation_type <> 'published_with'""")
 cte("adj", """
 SELECT source_entity_id AS node, target_entity_id AS nbr, relation_id, relation_type, true AS outgoing FROM relations
 UNION ALL SELECT target_entity_id, source_entity_id, relation_id, relation_type, false FROM relations""")

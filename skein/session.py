@@ -78,6 +78,11 @@ def stage_once(spark: SparkSession, key: tuple, name: str, build) -> DataFrame:
     return _STAGED[full_key]
 
 
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for Python work: few bytes per group but much work, so no coalescing by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def default_cores() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
 

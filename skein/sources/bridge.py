@@ -106,7 +106,7 @@ class Tables:
     # --- graph -------------------------------------------------------------
     def entity_names(self) -> DataFrame:
         words = F.split(T.strip(F.col("text")), rf"[{T.WHITESPACE}]+", 3)
-        return self.raw("documents").select(
+        return spread(self.raw("documents").select("doc_id", "lang", "text")).select(
             F.col("doc_id").alias("entity_id"),
             F.array_join(F.slice(words, 1, 2), " ").alias("name"),
             chosen(F.col("lang"), ENTITY_TYPES, "product").alias("entity_type"),
@@ -151,7 +151,8 @@ class Tables:
             "created_at", at_second((F.col("chunk_id") / CHUNKS_PER_SOURCE).cast("bigint")))
 
     def chunk_entities(self) -> DataFrame:
-        ends = self.relations().select(
+        """A chunk mentions both ends of its relation; being published together is no mention."""
+        ends = self.relations().filter("relation_type <> 'published_with'").select(
             "chunk_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id"))
         return self._staged("chunk_entities", ends.distinct)
 
@@ -172,7 +173,7 @@ class Tables:
                 .groupBy("source_entity_id")
                 .agg(F.array_sort(F.collect_list(F.struct("relation_id", "relation_type", "t_slug"))).alias("rels"))
             )
-            docs = self.raw("documents").select("doc_id", "text").join(
+            docs = spread(self.raw("documents").select("doc_id", "text")).join(
                 rel, F.col("doc_id") == F.col("source_entity_id"), "left")
             named = docs.join(self.named_slug(), F.col("doc_id") == F.col("id"))
             bullets = F.array_join(F.transform(
