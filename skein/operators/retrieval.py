@@ -16,6 +16,7 @@ from skein.functions import text as T, vectors as V
 from skein.operators import graph
 from skein.operators.dedup import collapse_copies, greedy_dedup
 from skein.operators.knn import nearest
+from skein.operators.planning import classify
 from skein.operators.ranking import budget_prefix, keep_one
 from skein.session import stage
 
@@ -343,17 +344,39 @@ def merge_results(parts: Retrieval, members: DataFrame) -> Retrieval:
     return Retrieval(seeds, nodes, edges, wiki, chunks, summary)
 
 
+def retrieve(questions: DataFrame, data: Graph, plans: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """Summary per question ``(query_id, text, embedding, ...)`` with its type; rejected plans get no retrieval.
+
+    Comparisons run per entity, every other type as a single pass.
+    """
+    plans = classify(questions, settings=settings) if plans is None else plans
+    kinds = stage(plans.filter("NOT rejected").select("query_id", "classified_type"), "plans")
+    compared = kinds.filter("classified_type = 'comparison'")
+    single = retrieve_single(questions.join(kinds.filter("classified_type <> 'comparison'").select("query_id"), "query_id", "left_semi"), data, settings)
+    parts = retrieve_comparison(questions.join(compared.select("query_id"), "query_id", "left_semi"), data, settings)
+    return single.summary.unionByName(parts.summary).join(kinds, "query_id")
+
+
 def context_blocks(result: Retrieval, data: Graph) -> DataFrame:
-    """Prompt context as ordered lines ``(query_id, block, pos, line)``; blocks without lines are absent."""
-    seed = result.seeds.select("query_id", F.lit(1).alias("block"), F.col("rank").cast("bigint").alias("pos"), F.concat(
+    """Prompt context as lines ``(query_id, block, pos, id, line)``, to be read by block and position.
+
+    Blocks are seed entities, edges, wiki page, seed chunks and hop chunks; empty blocks are absent.
+    """
+    seed = result.seeds.select("query_id", F.lit(1).alias("block"), F.col("rank").cast("double").alias("pos"), F.col("entity_id").alias("id"), F.concat(
         F.lit("- "), F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit("): "), F.col("description"),
         F.lit(" [degree="), F.col("degree").cast("string"), F.lit(", centrality="), F.col("relative_centrality"),
         F.lit("]")).alias("line"))
-    edge = result.edges.select("query_id", F.lit(2).alias("block"), F.col("relation_id").alias("pos"),
+    edge = result.edges.select("query_id", F.lit(2).alias("block"), F.col("hop").cast("double").alias("pos"), F.col("relation_id").alias("id"),
                                F.concat(F.lit("- "), F.col("line")).alias("line"))
-    wiki = result.wiki.select("query_id", F.lit(3).alias("block"), F.lit(0).cast("bigint").alias("pos"),
+    wiki = result.wiki.select("query_id", F.lit(3).alias("block"), F.lit(0.0).alias("pos"), F.col("entity_id").alias("id"),
                               F.col("content").alias("line"))
     chunk = with_chunk_text(result.chunks, data).select(
-        "query_id", (F.col("tier") + 4).alias("block"), F.col("chunk_id").alias("pos"),
+        "query_id", (F.col("tier") + 4).alias("block"), (-F.round("similarity", 6)).alias("pos"), F.col("chunk_id").alias("id"),
         F.concat(F.lit("- "), F.col("text_content")).alias("line"))
     return seed.unionByName(edge).unionByName(wiki).unionByName(chunk)
+
+
+def extractive_answers(result: Retrieval, data: Graph) -> DataFrame:
+    """``(query_id, chunk_id, source_file, answer)``: the text of the best chunk, seed chunks first."""
+    best = keep_one(result.chunks, ["query_id"], [F.col("tier"), -F.round("similarity", 6), F.col("chunk_id")])
+    return with_chunk_text(best, data).select("query_id", "chunk_id", "source_file", F.col("text_content").alias("answer"))

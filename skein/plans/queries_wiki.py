@@ -243,7 +243,7 @@ def export_render_hash(t: Tables):
 
 # the previous export: some pages did not exist, some had other content, some are gone since
 cte("previous", """
-SELECT path, CASE WHEN page_id % 5 = 0 THEN md5(content_hash) ELSE content_hash END AS content_hash FROM bundle WHERE page_id % 3 <> 0
+SELECT path, CASE WHEN contains(rendered, 'extends') THEN md5(content_hash) ELSE content_hash END AS content_hash FROM bundle WHERE length(rendered) <= 2500
 UNION ALL SELECT 'entities/gone-' || doc_id || '.md', sha256(text) FROM documents WHERE lang = 'de'""")
 cte("diffed", """
 SELECT path, CASE WHEN o.content_hash IS NULL THEN 'added' WHEN n.content_hash IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'modified' ELSE 'unchanged' END AS action,
@@ -251,9 +251,11 @@ SELECT path, CASE WHEN o.content_hash IS NULL THEN 'added' WHEN n.content_hash I
 
 
 def _diff(t: Tables):
-    new = stage(rendered(t).select("page_id", "path", "title", "content_hash"), "bundle")
-    changed = F.when(F.col("page_id") % 5 == 0, h(F.col("content_hash"))).otherwise(F.col("content_hash"))
-    old = new.filter("page_id % 3 <> 0").select("path", changed.alias("content_hash"))
+    """Against an earlier export that lacked the long pages, had other text where pages now say "extends", and had more files."""
+    new = stage(rendered(t).select("path", "title", "content_hash", F.contains("rendered", F.lit("extends")).alias("other"),
+                                   F.length("rendered").alias("n")), "bundle")
+    changed = F.when(F.col("other"), h(F.col("content_hash"))).otherwise(F.col("content_hash"))
+    old = new.filter("n <= 2500").select("path", changed.alias("content_hash"))
     gone = t.raw("documents").filter("lang = 'de'").select(
         F.concat(F.lit("entities/gone-"), F.col("doc_id"), F.lit(".md")).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     return E.manifest_diff(old.unionByName(gone), new), new

@@ -30,4 +30,6 @@ def graph_of(t: Tables) -> Graph:
 
 
 def load() -> None:
-    from skein.plans import queries_graph, queries_ingest, queries_queue, queries_retrieval, queries_text, queries_wiki  # noqa: F401
+    from skein.plans import (  # noqa: F401
+        queries_text, queries_graph, queries_ingest, queries_queue, queries_retrieval, queries_wiki,
+    )

@@ -101,11 +101,14 @@ def element_sections(elements_col: Column) -> Column:
 
 
 def html_chunks(pages: DataFrame) -> DataFrame:
-    """Chunk rows of each page: tables and images first, then packed text, numbered in that order.
+    return element_chunks(parsed(pages))
+
+
+def element_chunks(read: DataFrame) -> DataFrame:
+    """Chunk rows of ``read(source_id, elements)``: tables first, then packed text, numbered in that order.
 
     Images without bytes of their own leave no chunk, as markup only refers to them.
     """
-    read = parsed(pages)
     own = F.transform(F.filter("elements", lambda e: e["kind"] == "table"), lambda e: F.struct(
         F.lit("table").alias("chunk_type"), e["text"].alias("text"), F.lit("").alias("heading")))
     text = F.transform(pack_sections(element_sections(F.col("elements"))), lambda c: F.struct(
