@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.config import DEFAULTS, Settings
@@ -24,22 +26,27 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, vectors / np.where(norms > 0, norms, 1.0), 0.0)
 
 
+def _matrix(table: pa.Table, rows: np.ndarray, dim: int) -> np.ndarray:
+    flat = table["embedding"].take(pa.array(rows)).combine_chunks().flatten()
+    return _unit(flat.to_numpy(zero_copy_only=False).reshape(len(rows), dim).astype(np.float64))
+
+
 def _greedy(threshold: float, order: list[str]):
     """Kept rows of one block: a row is dropped when a kept earlier row of equal length is too close."""
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(order, kind="stable").reset_index(drop=True)
-        keep = np.zeros(len(block), dtype=bool)
-        lengths = block["embedding"].map(len).to_numpy()
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in order])
+        keep = np.zeros(block.num_rows, dtype=bool)
+        lengths = pc.list_value_length(block["embedding"]).to_numpy()
         for dim in np.unique(lengths):
             rows = np.flatnonzero(lengths == dim)
-            unit = _unit(np.stack(block["embedding"].iloc[rows].to_numpy()).astype(np.float64))
+            unit = _matrix(block, rows, int(dim))
             close = np.tril(unit @ unit.T >= threshold, -1)
             kept = ~close.any(axis=1)
             for i in np.flatnonzero(~kept):
                 kept[i] = not (close[i] & kept).any()
             keep[rows[kept]] = True
-        return block[keep]
+        return block.filter(pa.array(keep))
 
     return run
 
@@ -79,7 +86,7 @@ def greedy_dedup(df: DataFrame, keys: list[str], order: list[str], id_col: str,
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     loaded = df.join(vectors.select(id_col, "embedding"), id_col).filter(F.col("embedding").isNotNull())
     if largest <= settings.dedup_block_rows:
-        return fan_out(loaded, *keys).groupBy(*keys).applyInPandas(
+        return fan_out(loaded, *keys).groupBy(*keys).applyInArrow(
             _greedy(settings.dedup_threshold, order), loaded.schema).select(df.columns)
     return _greedy_in_blocks(loaded, keys, order, id_col, settings).select(df.columns)
 
@@ -116,7 +123,7 @@ def _greedy_in_blocks(loaded: DataFrame, keys: list[str], order: list[str], id_c
                 _drop_close(settings.dedup_threshold, [*keys, id_col]),
                 ", ".join(f"{c} {loaded.schema[c].dataType.simpleString()}" for c in (*keys, id_col)))
             block = block.join(hit.distinct(), [*keys, id_col], "left_anti").select(block.columns)
-        fresh = block.groupBy(*keys).applyInPandas(_greedy(settings.dedup_threshold, order), block.schema)
+        fresh = block.groupBy(*keys).applyInArrow(_greedy(settings.dedup_threshold, order), block.schema)
         fresh = stage(fresh, "dedup-kept")
         kept = fresh if kept is None else kept.unionByName(fresh)
     return kept

@@ -27,12 +27,17 @@ ANSWER_SCHEMA = (
 def offline_reader(text: Column) -> Column:
     """Stand-in for a model: capitalised words are concepts, neighbours in order of first use are related."""
     words = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{Lu}\p{Ll}+"), F.lit(0)))
-    entities = F.transform(words, lambda w: F.struct(
-        w.alias("surface_form"), w.alias("canonical_name"), F.lit("concept").alias("entity_type"),
-        F.concat(F.lit("Named "), w).alias("description")))
-    links = F.transform(F.slice(words, 2, 1 << 30), lambda _, i: F.struct(
-        i.alias("source_idx"), (i + 1).alias("target_idx"), F.lit("next_to").alias("relation_type")))
-    return F.to_json(F.struct(entities.alias("entities"), links.alias("relations")))
+
+    def answer(found: Column) -> Column:
+        entities = F.transform(found, lambda w: F.struct(
+            w.alias("surface_form"), w.alias("canonical_name"), F.lit("concept").alias("entity_type"),
+            F.concat(F.lit("Named "), w).alias("description")))
+        links = F.transform(F.slice(found, 2, 1 << 30), lambda _, i: F.struct(
+            i.alias("source_idx"), (i + 1).alias("target_idx"), F.lit("next_to").alias("relation_type")))
+        return F.to_json(F.struct(entities.alias("entities"), links.alias("relations")))
+
+    # the lambda binds the words, so the text is scanned once
+    return F.get(F.transform(F.array(words), answer), F.lit(0))
 
 
 def extract(chunks: DataFrame, reader: Callable[[Column], Column] = offline_reader) -> DataFrame:
@@ -43,21 +48,23 @@ def extract(chunks: DataFrame, reader: Callable[[Column], Column] = offline_read
 
 
 def parse_answers(read: DataFrame) -> DataFrame:
-    parsed = F.from_json("answer", ANSWER_SCHEMA)
+    read = read.withColumn("parsed", F.from_json("answer", ANSWER_SCHEMA))
     complete = (
-        parsed["entities"].isNotNull() & parsed["relations"].isNotNull()
-        & ~F.exists(parsed["entities"], lambda e: e["surface_form"].isNull() | e["canonical_name"].isNull()
+        F.col("parsed.entities").isNotNull() & F.col("parsed.relations").isNotNull()
+        & ~F.exists("parsed.entities", lambda e: e["surface_form"].isNull() | e["canonical_name"].isNull()
                     | e["entity_type"].isNull() | e["description"].isNull())
-        & ~F.exists(parsed["relations"], lambda r: r["source_idx"].isNull() | r["target_idx"].isNull()
+        & ~F.exists("parsed.relations", lambda r: r["source_idx"].isNull() | r["target_idx"].isNull()
                     | r["relation_type"].isNull())
     )
     error = (
         F.when(F.coalesce("text_content", F.lit("")) == "", "empty text")
         .when(F.col("answer").isNull(), "no tool call")
+        .when(complete, F.lit(None).cast("string"))
         .when(F.try_parse_json("answer").isNull(), "invalid JSON")
-        .when(~F.coalesce(complete, F.lit(False)), "answer does not match the schema")
+        .otherwise("answer does not match the schema")
     )
-    return read.select("chunk_id", F.when(error.isNull(), parsed).alias("result"), error.alias("error"))
+    judged = read.select("chunk_id", "parsed", error.alias("error"))
+    return judged.select("chunk_id", F.when(F.col("error").isNull(), F.col("parsed")).alias("result"), "error")
 
 
 def candidates(extracted: DataFrame) -> DataFrame:

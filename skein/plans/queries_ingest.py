@@ -9,7 +9,7 @@ from skein.functions.text import lock_key
 from skein.operators import resolution as X
 from skein.plans.oracles import cte
 from skein.plans.registry import query
-from skein.session import spread
+from skein.session import spread, stage
 from skein.sources import html
 from skein.sources.bridge import Tables
 from skein.sources.uploads import validate_uploads
@@ -84,7 +84,7 @@ def _resolution(t: Tables) -> X.Resolution:
     earlier = words.select(lock_key(F.concat(F.lit("earlier|"), "name")).alias("entity_id"), "name",
                            F.lit("concept").alias("entity_type"),
                            V.hash_embedding(F.concat("name", F.lit(" Named "), "name"), 64).alias("embedding"))
-    read = X.extract(t.chunks())
+    read = stage(X.extract(t.chunks()), "extracted")
     return X.resolve(X.candidates(read), X.named_relations(read), earlier)
 
 
