@@ -296,7 +296,7 @@ def retrieve_comparison(questions: DataFrame, data: Graph, settings: Settings =
     """One pass per compared entity, all passes of all questions in one job, merged per question.
 
     The entities are the given ids or the vector seeds; each gets an equal share of the budget and ids
-    that do not exist are left out. Without any entity the question runs as a single pass.
+    that do not exist are left out. A question without any known entity runs as a single pass.
     """
     passes = _passes(questions, settings)
     wanted = find_seeds(passes, data.entities, settings).select("query_id", "rank", "entity_id")
@@ -311,7 +311,7 @@ def retrieve_comparison(questions: DataFrame, data: Graph, settings: Settings =
         F.floor(F.col("budget") / F.col("n")).cast("bigint").alias("budget")), "parts")
     seeds = seeds_by_id(split.select("query_id", F.lit(1).alias("rank"), "entity_id"), data.entities)
     merged = merge_results(assemble(split, seeds, data, settings), split.select("query_id", "parent_id", "part"))
-    rest = passes.join(split.select(F.col("parent_id").alias("query_id")).distinct(), "query_id", "left_anti")
+    rest = questions.join(split.select(F.col("parent_id").alias("query_id")).distinct(), "query_id", "left_anti")
     if rest.isEmpty():
         return merged
     alone = retrieve_single(rest, data, settings)
