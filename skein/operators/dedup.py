@@ -126,4 +126,6 @@ def _greedy_in_blocks(loaded: DataFrame, keys: list[str], order: list[str], id_c
         fresh = block.groupBy(*keys).applyInArrow(_greedy(settings.dedup_threshold, order), block.schema)
         fresh = stage(fresh, "dedup-kept")
         kept = fresh if kept is None else kept.unionByName(fresh)
+        if number % 16 == 15:  # keeps the plan short when there are many blocks
+            kept = stage(kept, "dedup-kept")
     return kept

@@ -69,7 +69,7 @@ def _cell(k: int, metric: str, max_distance: float | None):
     return run
 
 
-def _grid(n_query: int, n_base: int, rows: int, cells: int) -> tuple[int, int]:
+def grid(n_query: int, n_base: int, rows: int, cells: int) -> tuple[int, int]:
     """Block counts: cells of at most ``rows`` x ``rows``, at least ``cells`` of them, least copying."""
     q_blocks, b_blocks = max(1, -(-n_query // rows)), max(1, -(-n_base // rows))
     while q_blocks * b_blocks < cells and n_query * n_base > cells * 10_000:
@@ -90,7 +90,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
     spark = base.sparkSession
     queries = queries.filter(F.col("embedding").isNotNull())
     base = base.filter(F.col("embedding").isNotNull())
-    q_blocks, b_blocks = _grid(queries.count(), base.count(), settings.knn_block_rows,
+    q_blocks, b_blocks = grid(queries.count(), base.count(), settings.knn_block_rows,
                                spark.sparkContext.defaultParallelism)
     q_side = queries.select(
         "query_id", F.col("embedding").alias("qvec"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),

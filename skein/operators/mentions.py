@@ -9,9 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from skein.operators.knn import grid
 from skein.operators.ranking import numbers
 
-NAMES_PER_BLOCK = 200_000
+ROWS_PER_BLOCK = 100_000
 
 
 def _scan(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
@@ -44,9 +45,7 @@ def _scan(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
 
 def occurrences(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``(text_id, entity_id)`` for every ``names(entity_id, needle)`` contained in ``texts(text_id, haystack)``."""
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    name_blocks = max(1, -(-names.count() // NAMES_PER_BLOCK))
-    text_blocks = max(1, cores, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    text_blocks, name_blocks = grid(texts.count(), names.count(), ROWS_PER_BLOCK, texts.sparkSession.sparkContext.defaultParallelism)
     left = texts.select("text_id", "haystack", F.pmod(F.xxhash64("text_id"), F.lit(text_blocks)).alias("tb"),
                         F.explode(numbers(name_blocks)).alias("nb"))
     right = names.select("entity_id", "needle", F.pmod(F.xxhash64("entity_id"), F.lit(name_blocks)).alias("nb"),

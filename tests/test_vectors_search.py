@@ -5,7 +5,7 @@ import pytest
 
 from skein.config import DEFAULTS
 from skein.operators.dedup import collapse_copies, greedy_dedup
-from skein.operators.knn import _grid, nearest
+from skein.operators.knn import grid, nearest
 from skein.operators.retrieval import find_seeds
 from skein.session import stage
 
@@ -20,7 +20,7 @@ def vectors(n, dims, seed, copies=0):
 
 @pytest.mark.parametrize("metric,limit", [("cosine", None), ("l2", 4.0)])
 @pytest.mark.parametrize("block", [7, 20_000])
-def test_nearest_is_exact_for_any_grid(spark, metric, limit, block):
+def test_nearest_is_exact_for_anygrid(spark, metric, limit, block):
     base, asked = vectors(60, 8, 1, copies=20), vectors(9, 8, 2)
     b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)] + [(99, None), (98, [1.0])], "base_id long, embedding array<float>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<float>")
@@ -36,8 +36,8 @@ def test_nearest_is_exact_for_any_grid(spark, metric, limit, block):
 
 
 def test_grid_bounds_cells():
-    assert _grid(10, 10, 20, 8) == (1, 1)
-    q, b = _grid(1_000_000, 1_000, 20_000, 100)
+    assert grid(10, 10, 20, 8) == (1, 1)
+    q, b = grid(1_000_000, 1_000, 20_000, 100)
     assert q >= 50 and q * b >= 100
 
 
