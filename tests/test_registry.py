@@ -1,5 +1,8 @@
 """Every registered query against its SQL twin at the smallest scale, and the driver contract."""
 
+import contextlib
+import io
+
 import pytest
 
 import __spark_entry__ as entry
@@ -22,6 +25,9 @@ def test_contract(spark):
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        df.explain()
+    assert "CartesianProduct" not in plan.getvalue() and "NestedLoopJoin" not in plan.getvalue()
     rows = df.collect()
     if name in entry.oracle_sql():
         result = con.execute(entry.oracle_sql()[name])
