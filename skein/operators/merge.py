@@ -46,6 +46,8 @@ def merge_relations(relations: DataFrame, merges: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """The row of least id per key, aggregated on the map side; copies never reach one window task."""
     rest = [c for c in df.columns if c not in keys]
+    if rest == [id_col]:  # a plain minimum is a hash aggregate; a struct needs a sorted one
+        return df.groupBy(*keys).agg(F.min(id_col).alias(id_col)).select(df.columns)
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(id_col)).alias("r")).select(
         *[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
 
