@@ -22,6 +22,12 @@ K = 5
 WINDOW = 10
 
 
+def _each(values) -> Column:
+    """One row for each element. The outer form: from the inner one the optimizer infers a filter on the array's size, which it
+    then pushes below the arrays it is made of, so that these would be made again for each of their elements."""
+    return F.explode_outer(values)
+
+
 def _at(words: str, first: Column, n: int) -> list[Column]:
     return [F.element_at(words, first + j) for j in range(n)]
 
@@ -74,16 +80,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     short = sorted(r.n for r in windows.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 numbers
     passages = windows.select("n", "passage").distinct()
     items = _hashed(benchmark, item_col, item_text_col)
-    marks = _fingerprints(items.where(F.size("__words") >= window), k, window, []).select(F.explode("__f").alias("mark"))
+    marks = _fingerprints(items.where(F.size("__words") >= window), k, window, []).select(_each("__f").alias("mark"))
     for n in short:
-        marks = marks.unionAll(items.where(F.size("__words") == n).select(F.explode(_grams("__h", n)).alias("mark")))
-    marks = stage(marks.distinct(), "bench-marks")
+        marks = marks.unionAll(items.where(F.size("__words") == n).select(_each(_grams("__h", n)).alias("mark")))
+    marks = stage(marks.where("mark is not null").distinct(), "bench-marks")
 
     hashed = _hashed(docs, id_col, text_col)
     fingers = _fingerprints(hashed, k, window, short)
     # the null element carries the document itself through the join
     flat = fingers.select("__id", "__t", F.size("__words").cast("long").alias("n_words"),
-                          F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "__f")).alias("__mark"))
+                          _each(F.concat(F.array(F.lit(None).cast("bigint")), "__f")).alias("__mark"))
     met = flat.join(marks.withColumn("__met", F.lit(True)), F.col("__mark") == F.col("mark"), "left")
     met = stage(met.where("__mark is null or __met").select("__id", "__t", "n_words", "__mark"), "doc-marks")
     rows = met.where("__mark is null").select("__id", "__t", "n_words")
@@ -106,7 +112,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         places = F.coalesce(places, F.array().cast("array<int>"))
         cuts.append(F.transform(places, lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"),
                                                           F.concat_ws(" ", F.slice("__words", s + 1, n)).alias("passage"))))
-    spans = near.select("__id", "__t", F.explode(reduce(F.concat, cuts)).alias("c")).select("__id", "__t", "c.*")
+    spans = near.select("__id", "__t", _each(reduce(F.concat, cuts)).alias("c")).where("c is not null").select("__id", "__t", "c.*")
     return rows, stage(spans.join(passages, ["n", "passage"], "left_semi"), "doc-hits"), windows
 
 
