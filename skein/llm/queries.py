@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact, langid, licenses, pii, shards
+from skein.llm import decontaminate, exact, langid, licenses, mixing, pii, shards, tokenfiles
 from skein.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_shard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
+
+
+@query("op7_token_files")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_mix_sources")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir)).drop("source", "tie")
