@@ -46,9 +46,14 @@ def _winnow(grams: str, run: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
-def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__id``, ``__t`` (tells rows of one id apart), ``__words`` and ``__h``, the words' hashes."""
-    base = df.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__t"), words_of(F.col(text_col)).alias("__words"))
+def _raw(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id``, ``__t`` (tells rows of one id apart) and ``__text``."""
+    return df.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__t"), F.col(text_col).alias("__text"))
+
+
+def _hashed(raw: DataFrame) -> DataFrame:
+    """The text's words in its place as ``__words``, and their hashes ``__h``."""
+    base = raw.withColumn("__words", words_of(F.col("__text"))).drop("__text")
     return base.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
 
 
@@ -79,14 +84,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     windows = stage(benchmark_windows(benchmark, item_col, item_text_col, window), "bench-windows")
     short = sorted(r.n for r in windows.where(F.col("n") < window).select("n").distinct().collect())  # at most window - 1 numbers
     passages = windows.select("n", "passage").distinct()
-    items = _hashed(benchmark, item_col, item_text_col)
+    items = _hashed(_raw(benchmark, item_col, item_text_col))
     marks = _fingerprints(items.where(F.size("__words") >= window), k, window, []).select(_each("__f").alias("mark"))
     for n in short:
         marks = marks.unionAll(items.where(F.size("__words") == n).select(_each(_grams("__h", n)).alias("mark")))
     marks = stage(marks.where("mark is not null").distinct(), "bench-marks")
 
-    hashed = _hashed(docs, id_col, text_col)
-    fingers = _fingerprints(hashed, k, window, short)
+    raw = _raw(docs, id_col, text_col)
+    fingers = _fingerprints(_hashed(raw), k, window, short)
     # the null element carries the document itself through the join
     flat = fingers.select("__id", "__t", F.size("__words").cast("long").alias("n_words"),
                           _each(F.concat(F.array(F.lit(None).cast("bigint")), "__f")).alias("__mark"))
@@ -96,8 +101,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     found = met.where("__mark is not null").groupBy(F.col("__id").alias("__i"), F.col("__t").alias("__u")).agg(
         F.collect_set("__mark").alias("__marks"))
 
-    near = hashed.join(found, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "inner")
-    near = near.dropDuplicates(["__id", "__t"]).withColumn("__g", _grams("__h", k))
+    # texts are joined as they are, arrays are made of those that are left
+    near = raw.join(found, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "inner")
+    near = _hashed(near.dropDuplicates(["__id", "__t"])).withColumn("__g", _grams("__h", k))
     last = F.size("__words") - window
     around = F.array_distinct(F.flatten(F.transform(
         F.filter(F.sequence(F.lit(0), F.size("__g") - 1), lambda p: F.array_contains("__marks", F.get("__g", p))),
