@@ -181,12 +181,22 @@ def fit(docs: DataFrame, bound: int = SAMPLE_ROWS, **columns) -> Model:
     return train([texts[i] for i in order], [rows["lang"][i] for i in order])
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and ``lang_pred``, ``score``, ``rejected`` (replaced where a column has that name).
 
     ``lang_pred`` is a learned label, or ``und`` with score 0 for texts that are null or have no letter. ``rejected`` is true
     for ``und`` and below the calibrated threshold. Only the text is looked at; every row is predicted by itself.
     """
+    kept = docs.drop(*[c for c in ("lang_pred", "score", "rejected") if c in docs.columns])
+    return kept.withColumn("__guess", _guess(model)(F.col(text_col))).select("*", "__guess.*").drop("__guess")
+
+
+def known_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs``, with just its columns, without the rejected rows."""
+    return docs.where(~_guess(model)(F.col(text_col))["rejected"])
+
+
+def _guess(model: Model):
     labels = np.array([*model.labels, UNKNOWN], object)
 
     def answer(part: pd.Series) -> pd.DataFrame:
@@ -202,6 +212,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             parts = [answer(batch.iloc[i:i + SLICE_ROWS]) for i in range(0, len(batch), SLICE_ROWS)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
-    guess = F.pandas_udf(run, "lang_pred string, score double, rejected boolean", F.PandasUDFType.SCALAR_ITER)
-    kept = docs.drop(*[c for c in ("lang_pred", "score", "rejected") if c in docs.columns])
-    return kept.withColumn("__guess", guess(F.col(text_col))).select("*", "__guess.*").drop("__guess")
+    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean", F.PandasUDFType.SCALAR_ITER)

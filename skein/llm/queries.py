@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact, langid, licenses, linededup, mixing, pii, shards, tokenfiles
+from skein.llm import decontaminate, exact, langid, licenses, linededup, mixing, neardup, pii, shards, tokenfiles
 from skein.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_kept", "n_near", F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"),
                       F.sha2(F.encode(F.coalesce("kept_text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
