@@ -4,18 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate
+from skein.llm import decontaminate, langid, mixing, neardup, shards
 from skein.session import stage
 
 
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is told with enough confidence; the model learns from the stage's own labelled rows."""
+    return langid.known_languages(docs, langid.fit(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.near_free(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontaminate", benchmark_free)]
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as often as the mix drew the block where it begins."""
+    return mixing.mixed_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every row: shard and position."""
+    return shards.shard_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontamination), ("mix", source_mix), ("shard", sharding)]
 
-# The stages hash, draw and train: no SQL says the same, tests/llm compares them with brute force.
+# The stages train, hash and draw: no SQL says the same, tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
