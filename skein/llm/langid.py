@@ -212,4 +212,4 @@ def _guess(model: Model):
             parts = [answer(batch.iloc[i:i + SLICE_ROWS]) for i in range(0, len(batch), SLICE_ROWS)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
 
-    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean")

@@ -21,6 +21,7 @@ from skein.session import stage
 
 MIN_CHARS = 16           # shorter lines must be equal
 BROADCAST_KEYS = 4_000_000  # shared keys of 8 bytes: at most 32 MB go to every executor, beyond that the join shuffles
+EMIT_ROWS = 200_000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
@@ -75,7 +76,9 @@ def _spread(codes: np.ndarray) -> np.ndarray:
 def _sums(line: str) -> np.ndarray:
     """Prefix sums of a polynomial hash modulo 2 to the 64, of which every part and every variant follows in constant time."""
     codes = _spread(_codes(line))
-    powers = np.cumprod(np.concatenate([[1], np.full(len(codes), _BASE, np.uint64)]).astype(np.uint64))[:-1]
+    powers = np.full(len(codes), _BASE, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers)
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers)])
 
 
@@ -119,18 +122,26 @@ def _near(lines: DataFrame, pieces: int) -> DataFrame:
     """(h1, h2, by): lines with an earlier line within one edit, which ``by`` names. ``lines``: h1, h2, first, line."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                found = piece_keys(row.line, pieces)
-                yield pd.DataFrame({"h1": row.h1, "h2": row.h2, "key": [k for k, _, _ in found], "a": [a for _, a, _ in found],
-                                    "b": [b for _, _, b in found]})
+            yield pd.DataFrame([(h1, h2, *k) for h1, h2, line in zip(batch["h1"], batch["h2"], batch["line"]) for k in piece_keys(line, pieces)],
+                               columns=["h1", "h2", "key", "a", "b"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                places = sorted({p for a, b in row.ranges for p in range(a, b)})
-                marks = variants(row.line, 0, len(row.line))[places]
-                yield pd.DataFrame({"h1": row.h1, "h2": row.h2, "place": [-1, *places],
-                                    "mark": np.concatenate([_sums(row.line)[-1:].view(np.int64), marks])})
+            held: list[tuple] = []
+            size = 0
+            for h1, h2, line, ranges in zip(batch["h1"], batch["h2"], batch["line"], batch["ranges"]):
+                places = np.unique(np.concatenate([np.arange(a, b) for a, b in ranges]))
+                marks = np.concatenate([_sums(line)[-1:].view(np.int64), variants(line, 0, len(line))[places]])
+                held.append((np.full(len(marks), h1), np.full(len(marks), h2), np.append(-1, places), marks))
+                size += len(marks)
+                if size > EMIT_ROWS:
+                    yield columns_of(held)
+                    held, size = [], 0
+            if held:
+                yield columns_of(held)
+
+    def columns_of(held: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(["h1", "h2", "place", "mark"], map(np.concatenate, zip(*held)))))
 
     keyed = stage(lines.select("h1", "h2", "line").mapInPandas(keys, "h1 long, h2 long, key long, a int, b int"), "line-pieces")
     shared = stage(_shared(keyed), "line-piece-keys")
