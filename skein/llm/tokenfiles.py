@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 import io
 import json
+import os
+import re
 import struct
 import uuid
 from zlib import crc32
@@ -34,8 +36,11 @@ END_ID = 2               # appended to every document
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22       # a file ends after the document that reaches this
 LEVEL = 3
-CACHE_WORDS = 250_000
-MISS_CHARS = 1 << 18
+WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+SLICE_CHARS = 1 << 19
+# Latin words without an apostrophe: letters that change by case only, and what can't be part of a letter run
+_PLAIN = re.compile(r"[\x00-&(-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PARTS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff]+")
 _DOCUMENTS = np.dtype([("id", "<i8"), ("known", "<u1"), ("tokens", "<i8")])
 
 
@@ -111,38 +116,92 @@ class TokenFile:
 
 # --- tokenising --------------------------------------------------------------------------------------------------------------
 
+class Known:
+    """Ids of strings seen before, as slices of one array. When it is full, strings not met again since they came are forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.number, self.used = most, {}, 0
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+
+    def missing(self, strings: set[str]) -> list[str]:
+        """The strings not known yet; makes room for them."""
+        fresh = strings.difference(self.number)
+        if len(self.number) + len(fresh) > self.most:
+            names = list(self.number)
+            keep = np.flatnonzero(self.again[:len(names)])[-(self.most // 2):]
+            ids, sizes = self.ids(keep), self.size[keep]
+            self.number, self.used = {}, 0
+            self.add([names[i] for i in keep], ids, sizes)
+            fresh = strings.difference(self.number)
+        return list(fresh)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        total, n = self.used + len(ids), len(self.number)
+        while total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(strings) > len(self.size):
+            self.first, self.size, self.again = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size, self.again))
+        self.flat[self.used:total] = ids
+        self.size[n:n + len(strings)] = sizes
+        self.first[n:n + len(strings)] = self.used + np.cumsum(sizes) - sizes
+        self.again[n:n + len(strings)] = False
+        self.number.update(zip(strings, range(n, n + len(strings))))
+        self.used = total
+
+    def find(self, strings: list[str], older: int) -> np.ndarray:
+        """Numbers of known strings; those below ``older`` count as met again."""
+        at = np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+        self.again[at[at < older]] = True
+        return at
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
-    """Ids of whole texts. Words between blanks are encoded once and kept: this vocabulary's rules never look across a blank.
+    """Ids of whole texts.
 
-    ``split_words`` must be off for vocabularies whose pieces hold blanks.
+    With ``word_rules`` texts are cut at blanks, and plain Latin words into letters in lower case and what stands between them.
+    That is right for vocabularies that fold case, drop white space and never join letters with other characters; words with
+    an apostrophe, a special token or other characters stay whole. Pieces are encoded once and kept. New ones go to the
+    tokenizer as one text, with a special token between them, which it never joins with what stands beside it.
     """
 
-    def __init__(self, path: str, split_words: bool = True):
+    def __init__(self, path: str, word_rules: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split = Tokenizer.from_file(path), split_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker for each core
+        self.tokenizer, self.word_rules = Tokenizer.from_file(path), word_rules
+        special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark_id, self.mark = min(special.items()) if special else (None, None)
+        self.words, self.pieces = Known(WORDS_KEPT), Known(PIECES_KEPT)
+
+    def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings, number of ids of each)."""
+        if self.mark is None or any(self.mark in s for s in strings):
+            found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+            return np.array([i for e in found for i in e.ids], np.uint32), np.array([len(e.ids) for e in found])
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(strings)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        sizes = [len(e) for e in found]
-        total, n = self.used + sum(sizes), len(self.known)
-        while total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.size):
-            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
-        self.flat[self.used:total] = np.concatenate([np.array(e.ids, np.uint32) for e in found])
-        self.size[n:n + len(words)] = sizes
-        self.first[n:n + len(words)] = self.used + np.cumsum([0, *sizes[:-1]])
-        self.known.update(zip(words, range(n, n + len(words))))
-        self.used = total
+        cut = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in words]
+        fresh = self.pieces.missing(set().union(*cut))
+        older = len(self.pieces.number)
+        odd = [p for p in fresh if self.mark and self.mark in p]
+        for group in (list(set(fresh).difference(odd)), odd) if odd else (fresh,):
+            if group:
+                self.pieces.add(group, *self._encoded(group))
+        at = self.pieces.find([p for parts in cut for p in parts], older)
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        ends = np.concatenate([[0], np.cumsum(self.pieces.size[at])])
+        last = np.cumsum(count)
+        self.words.add(words, self.pieces.ids(at), ends[last] - ends[last - count])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Texts are taken in slices of bounded length, so that unknown words go to the tokenizer many at a time."""
@@ -150,7 +209,7 @@ class Encoder:
         for text in texts:
             slice_.append(text)
             chars += len(text)
-            if chars > MISS_CHARS:
+            if chars > SLICE_CHARS:
                 yield from self._slice(slice_)
                 slice_, chars = [], 0
         yield from self._slice(slice_)
@@ -158,31 +217,26 @@ class Encoder:
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
             return
-        if not self.split:
-            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        if not self.word_rules:
+            yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
             return
         split = [t.split(" ") for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self._forget()
-            fresh = {w for words in split for w in words if w}
+        fresh = self.words.missing(set().union(*split))
+        older = len(self.words.number)
         if fresh:
-            self._learn(list(fresh))
+            self._learn(fresh)
         for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            yield self.flat[np.repeat(self.first[at] - ends + size, size) + np.arange(ends[-1])]
+            yield self.words.ids(self.words.find(words, older))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, split_words: bool) -> Encoder:
+def encoder(path: str, word_rules: bool) -> Encoder:
     """One for each Python worker, kept from task to task."""
-    key = (path, split_words)
+    key = (path, word_rules)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, split_words)
+        _ENCODERS[key] = Encoder(path, word_rules)
     return _ENCODERS[key]
 
 
@@ -199,7 +253,7 @@ def put(folder: str, name: str, content: bytes) -> None:
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text",
-                 split_words: bool = True, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
+                 word_rules: bool = True, bits: bool = False, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode and write all texts in ascending order of their id; return the manifest (file, part, shard, n_ids, n_docs).
 
     Null texts count as empty and hold only the end id. Rows without an id come first; repeated ids keep all their rows, in
@@ -211,7 +265,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
     parts = parts.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, held, doc_ids, tokens, shard, part, total = encoder(tokenizer_path, split_words), [], [], [], 0, 0, 0
+        encode, held, doc_ids, tokens, shard, part, total = encoder(tokenizer_path, word_rules), [], [], [], 0, 0, 0
 
         def close() -> dict:
             ids = np.concatenate(held)
