@@ -25,9 +25,10 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def slug(name: Column, ident: Column) -> Column:
-    """``lower-case-words-<first 8 of the id>``."""
+    """``lower-case-words-<id>``: a number stands whole, of any other id the first 8 characters do."""
     words = F.regexp_replace(F.lower(strip(name)), "[^a-z0-9]+", "-")
-    return F.concat(F.regexp_replace(words, r"\A-+|-+\z", ""), F.lit("-"), F.substring(ident.cast("string"), 1, 8))
+    return F.concat(F.regexp_replace(words, r"\A-+|-+\z", ""), F.lit("-"),
+                    F.when(ident.cast("string").rlike(r"\A-?[0-9]+\z"), ident.cast("string")).otherwise(F.substring(ident.cast("string"), 1, 8)))
 
 
 def first_line(text: Column) -> Column:

@@ -18,8 +18,6 @@ from skein.config import DEFAULTS, Settings
 from skein.operators.ranking import numbers
 from skein.session import fan_out, stage
 
-_BANDS = 4096
-
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -92,26 +90,24 @@ def greedy_dedup(df: DataFrame, keys: list[str], order: list[str], id_col: str,
 
 
 def _blocks(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
-    """Number consecutive runs of about ``limit`` rows per group, from a histogram of the first order columns.
+    """Number runs of ``limit`` consecutive rows per group, whatever the order columns hold.
 
-    Ranking a hot group row by row would sort it in one task; here only its bands are summed up.
+    Rows are dealt out by ranges of (group, order), and only ranges are counted up, so no group is ever ranked in one task.
+    The order's last column is unique, which keeps even rows of equal leading columns apart.
     """
-    lead, second = order[0], order[1] if len(order) > 1 else order[0]
-    lo_hi = df.groupBy(*keys, lead).agg(F.min(second).alias("_lo"), F.max(second).alias("_hi"))
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-12))
-    banded = df.join(lo_hi, [*keys, lead]).withColumn(
-        "_band", F.floor((F.col(second) - F.col("_lo")) / width * (_BANDS - 1)).cast("int")).drop("_lo", "_hi")
-    counts = banded.groupBy(*keys, lead, "_band").count()
-    before = Window.partitionBy(*keys).orderBy(lead, "_band").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.select(*keys, lead, "_band", F.floor(
-        F.coalesce(F.sum("count").over(before), F.lit(0)) / limit).cast("int").alias("_block"))
-    return banded.join(numbered, [*keys, lead, "_band"]).drop("_band")
+    ranges = stage(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "dedup-ranges")
+    counts = ranges.groupBy(*keys, "_range").count()
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    placed = ranges.withColumn("_at", F.row_number().over(inside) - 1).join(starts, [*keys, "_range"])
+    return placed.withColumn("_block", F.floor((F.col("_start") + F.col("_at")) / limit).cast("int")).drop("_range", "_at", "_start")
 
 
 def _greedy_in_blocks(loaded: DataFrame, keys: list[str], order: list[str], id_col: str,
                       settings: Settings) -> DataFrame:
     limit = settings.dedup_block_rows
-    work = stage(_blocks(loaded, keys, order, limit), "dedup-blocks")
+    work = stage(_blocks(loaded, keys, order, limit), "dedup-blocks", "_block")
     last = work.agg(F.max("_block")).first()[0]
     kept: DataFrame | None = None
     for number in range(last + 1):

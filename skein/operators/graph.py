@@ -78,7 +78,7 @@ def reach(seeds: DataFrame, relations: DataFrame, settings: Settings = DEFAULTS)
     One equi-join per hop, distinct before the anti-join with what was visited.
     """
     pairs = adjacency(relations).filter("node <> nbr").select("node", "nbr").distinct()
-    visited = seeds.select("query_id", "entity_id").distinct().withColumn("hop", F.lit(0))
+    visited = stage(seeds.select("query_id", "entity_id").distinct(), "seeds").withColumn("hop", F.lit(0))
     frontier = visited
     for hop in range(1, settings.max_hops + 1):
         step = (
@@ -135,7 +135,7 @@ def traverse(seeds: DataFrame, relations: DataFrame, settings: Settings = DEFAUL
     m = max(settings.frontier_list_rows, k)
     ranked = top_k(pairs, ["node"], [F.col("nbr_degree").desc(), F.col("nbr")], m + 1, "pos")
     lists = ranked.withColumn("cut", F.col("pos") == m + 1)
-    frontier = seeds.select("query_id", "entity_id").distinct()
+    frontier = stage(seeds.select("query_id", "entity_id").distinct(), "seeds")
     visited, kept = frontier, []
     for hop in range(1, settings.max_hops + 1):
         if hop == settings.max_hops:

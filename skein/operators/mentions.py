@@ -6,6 +6,7 @@ automaton, so the work is linear in the text and no (name, text) pair is tested
 
 from __future__ import annotations
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,24 +22,14 @@ def _scan(texts: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
     for ident, name in zip(names["entity_id"].tolist(), names["needle"].tolist()):
         by_name.setdefault(name, []).append(ident)
     everywhere = by_name.pop("", [])
-    try:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for name in by_name:
-            machine.add_word(name, name)
-        if by_name:
-            machine.make_automaton()
-
-        def hits(text: str) -> set[str]:
-            return {name for _, name in machine.iter(text)} if by_name else set()
-    except ImportError:  # same result, name by name
-
-        def hits(text: str) -> set[str]:
-            return {name for name in by_name if name in text}
-
+    machine = ahocorasick.Automaton()
+    for name in by_name:
+        machine.add_word(name, name)
+    if by_name:
+        machine.make_automaton()
     for ident, text in zip(texts["text_id"].tolist(), texts["haystack"].tolist()):
-        found.extend((ident, e) for name in hits(text) for e in by_name[name])
+        hits = {name for _, name in machine.iter(text)} if by_name else set()
+        found.extend((ident, e) for name in hits for e in by_name[name])
         found.extend((ident, e) for e in everywhere)
     return pd.DataFrame(found, columns=["text_id", "entity_id"], dtype="int64")
 

@@ -13,10 +13,11 @@ from skein.session import stage
 def resolve_chains(merges: DataFrame) -> DataFrame:
     """Final survivor per merged entity of ``merges(from_id, into_id)``; chains are followed by doubling.
 
-    Each round halves the longest chain. A cycle has no survivor and raises.
+    Each round halves the longest chain, which is no longer than there are merges: what has not ended by then, or has come
+    back to its start, is a cycle, has no survivor and raises.
     """
     hops = stage(merges.filter("from_id <> into_id").groupBy("from_id").agg(F.min("into_id").alias("into_id")), "merges")
-    for _ in range(64):
+    for _ in range(hops.count().bit_length() + 1):
         nxt = hops.select(F.col("from_id").alias("into_id"), F.col("into_id").alias("_next"))
         joined = hops.join(nxt, "into_id", "left")
         if joined.filter("_next = from_id").limit(1).count():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.config import DEFAULTS, Settings
@@ -22,12 +24,10 @@ RETRIEVAL_DEPTH = {
     "summarization": ("deep", 5, "top-10 chunks aggregated"),
     "comparison": ("shallow", 0, "all entities resolved"),
 }
-# MIME types by file extension, and parser and structure by MIME type or parser name.
-MIME_BY_EXTENSION = {
-    "pdf": "application/pdf", "txt": "text/plain", "md": "text/markdown", "markdown": "text/markdown",
-    "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "xml": "text/xml",
-    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
-    "doc": "application/msword",
+# MIME types by file extension (the standard table, with those it lacks), and parser and structure by MIME type
+# or parser name.
+MIME_BY_EXTENSION = {e.lstrip("."): kind for e, kind in mimetypes.MimeTypes().types_map[True].items()} | {
+    "md": "text/markdown", "markdown": "text/markdown", "csv": "text/csv",
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
 PARSER_BY_MIME = {"application/pdf": "pdf", "text/plain": "simple", "text/markdown": "simple"}
@@ -44,16 +44,14 @@ def lookup(key: Column, table: dict[str, str], default: str | None) -> Column:
 def plan_sources(sources: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """``sources(source_id, file_name, storage_key, file_size, metadata)`` with its parsing plan.
 
-    A string ``parser`` in the metadata overrides the MIME rule; an unknown parser name raises.
+    A string ``parser`` in the metadata overrides the MIME rule; an unknown parser
+    name stays in the plan, and its source fails when it is parsed.
     """
     override = F.get_json_object("metadata", "$.parser")
     path = F.coalesce("file_name", "storage_key")
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)\z", 1))
     mime = lookup(extension, MIME_BY_EXTENSION, "application/octet-stream")
-    known = F.coalesce(F.try_element_at(
-        F.create_map(*[F.lit(x) for p in STRUCTURE_BY_PARSER for x in (p, p)]), override),
-        F.raise_error(F.concat(F.lit("unknown parser: "), override)).cast("string"))
-    given_parser = F.when(override == "ocr", "pdf").otherwise(known)
+    given_parser = F.when(override == "ocr", "pdf").otherwise(override)
     by_mime = lookup(mime, PARSER_BY_MIME, "unstructured")
     has = override.isNotNull()
     parser = F.when(has, given_parser).otherwise(by_mime)

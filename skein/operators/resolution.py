@@ -116,8 +116,10 @@ def resolve(found: DataFrame, relations: DataFrame, entities: DataFrame, setting
     mentions = stage(grouped.withColumns({
         "mention_id": lock_key(F.concat("name_key", F.lit("|"), "entity_type")),
         "embedding": V.hash_embedding(F.concat("name", F.lit(" "), "description"), settings.embedding_dimensions)}), "mentions")
-    near = similar_entities(mentions.select(F.col("mention_id").alias("query_id"), "embedding"), entities, settings)
     known = entities.select(F.col("entity_id").alias("base_id"), strip(F.lower("name")).alias("name_key"), "entity_type")
+    # only a mention that shares its name and type with some entity can merge: the others need no search
+    asking = stage(mentions.join(known, ["name_key", "entity_type"], "left_semi").select(F.col("mention_id").alias("query_id"), "embedding"), "asking")
+    near = similar_entities(asking, entities, settings)
     target = (
         near.withColumnRenamed("query_id", "mention_id").join(known, "base_id")
         .join(mentions.select("mention_id", "name_key", "entity_type"), ["mention_id", "name_key", "entity_type"])

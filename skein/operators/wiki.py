@@ -83,18 +83,15 @@ def mentioned(wanted: DataFrame, chosen: DataFrame, entities: DataFrame, chunks:
     """``(entity_id, known_id)``: entities of the same sources whose name occurs in a chosen entry."""
     texts = chunk_entries(chunks.join(chosen.select("chunk_id").distinct(), "chunk_id", "left_semi"), sources).select(
         F.col("chunk_id").alias("text_id"), F.lower("entry").alias("haystack"))
-    hits = occurrences(texts, entities.select("entity_id", F.lower("name").alias("needle"))).select(
-        F.col("text_id").alias("chunk_id"), F.col("entity_id").alias("known_id"))
-    where = chunks.select("chunk_id", "source_id")
-    member = links.join(where, "chunk_id").select(F.col("entity_id").alias("known_id"), "source_id").distinct()
-    found = stage(chosen.select("entity_id", "chunk_id").join(hits, "chunk_id").join(where, "chunk_id").select(
-        "entity_id", "known_id", "source_id").distinct(), "hits")
-    pair = ["entity_id", "known_id"]
-    # most names belong to the source they were found in; only the others look through all their sources
-    direct = found.join(member, ["known_id", "source_id"], "left_semi").select(*pair).distinct()
-    rest = found.select(*pair).distinct().join(direct, pair, "left_anti")
-    elsewhere = rest.join(member, "known_id").join(wanted, ["entity_id", "source_id"], "left_semi").select(*pair).distinct()
-    return direct.unionByName(elsewhere)
+    names = entities.select(F.col("entity_id").alias("known_id"), F.lower("name").alias("needle"))
+    once = names.groupBy("needle").agg(F.min("known_id").alias("entity_id"))  # equal names are searched once
+    hits = occurrences(texts, once.select("entity_id", "needle")).select(F.col("text_id").alias("chunk_id"), F.col("entity_id").alias("name_id"))
+    said = chosen.select("entity_id", "chunk_id").join(hits, "chunk_id").select("entity_id", "name_id").distinct()
+    # names become entities only inside the sources of the page, never over the whole graph
+    member = links.join(chunks.select("chunk_id", "source_id"), "chunk_id").select(F.col("entity_id").alias("known_id"), "source_id").distinct()
+    named = names.join(once.withColumnRenamed("entity_id", "name_id"), "needle").select("known_id", "name_id")
+    near = wanted.select("entity_id", "source_id").distinct().join(member, "source_id").select("entity_id", "known_id").distinct()
+    return near.join(named, "known_id").join(said, ["entity_id", "name_id"]).select("entity_id", "known_id")
 
 
 def known_entities(wanted: DataFrame, chosen: DataFrame, budget: DataFrame, entities: DataFrame, slugs: DataFrame,

@@ -24,7 +24,7 @@ def tokens(x: str) -> str:
 
 def slug(name: str, ident: str) -> str:
     words = f"regexp_replace(lower({strip(name)}), '[^a-z0-9]+', '-', 'g')"
-    return f"trim({words}, '-') || '-' || substr(CAST({ident} AS VARCHAR), 1, 8)"
+    return f"trim({words}, '-') || '-' || CAST({ident} AS VARCHAR)"
 
 
 def at_second(x: str) -> str:

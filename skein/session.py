@@ -8,6 +8,8 @@ cost a re-read, later scans prune columns, and the optimizer knows real sizes.
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,7 @@ _RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
+_SHIPPED: set[str] = set()
 _LOCAL_ROOTS: dict[str, str] = {}
 _STAGED: dict[tuple, DataFrame] = {}
 
@@ -46,15 +49,19 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in _RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables; a local temp folder only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    single = re.match(r"local(\[|$)", spark.sparkContext.master)
     if configured:
+        if not single and tempfile.gettempdir() != "/" and re.match(rf"(file:/+)?{re.escape(tempfile.gettempdir().lstrip('/'))}/?$", configured.lstrip("/")):
+            raise RuntimeError("spark.checkpoint.dir is this machine's own temporary folder; every executor must reach it")
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not single:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
@@ -62,14 +69,24 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the staging folder and return a scan of it."""
+def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write ``df`` once to the staging folder and return a scan of it; ``folders`` are columns whose values readers pick by."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it wherever it is installed here."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        base = os.path.join(tempfile.mkdtemp(prefix="skein-package-"), "skein")
+        package = os.path.dirname(os.path.abspath(__file__))
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(app)
+
+
 def stage_once(spark: SparkSession, key: tuple, name: str, build) -> DataFrame:
     """``stage`` memoised per application: snapshot tables are written once, then only read."""
     full_key = (spark.sparkContext.applicationId, name, *key)

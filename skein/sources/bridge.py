@@ -18,6 +18,8 @@ from skein.session import spread, stage_once, tune
 
 EPOCH = "2024-01-01 00:00:00"
 CHUNKS_PER_SOURCE = 1_000_000
+TURNS_PER_CONVERSATION = 1_000
+STAGED_FROM = ("documents", "embeddings")  # what the staged tables are made of
 API_BASE_URL = "http://localhost:8000/api/v1"
 
 # The entity type of a document's subject by language, the relation type by chunk
@@ -36,6 +38,12 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
+def numbered(parent: Column, number: Column, room: int) -> Column:
+    """Id of a numbered part. The given tables only hold whole numbers, so parts share out a range; a part beyond it is an error."""
+    return F.when(number.between(0, room - 1), parent * room + number).otherwise(
+        F.raise_error(F.concat(F.lit("no id left for part "), number.cast("string"))).cast("bigint"))
+
+
 def chosen(key: Column, options: dict[str, str], default: str) -> Column:
     expr = F.lit(default)
     for name, value in options.items():
@@ -54,12 +62,12 @@ class Tables:
     @cached_property
     def _fingerprint(self) -> tuple:
         """Path, size and time of the input files: staged tables are reused only while these hold."""
-        files = (
-            self.raw("documents").select("_metadata.file_path", "_metadata.file_size",
-                                         F.col("_metadata.file_modification_time").cast("string").alias("at"))
-            .groupBy().agg(F.max("file_path"), F.sum("file_size"), F.max("at"), F.count(F.lit(1)))
-        )
-        return (self.dir, *files.first())
+        found = []
+        for name in STAGED_FROM:
+            files = self.raw(name).select("_metadata.file_path", "_metadata.file_size",
+                                          F.col("_metadata.file_modification_time").cast("string").alias("at"))
+            found += files.groupBy().agg(F.max("file_path"), F.sum("file_size"), F.max("at"), F.count(F.lit(1))).first()
+        return (self.dir, *found)
 
     def _staged(self, name: str, build) -> DataFrame:
         return stage_once(self.spark, self._fingerprint, name, build)
@@ -96,7 +104,7 @@ class Tables:
         def build() -> DataFrame:
             docs = spread(self.raw("documents").select("doc_id", "text"))
             cut = chunk_documents(docs, "doc_id").select(
-                (F.col("doc_id") * CHUNKS_PER_SOURCE + F.col("chunk_index")).alias("chunk_id"),
+                numbered(F.col("doc_id"), F.col("chunk_index"), CHUNKS_PER_SOURCE).alias("chunk_id"),
                 F.col("doc_id").alias("source_id"), "chunk_index", "text_content", "section_heading",
             )
             return self.with_vector(cut, F.col("source_id") * 7 + F.col("chunk_index") * 31)
@@ -226,7 +234,7 @@ class Tables:
         prefix = F.coalesce(F.get(F.array(*[F.lit(p) for p in QUESTION_PREFIXES]), F.pmod("turn", F.lit(5)).cast("int")),
                             F.lit(""))
         asked = self.raw("conversations").filter("role = 'user'").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
+            numbered(F.col("conv_id"), F.col("turn"), TURNS_PER_CONVERSATION).alias("query_id"),
             F.concat(prefix, F.col("text")).alias("text"), F.col("conv_id"), F.col("turn"),
         )
         return self.with_vector(asked, F.col("conv_id") * 13 + F.col("turn") * 7).drop("conv_id", "turn")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skein.functions import text as T
 from skein.operators.chunking import explode_chunks, pack_sections
+from skein.session import stage
 from skein.sources import html as H
 
 CHUNK_COLUMNS = ["source_id", "chunk_index", "chunk_type", "text_content", "section_heading", "image_data", "image_mime_type"]
@@ -87,20 +88,36 @@ def docx_elements(content: bytes) -> list[dict]:
     return found
 
 
-def parse_unstructured(files: DataFrame) -> DataFrame:
-    """HTML and DOCX through an element stream; other types are read as HTML-free text."""
+def read_elements(files: DataFrame) -> DataFrame:
+    """``(source_id, elements, error)`` of HTML and DOCX files; other types are read as HTML-free text.
+
+    A file that cannot be read has an error and no elements; it does not stop the others.
+    """
     kind = _extension(F.col("file_name"))
 
+    def one(content: bytes, kind: str) -> tuple[list[dict] | None, str | None]:
+        try:
+            return docx_elements(content) if kind == "docx" else H._read(content.decode("utf-8", "replace")), None
+        except Exception as error:  # whatever a broken file makes its reader raise belongs to this file
+            return None, f"{type(error).__name__}: {error}"
+
     def read(batches):
         for batch in batches:
-            out = batch[["source_id"]].copy()
-            out["elements"] = [docx_elements(c) if k == "docx" else H._read(c.decode("utf-8", "replace"))
-                               for c, k in zip(batch["content"], batch["kind"])]
-            yield pd.DataFrame(out)
+            for i in range(len(batch)):  # a file may be large: one at a time leaves the task
+                elements, error = one(batch["content"].iloc[i], batch["kind"].iloc[i])
+                yield pd.DataFrame({"source_id": batch["source_id"].iloc[i:i + 1].to_numpy(), "elements": [elements], "error": [error]})
+
+    return files.select("source_id", "content", kind.alias("kind")).mapInPandas(
+        read, f"source_id {files.schema['source_id'].dataType.simpleString()}, elements {H._ELEMENTS}, error string")
 
-    elements = files.select("source_id", "content", kind.alias("kind")).mapInPandas(
-        read, f"source_id {files.schema['source_id'].dataType.simpleString()}, elements {H._ELEMENTS}")
-    return H.element_chunks(elements).withColumn("image_mime_type", F.lit(None).cast("string")).select(CHUNK_COLUMNS)
+
+def parse_unstructured(files: DataFrame) -> DataFrame:
+    return _element_rows(read_elements(files))
+
+
+def _element_rows(read: DataFrame) -> DataFrame:
+    good = read.filter("error IS NULL").select("source_id", "elements")
+    return H.element_chunks(good).withColumn("image_mime_type", F.lit(None).cast("string")).select(CHUNK_COLUMNS)
 
 
 # --- PDF ---------------------------------------------------------------------------------------------
@@ -165,24 +182,28 @@ def pdf_pages(files: DataFrame, ocr_only: bool = False) -> DataFrame:
 
 
 def parse_document(files: DataFrame, plans: DataFrame, by_extension: bool = True) -> DataFrame:
-    """Chunks of ``files(source_id, file_name, content)`` by the parser of their plan.
+    """Chunks of the readable ones of ``files(source_id, file_name, content)`` by the parser of their plan."""
+    return parse_files(files, plans, by_extension)[0]
+
+
+def parse_files(files: DataFrame, plans: DataFrame, by_extension: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(chunks, errors): chunks of the readable files, and ``(source_id, error)`` of the others.
 
-    Each parser is one branch over its own files; a plan with an unknown parser raises.
+    Each parser is one branch over its own files. A broken file, an unknown parser or one that is not installed fails its source.
     """
     planned = files.join(plans.select("source_id", "selected_parser", "pdf_mode"), "source_id")
-    known = planned.withColumn("selected_parser", F.when(
-        F.col("selected_parser").isin("simple", "unstructured", "pdf"), F.col("selected_parser")).otherwise(
-        F.raise_error(F.concat(F.lit("no parser named "), F.col("selected_parser"))).cast("string")))
-    simple = parse_simple(known.filter("selected_parser = 'simple'"), by_extension)
-    rich = parse_unstructured(known.filter("selected_parser = 'unstructured'"))
-    out = simple.select(CHUNK_COLUMNS).unionByName(rich)
+    simple = parse_simple(planned.filter("selected_parser = 'simple'"), by_extension)
+    rich = stage(read_elements(planned.filter("selected_parser = 'unstructured'")), "elements")
+    chunks = simple.select(CHUNK_COLUMNS).unionByName(_element_rows(rich))
+    unknown = planned.filter("NOT coalesce(selected_parser, '') IN ('simple', 'unstructured', 'pdf')").select(
+        "source_id", F.concat(F.lit("no parser named "), F.coalesce("selected_parser", F.lit("NULL"))).alias("error"))
+    errors = unknown.unionByName(rich.filter("error IS NOT NULL").select("source_id", "error"))
+    pdf = planned.filter("selected_parser = 'pdf'")
     try:
         import fitz  # noqa: F401
     except ImportError:
-        missing = known.filter("selected_parser = 'pdf'").select(
-            F.raise_error(F.lit("PDF files need PyMuPDF")).cast("bigint").alias("source_id"))
-        return out.unionByName(missing, allowMissingColumns=True)
-    return out.unionByName(parse_pdf(known.filter("selected_parser = 'pdf'")))
+        return chunks, errors.unionByName(pdf.select("source_id", F.lit("PDF files need PyMuPDF").alias("error")))
+    return chunks.unionByName(parse_pdf(pdf)), errors
 
 
 def parse_pdf(files: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -14,7 +15,6 @@ from skein.sources.readers import safe_key
 
 MANIFEST = ".export-manifest"
 LOG = "log.md"
-INDEX_LINES_PER_FILE = 100_000
 # Content type of a stored text by extension.
 CONTENT_TYPES = {"md": "text/markdown", "json": "application/json", "txt": "text/plain", "html": "text/html"}
 _INDEX_HEADS = {"index.md": "# Wiki Index\n", "entities/index.md": "# Entities\n", "sources/index.md": "# Source Summaries\n"}
@@ -108,49 +108,65 @@ def export_bundle(pages: DataFrame, entities: DataFrame, sources: DataFrame, roo
     return count
 
 
+def _write_lines(rows: DataFrame, order: list, root: str, key: str, begin: str, keep: bool) -> None:
+    """One text file of the rows' ``head`` and ``line`` in order, streamed by a single task that holds one batch at a time.
+
+    ``head`` opens a block where it changes. With ``keep`` the file's earlier content comes first. The file is written beside
+    its place and then moved there, so a task that runs again leaves no part twice.
+    """
+    def put(batches):
+        files, base = _open(root)
+        path = safe_key(base, key)
+        files.create_dir(posixpath.dirname(path), recursive=True)
+        attempt, last, n = f"{path}.{uuid.uuid4().hex}", None, 0
+        with files.open_output_stream(attempt) as out:
+            if keep:
+                _copy_old(files, path, out)
+            out.write(begin.encode("utf-8"))
+            for batch in batches:
+                for head, line in zip(batch["head"], batch["line"]):
+                    if head != last:
+                        out.write((("\n" if last is not None else "") + head).encode("utf-8"))
+                        last = head
+                    out.write((line + "\n").encode("utf-8"))
+                    n += 1
+        files.move(attempt, path)
+        yield pd.DataFrame({"n": [n]})
+
+    # sorted by many tasks, read by one: a single file has a single writer
+    rows.orderBy(*order).select("head", "line").coalesce(1).mapInPandas(put, "n long").count()
+
+
+def _copy_old(files, path: str, out) -> None:
+    from pyarrow.fs import FileType
+
+    if files.get_file_info(path).type != FileType.File:
+        return
+    last = b"\n"
+    with files.open_input_stream(path) as old:
+        while piece := old.read(1 << 20):
+            out.write(piece)
+            last = piece[-1:]
+    if last != b"\n":
+        out.write(b"\n")
+
+
 def _write_index(lines: DataFrame, root: str) -> None:
-    """Index files in order; beyond a bound they continue in numbered parts, one task each."""
+    """The three index files, each whole."""
     lines = stage(lines, "index")
-    sizes = {r["index_file"]: r["count"] for r in lines.groupBy("index_file").count().collect()}  # at most three rows
+    present = {r["index_file"] for r in lines.select("index_file").distinct().collect()}  # at most three rows
     for name, head in _INDEX_HEADS.items():
-        size = sizes.get(name, 0)
-        parts = max(1, -(-size // INDEX_LINES_PER_FILE))
-        if not size:
+        if name not in present:
             write_text(root, name, head)
             continue
-        ordered = lines.filter(F.col("index_file") == name).repartitionByRange(parts, "section", "slug").sortWithinPartitions("section", "slug")
-
-        def put(batches, name=name, head=head, parts=parts):
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-            rows = pd.concat(list(batches))
-            out = [head] if part == 0 else []
-            for section, group in rows.groupby("section"):
-                if name == "index.md":
-                    out.append("## Entities\n" if section == 1 else "## Source Summaries\n")
-                out.append("\n".join(group["line"]) + "\n")
-            key = name if parts == 1 or part == 0 else name.replace(".md", f"-{part:05d}.md")
-            write_text(root, key, "\n".join(out))
-            yield pd.DataFrame({"n": [len(rows)]})
-
-        ordered.select("section", "line").mapInPandas(put, "n long").count()
+        title = F.when(F.col("section") == 1, "## Entities\n\n").otherwise("## Source Summaries\n\n") if name == "index.md" else F.lit("")
+        _write_lines(lines.filter(F.col("index_file") == name).withColumn("head", title), ["section", "slug"], root, name, head + "\n", False)
 
 
 def _append_log(entries: DataFrame, root: str, run_id: str, run_time: str) -> None:
-    """One headed block per run with changes. Entries stay a table; the log file takes them while they are few."""
-    total = entries.count()
-    if not total:
+    """One headed block per run with changes, behind the blocks of earlier runs."""
+    if entries.isEmpty():
         return
-    if total <= INDEX_LINES_PER_FILE:
-        def put(batches):
-            rows = pd.concat(list(batches))
-            old = read_text(root, LOG) or ""
-            old += "" if not old or old.endswith("\n") else "\n"
-            write_text(root, LOG, f"{old}\n## {run_time}\n\n" + "\n".join(rows["entry"]) + "\n")
-            yield pd.DataFrame({"n": [len(rows)]})
-
-        order = F.when(F.col("action") == "removed", 1).otherwise(0)
-        entries.repartition(1).sortWithinPartitions(order, "path").select("entry").mapInPandas(put, "n long").count()
-    else:
-        entries.orderBy("path").select("entry").write.mode("overwrite").text(f"{root}/log/{run_id}")
+    order = [F.when(F.col("action") == "removed", 1).otherwise(0), F.col("path")]
+    rows = entries.withColumn("head", F.lit("")).withColumnRenamed("entry", "line")
+    _write_lines(rows, order, root, LOG, f"\n## {run_time}\n\n", True)

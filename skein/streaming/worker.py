@@ -8,8 +8,8 @@ so a batch replayed after a failure gives the same snapshot.
 from __future__ import annotations
 
 from collections.abc import Callable
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.config import DEFAULTS
@@ -41,25 +41,36 @@ class Worker:
         return writer.trigger(**trigger).start()
 
     def open_jobs(self, epoch: int) -> DataFrame:
-        try:
-            return self.spark.read.schema(JOB_SCHEMA).parquet(f"{self.state}/open/epoch={epoch}")
-        except AnalysisException:
+        """Jobs the epoch left open; none before the first one. A snapshot that can't be read is an error, not an empty queue."""
+        if epoch < 0:
             return self.spark.createDataFrame([], JOB_SCHEMA)
+        return self.spark.read.schema(JOB_SCHEMA).parquet(f"{self.state}/open/epoch={epoch}")
 
     def closed_jobs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.state}/closed")
 
     def _batch(self, arrived: DataFrame, epoch: int) -> None:
         jobs = self.open_jobs(epoch - 1).unionByName(arrived.select(self.open_jobs(-1).columns))
-        for turn in range(DEFAULTS.worker_max_retries + 1):
-            jobs, closed, busy = self._turn(jobs)
-            closed.write.mode("overwrite").parquet(f"{self.state}/closed/epoch={epoch}/turn={turn}")
-            if not busy:
-                break
-        jobs.write.mode("overwrite").parquet(f"{self.state}/open/epoch={epoch}")
-
-    def _turn(self, jobs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        """Claim, run, fold outcomes: (still open, closed, whether anything was claimed)."""
+        self._work_off(jobs, epoch, "")
+
+    def drain(self) -> None:
+        """Work off what the newest epoch left open, for times without arrivals; not beside a running query."""
+        epochs = self.spark.read.parquet(f"{self.state}/open").select(F.max("epoch")).first()[0]
+        self._work_off(self.open_jobs(int(epochs)), int(epochs), f"drain-{uuid.uuid4().hex}-")
+
+    def _work_off(self, jobs: DataFrame, epoch: int, prefix: str) -> None:
+        """Turns of at most ``claim`` jobs until nothing can be claimed. Released jobs wait for the next batch, and every other
+        claim closes a job or uses up an attempt, so the turns end."""
+        parked, turn, busy = None, 0, True
+        while busy:
+            jobs, closed, back, busy = self._turn(jobs)
+            closed.write.mode("overwrite").parquet(f"{self.state}/closed/epoch={epoch}/turn={prefix}{turn}")
+            parked = back if parked is None else stage(parked.unionByName(back), "parked")
+            turn += 1
+        stage(jobs.unionByName(parked), "open").write.mode("overwrite").parquet(f"{self.state}/open/epoch={epoch}")
+
+    def _turn(self, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+        """Claim, run, fold outcomes: (still open, closed, released, whether anything was claimed)."""
         jobs = stage(jobs, "jobs")
         claimed = stage(Q.claim_next(jobs, self.claim, self.name), "claimed")
         outcome = self.spark.createDataFrame([], OUTCOME)
@@ -74,8 +85,7 @@ class Worker:
         done = Q.complete(told.filter("NOT released AND error IS NULL"), F.localtimestamp())
         columns = jobs.columns
         waiting = jobs.join(claimed.select("job_id"), "job_id", "left_anti")
-        still = waiting.select(columns).unionByName(back.select(columns)).unionByName(failed.filter("status = 'pending'").select(columns))
+        still = waiting.select(columns).unionByName(failed.filter("status = 'pending'").select(columns))
         closed = done.select(*columns, F.lit(None).cast("string").alias("error_message")).unionByName(
             failed.filter("status = 'failed'").select(*columns, "error_message"))
-        moved = told.filter("NOT released").limit(1).count() > 0
-        return stage(still, "open"), closed, moved
+        return stage(still, "open"), closed, stage(back.select(columns), "released"), not claimed.isEmpty()

@@ -96,8 +96,8 @@ def test_parser_override(spark):
     df = spark.createDataFrame([(1, "a.txt", "k", 10, '{"parser": "ocr"}')], "source_id long, file_name string, storage_key string, file_size long, metadata string")
     row = planning.plan_sources(df).first()
     assert (row.selected_parser, row.pdf_mode) == ("pdf", "with_ocr")
-    with pytest.raises(Exception, match="unknown parser"):
-        planning.plan_sources(df.withColumn("metadata", F.lit('{"parser": "nope"}'))).collect()
+    odd = planning.plan_sources(df.withColumn("metadata", F.lit('{"parser": "nosuch"}'))).first()
+    assert odd.selected_parser == "nosuch"  # fails its source when it is parsed, not the table of plans
 
 
 def test_lists_and_lookups(spark):
@@ -131,3 +131,14 @@ def test_uploads(spark):
                                  "source_id long, file_name string, size long, metadata string")
     sources, jobs = accepted(rows)
     assert {r.source_id for r in sources.collect()} == {1, 7} == {r.source_id for r in jobs.collect()}
+
+
+def test_merge_cycle_is_found_early(spark):
+    import time
+
+    start = time.time()
+    with pytest.raises(ValueError, match="merge cycle"):
+        merge.resolve_chains(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "from_id long, into_id long"))
+    assert time.time() - start < 20
+    chain = merge.resolve_chains(spark.createDataFrame([(i, i + 1) for i in range(40)], "from_id long, into_id long"))
+    assert {r.into_id for r in chain.collect()} == {40}

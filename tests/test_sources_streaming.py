@@ -3,6 +3,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from skein import providers as P
@@ -48,8 +49,18 @@ def test_documents_by_plan(spark, tmp_path):
                    (3, 0): ("table", "cell"), (3, 1): ("text", "Title\ntext")}
     flat = RD.parse_simple(rows.filter("file_name = 'b.md'"), by_extension=False).first()
     assert flat.text_content == "# One\nx\n## Two\ny"
-    with pytest.raises(Exception, match="no parser named"):
-        RD.parse_document(rows, plans.withColumn("selected_parser", F.lit("mineru"))).collect()
+
+
+def test_bad_files_fail_alone(spark):
+    """A broken file, an unknown parser and a missing reader each fail their source; the others keep their chunks."""
+    rows = spark.createDataFrame([(1, "a.docx", bytearray(b"no archive")), (2, "b.txt", bytearray(b"good")), (3, "c.html", bytearray(b"<p>fine</p>")), (4, "d.txt", bytearray(b"x")),
+                                  (5, "e.docx", bytearray(docx(("Normal", "text"))))], "source_id long, file_name string, content binary")
+    named = rows.select("source_id", "file_name", F.lit("k").alias("storage_key"), F.lit(1).alias("file_size"),
+                        F.when(F.col("source_id") == 4, '{"parser": "nosuch"}').alias("metadata"))
+    chunks, errors = RD.parse_files(rows, plan_sources(named))
+    assert {r.source_id for r in chunks.collect()} == {2, 3, 5}
+    found = {r.source_id: r.error for r in errors.collect()}
+    assert found[4] == "no parser named nosuch" and found[1].startswith("BadZipFile") and set(found) == {1, 4}
 
 
 def test_pdf_rules(spark):
@@ -114,6 +125,37 @@ def test_worker_completes_retries_and_fails(spark, tmp_path):
     assert [r.job_id for r in worker.open_jobs(1).collect()] == [2]
 
 
+def test_worker_leaves_no_job_undone(spark, tmp_path):
+    """Far more jobs than one claim holds, some of them failing: all are closed by one batch."""
+    arrivals, state = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = [(i, "bad" if i % 20 == 0 else "good", None, None, "pending", None, 0, 1, T0) for i in range(60)]
+    spark.createDataFrame(rows, JOB_SCHEMA).coalesce(1).write.parquet(arrivals)
+
+    def outcome(error):
+        return lambda jobs: jobs.select("job_id", F.lit(error).cast("string").alias("error"), F.lit(False).alias("released"))
+
+    worker = Worker(spark, arrivals, state, {"good": outcome(None), "bad": outcome("boom")}, claim=10)
+    worker.start(str(tmp_path / "cp"), once=True).awaitTermination()
+    closed = {r.job_id: r.status for r in worker.closed_jobs().collect()}
+    assert closed == {i: "failed" if i % 20 == 0 else "completed" for i in range(60)} and worker.open_jobs(0).isEmpty()
+    with pytest.raises(AnalysisException):
+        worker.open_jobs(7)
+
+
+def test_drain_without_arrivals(spark, tmp_path):
+    arrivals, state = str(tmp_path / "in"), str(tmp_path / "state")
+    spark.createDataFrame([(1, "later", None, None, "pending", None, 0, 3, T0)], JOB_SCHEMA).coalesce(1).write.parquet(arrivals)
+
+    def outcome(released):
+        return lambda jobs: jobs.select("job_id", F.lit(None).cast("string").alias("error"), F.lit(released).alias("released"))
+
+    Worker(spark, arrivals, state, {"later": outcome(True)}).start(str(tmp_path / "cp"), once=True).awaitTermination()
+    worker = Worker(spark, arrivals, state, {"later": outcome(False)})
+    assert worker.open_jobs(0).count() == 1
+    worker.drain()
+    assert worker.open_jobs(0).isEmpty() and [r.status for r in worker.closed_jobs().collect()] == ["completed"]
+
+
 def test_landed_files_become_chunks_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("ONE TITLE\nx")

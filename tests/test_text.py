@@ -101,3 +101,10 @@ def test_hash_embedding_is_the_digest(spark):
     got = one(spark, V.hash_embedding(F.col("t"), 70), t="abc")
     digest = hashlib.sha256(b"abc").digest()
     assert got == pytest.approx([digest[i % 32] / 127.5 - 1 for i in range(70)], abs=1e-6)
+
+
+def test_slug_keeps_whole_numbers(spark):
+    rows = spark.range(10**9, 10**9 + 51).select(T.slug(F.lit("Same Name"), F.col("id")).alias("s"))
+    assert rows.distinct().count() == 51
+    uuid = spark.range(1).select(T.slug(F.lit("A"), F.lit("12345678-9abc-def0-1234-56789abcdef0")).alias("s")).first().s
+    assert uuid == "a-12345678"

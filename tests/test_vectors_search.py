@@ -2,6 +2,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.config import DEFAULTS
 from skein.operators.dedup import collapse_copies, greedy_dedup
@@ -85,3 +86,13 @@ def test_greedy_dedup_equals_the_loop(spark, limit):
     collapsed = stage(collapse_copies(df.drop("embedding"), ["query_id"], "copy_key", "is_zero", order).drop("copy_key", "is_zero"), "t")
     got = greedy_dedup(collapsed, ["query_id"], order, "chunk_id", df.select("chunk_id", "embedding"), replace(DEFAULTS, dedup_block_rows=limit))
     assert {(r.query_id, r.chunk_id) for r in got.collect()} == want
+
+
+def test_dedup_blocks_of_equal_rows_are_bounded(spark):
+    """Rows that agree in all leading order columns still fall into runs of the limit."""
+    from skein.operators import dedup
+
+    df = spark.range(1000).select(F.lit(1).alias("query_id"), F.lit(0).alias("tier"), F.lit(-0.5).alias("neg_sim"), F.col("id").alias("chunk_id"))
+    sizes = {r["_block"]: (r.n, r.lo, r.hi) for r in dedup._blocks(df, ["query_id"], ["tier", "neg_sim", "chunk_id"], 100).groupBy("_block").agg(
+        F.count("*").alias("n"), F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).collect()}
+    assert sizes == {i: (100, 100 * i, 100 * i + 99) for i in range(10)}
