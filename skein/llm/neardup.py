@@ -6,10 +6,10 @@ Jaccard similarity. Arrivals are made in rounds: a shingle goes on only while it
 some component, so nearly all stop after the first one.
 
 Documents with equal words are one class from the start. Signatures are cut into bands; documents with an equal band are
-candidates. A band's group is worked off around leaders, never as all pairs: every member is compared with the group's leader,
-verified links are contracted to components, and the next round takes a new leader among members of other components. When no
-group gets smaller by large steps any more, the few members left of each group are compared with each other component.
-Similarities are verified on the full texts.
+candidates. A band's group is worked off around leaders, never as all pairs: every member is compared with the group's most central
+document, verified links are contracted to components, and members outside of the group's largest component are compared with
+the hub of that component. What is left are pairs of different components: all of them in small groups, in large ones those that
+an exact argument about sets does not rule out. Similarities are verified on the full texts.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from skein.session import stage
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-LEADER_ROUNDS = 3
+SMALL_GROUP = 32
+COMMON = 0.1
 
 
 # --- signatures --------------------------------------------------------------------------------------------------------------
@@ -125,34 +126,20 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def class_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, reps): every row with the 128-bit hash ``c1``, ``c2`` of its words, and each class of equal words with its smallest row."""
-    words = F.array_join(words_of(F.col(text_col)), " ")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), words.alias("w"))
-    rows = base.select("id", "t", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("second"), F.col("w")).alias("c2"), (F.col("w") != "").alias("some"))
-    rows = stage(rows, "near-rows")
-    who = F.struct(F.col("id").isNull().alias("late"), "id", "t")
-    reps = rows.where("some").groupBy("c1", "c2").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"))
-    return rows, stage(reps, "near-classes")
-
-
-def _bands(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(node, band key) of the representative of each class; a node is the class's ``c1``, ``c2`` as one string of hex digits."""
+def signed_rows(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int) -> DataFrame:
+    """Every row as (id, t, some, c1, c2, keys): ``some`` if it has words, the 128-bit hash of its words, and its band keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in slices(batch["h"], 400_000):
                 hashes = batch["h"].iloc[part].tolist()
-                ends = np.cumsum([len(x) for x in hashes])
-                doc, h, w = weighted(*shingles(np.concatenate(hashes), ends, shingle))
+                doc, h, w = weighted(*shingles(np.concatenate(hashes), np.cumsum([len(x) for x in hashes]), shingle))
                 keys = band_keys(signatures(doc, h, w, len(hashes), bands * rows), bands, rows)
-                yield batch.iloc[part][["id", "t"]].assign(keys=list(keys))
+                yield batch.iloc[part][["id", "t", "some", "c1", "c2"]].assign(keys=list(keys))
 
     kind = dict(docs.dtypes)[id_col]
-    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), _word_hashes(F.col(text_col)).alias("h"))
-    signed = text.where(F.size("h") > 0).mapInPandas(run, f"id {kind}, t long, keys array<long>")
-    one = reps.select("c1", "c2", F.col("who.id").alias("__id"), F.col("who.t").alias("__t"))
-    met = signed.join(one, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))).dropDuplicates(["c1", "c2"])
-    return met.select(_node(), F.explode("keys").alias("key"))
+    read = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), _word_hashes(F.col(text_col)).alias("h"))
+    known = read.select("id", "t", (F.size("h") > 0).alias("some"), F.xxhash64("h").alias("c1"), F.xxhash64(F.lit("second"), F.col("h")).alias("c2"), "h")
+    return known.mapInPandas(run, f"id {kind}, t long, some boolean, c1 long, c2 long, keys array<long>")
 
 
 def _node() -> Column:
@@ -172,15 +159,15 @@ def slices(arrays: pd.Series, words: int) -> Iterator[slice]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(a, b) of the pairs whose texts are similar enough."""
+    """(a, b) of the pairs whose texts, given as word hashes, are similar enough."""
     @F.pandas_udf("double")
     def measure(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(np.asarray(x), np.asarray(y), shingle) for x, y in zip(a, b)], dtype=float)
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("node").alias("a"), F.col("h").alias("ha"))
+    right = texts.select(F.col("node").alias("b"), F.col("h").alias("hb"))
     met = pairs.join(left, "a").join(right, "b")
-    return met.where(measure(_word_hashes(F.col("ta")), _word_hashes(F.col("tb"))) >= threshold - 1e-9).select("a", "b")
+    return met.where(measure("ha", "hb") >= threshold - 1e-9).select("a", "b")
 
 
 def _components(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -213,45 +200,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words, null and empty ones among them, are a class each and all kept. Rows without an id come last; rows
     equal in id and text are in one class, and all of them stay if one does.
     """
-    all_rows, reps = class_table(docs, id_col, text_col)
-    banded = _bands(docs, reps, id_col, text_col, bands, rows, shingle)
-    keyed = stage(banded, "near-bands")
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    all_rows = stage(signed_rows(docs, id_col, text_col, bands, rows, shingle), "near-rows")
+    who = F.struct(F.col("id").isNull().alias("late"), "id", "t")
+    reps = all_rows.where("some").groupBy("c1", "c2").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    reps = stage(reps.withColumn("node", _node()), "near-classes")
+    keyed = reps.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = stage(keyed.join(sizes, "key"), "near-groups")
-    nodes = stage(groups.select("node").distinct(), "near-nodes")
+    # a document in the middle of many copies shares most bands with most of them
+    nodes = stage(groups.groupBy("node").agg(F.struct((-F.sum("n")).alias("rank"), F.col("node")).alias("central")), "near-nodes")
     labels = nodes.select("node", F.col("node").alias("label"))
-    named = reps.select(_node(), F.col("who.id").alias("__id"), F.col("who.t").alias("__t"))
+    named = reps.select("node", F.col("who.id").alias("__id"), F.col("who.t").alias("__t"))
     wanted = named.join(nodes, "node", "left_semi")
     raw = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
-    texts = stage(raw.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))).dropDuplicates(["node"]).select("node", "text"),
-                  "near-texts")
+    met = raw.join(wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))).dropDuplicates(["node"])
+    texts = stage(met.select("node", _word_hashes(F.col("text")).alias("h")), "near-texts")
     done = None
-    for turn in range(LEADER_ROUNDS + 1):
-        live = groups.join(labels, "node")
+    for propose in (_leaders, _hubs, _rest):
         # a group whose members are all one component by now has nothing left to compare
+        live = groups.select("key", "node").join(labels, "node")
         open_ = live.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        live = live.join(open_, "key")
-        if turn < LEADER_ROUNDS:
-            # the leader's order changes with the group and the turn, so that members meet different leaders
-            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "label")
-            leader = live.groupBy("key").agg(F.min(order).alias("lead"))
-            met = live.join(leader, "key").where("label <> lead.label")
-            pairs = met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
-        else:
-            pairs = _rest(live)
-        pairs = pairs.distinct()
+        live = stage(live.join(open_, "key").join(nodes, "node"), "near-live")
+        pairs = propose(live, texts, threshold, shingle).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
         links = stage(_verified(pairs, texts, threshold, shingle), "near-links")
         labels = _components(labels, links, "near")
         done = pairs if done is None else done.unionAll(pairs)
     named = named.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "__id", "__t")
-    counted = named.join(reps.select(_node(), "copies"), "node")
+    counted = named.join(reps.select("node", "copies"), "node")
     best = counted.groupBy("label").agg(F.min(F.struct(F.col("__id").isNull().alias("late"), F.col("__id").alias("id"), F.col("__t").alias("t"))).alias("best"),
                                         F.sum("copies").alias("class_size"))
     known = stage(named.join(best, "label").select("node", "best", "class_size"), "near-known")
@@ -261,17 +239,88 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                       (~F.col("some") | (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("t") == F.col("best.t")))).alias("kept"))
 
 
-def _rest(live: DataFrame) -> DataFrame:
-    """Pairs of members of different components in one group, for members outside of the group's largest component.
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    After the rounds of leaders a group of copies is one component with few others beside it, so this is a small remainder.
-    """
+
+def _leaders(live: DataFrame, *_) -> DataFrame:
+    """Every member with the most central member of its group."""
+    leader = live.groupBy("key").agg(F.min("central").alias("lead"))
+    return live.join(leader, "key").where("node <> lead.node").select(*_pair("node", "lead.node"))
+
+
+def _main(live: DataFrame) -> DataFrame:
+    """``live`` with ``main``, the label of the group's largest component."""
     sizes = live.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main")).select("key", F.col("main.label").alias("main"))
-    marked = live.join(main, "key")
-    outer = marked.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    met = outer.join(marked.select("key", "node", "label", "main"), "key").where("label <> lx and (label = main or x < node)")
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    return live.join(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main")), "key")
+
+
+def _hubs(live: DataFrame, *_) -> DataFrame:
+    """Members outside of their group's largest component with the most central document of that component."""
+    hubs = live.groupBy(F.col("label").alias("main")).agg(F.min("central").alias("hub"))
+    return _main(live).where("label <> main").join(hubs, "main").select(*_pair("node", "hub.node"))
+
+
+def _rest(live: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Pairs of different components that may still be similar.
+
+    In groups of up to ``SMALL_GROUP`` members these are all such pairs, so a member has a bounded number of them. Larger
+    groups with the same largest component are one family, and pairs are ruled out by what is left when the family's common
+    shingles are taken away (see ``_family_pairs``). That reasons about sets, so pairs with a document that repeats a shingle
+    are compared as they are.
+    """
+    size = live.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    marked = stage(_main(live).join(size, "key"), "near-marked")
+    large = marked.where(F.col("members") > SMALL_GROUP)
+    family = stage(_shingle_sets(large.select("main", "node", "label").distinct(), texts, shingle), "near-family")
+    mixed = large.join(family.where("not plain").select("node").distinct().withColumn("odd", F.lit(True)), "node", "left")
+
+    def within(rows: DataFrame) -> DataFrame:
+        x = rows.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("odd").alias("ox"))
+        met = x.join(rows.select("key", "node", "label", "main", "odd"), "key")
+        return met.where("label <> lx and (ox or odd) and (label = main or x < node)").select(*_pair("x", "node"))
+
+    small = within(marked.where(F.col("members") <= SMALL_GROUP).withColumn("odd", F.lit(True)))
+    repeats = within(mixed.withColumn("odd", F.coalesce("odd", F.lit(False)))) if not family.where("not plain").isEmpty() else None
+    pairs = small.unionAll(_family_pairs(family.where("plain"), threshold))
+    return pairs if repeats is None else pairs.unionAll(repeats)
+
+
+def _shingle_sets(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``members`` with ``s``, the different shingles, and ``plain``: no shingle stands twice."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [weighted(*shingles(np.asarray(h), np.array([len(h)]), shingle)) for h in batch["h"]]
+            yield batch[["main", "node", "label"]].assign(s=[h.view(np.int64) for _, h, _ in found], plain=[bool((w == 1).all()) for *_, w in found])
+
+    return members.join(texts, "node").select("main", "node", "label", "h").mapInPandas(
+        run, "main string, node string, label string, s array<long>, plain boolean")
+
+
+def _family_pairs(family: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of different components in a family that the following does not rule out.
+
+    Let V be the shingles of more than ``COMMON`` of the family, j the threshold, c = j / (1 + j), and p = |x and V|. If x and y
+    share nothing outside V, they share p shingles at most, and similarity j needs c (|x| + |y|) common ones, so |y| <= p / c - |x|.
+    So candidates share a shingle outside V, or each has room for the other in this sense. Sizes must be within j of each other.
+    """
+    c = threshold / (1 + threshold)
+    flat = family.select("main", "node", "label", F.explode("s").alias("s"))
+    total = family.groupBy("main").agg(F.count(F.lit(1)).alias("f"))
+    rare = flat.groupBy("main", "s").agg(F.count(F.lit(1)).alias("df")).join(total, "main").where(F.col("df") <= F.greatest(F.lit(1), COMMON * F.col("f")))
+    own = flat.join(rare.select("main", "s", "df"), ["main", "s"])
+    few = stage(own.where("df > 1").select("main", "s", "node", "label"), "near-rare")
+    other = few.select("main", "s", F.col("node").alias("y"), F.col("label").alias("ly"))
+    sharing = few.join(other, ["main", "s"]).where("node < y and label <> ly").select(*_pair("node", "y"))
+    outside = own.groupBy("main", "node").agg(F.count(F.lit(1)).alias("outside"))
+    sized = family.select("main", "node", "label", F.size("s").alias("size")).join(outside, ["main", "node"], "left")
+    room = F.floor((F.col("size") - F.coalesce("outside", F.lit(0))) / c - F.col("size") + 1e-6).cast("int")
+    sized = stage(sized.withColumn("room", room), "near-sizes")
+    x = sized.where("label <> main").withColumn("most", F.least("room", F.floor(F.col("size") / threshold + 1e-6).cast("int")))
+    x = x.withColumn("least", F.ceil(F.col("size") * threshold - 1e-6).cast("int")).where("most >= least")
+    x = x.select("main", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"), F.explode(F.sequence("least", "most")).alias("size"))
+    fitting = x.join(sized, ["main", "size"]).where("label <> lx and sx <= room").select(*_pair("x", "node"))
+    return sharing.unionAll(fitting)
 
 
 def near_free(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

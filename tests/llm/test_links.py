@@ -25,6 +25,8 @@ def weights(text):
 
 def probability_jaccard(a, b):
     keys = set(a) | set(b)
+    if max(*a.values(), *b.values()) == 1:
+        return len(set(a) & set(b)) / len(keys)
     return sum(1 / sum(max(a[k] / a[s], b[k] / b[s]) for k in keys) for s in a if s in b)
 
 
@@ -57,15 +59,21 @@ def planted():
         for _ in range(1 + i % 3):
             copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
         rows.append((i, " ".join(copy)))
+    for i in range(60, 99):  # many changes, and copies of such copies, cut short or with a few more changes
+        copy = list(base if i % 2 else rows[-1][1].split())
+        for _ in range(4 + i % 5 if i % 2 else i % 3):
+            copy[rng.randrange(len(copy))] = f"far{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy[:170 + i % 31] if i % 4 == 0 else copy)))
     rows += [(100 + i, rows[i % 7][1].upper().replace(" ", ",  ")) for i in range(40)]
     rows += [(200 + i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))) for i in range(30)]
     rows += [(300, "same line\n" * 30), (301, "same line\n" * 29), (302, "same line\n" * 10 + "other line\n" * 10), (303, "few words"), (304, "Few, words")]
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_classes(spark, monkeypatch, rounds):
-    monkeypatch.setattr(neardup, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize("small, common", [(32, 0.1), (2, 0.1), (2, 0.6)])
+def test_near_classes(spark, monkeypatch, small, common):
+    monkeypatch.setattr(neardup, "SMALL_GROUP", small)
+    monkeypatch.setattr(neardup, "COMMON", common)
     rows = planted()
     expected = brute_classes(rows)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, label string")
