@@ -164,7 +164,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
     parts = parts.select("rank", "start", "block", low.alias("low"), high.alias("high"))
-    met = parts.join(draw_slots(targets, block, shard_slots, seed), ["rank", "block"])
+    # the slots come from a small table and are many: no estimate may broadcast them
+    met = parts.join(draw_slots(targets, block, shard_slots, seed).hint("merge"), ["rank", "block"])
     taken = F.least("high", "upto") - F.col("low")
     pieces = met.where(taken > 0).select("rank", "start", "shard", "number", (F.col("block") * block + F.col("low") - F.col("start")).alias("first"),
                                          taken.cast("long").alias("taken"))
