@@ -196,14 +196,15 @@ JOIN degrees ON node = entity_id
 QUALIFY row_number() OVER (PARTITION BY query_id, hop ORDER BY degree DESC, entity_id) <= 10""")
     cte(f"{prefix}_ends", f"""
 SELECT query_id, entity_id, 0 AS hop FROM {prefix}_hop0 UNION ALL SELECT query_id, entity_id, hop FROM {prefix}_nodes""")
+    cte(f"{prefix}_pairs", f"""
+SELECT a.query_id, a.entity_id AS source_id, b.entity_id AS target_id, least(a.hop, b.hop) + 1 AS hop
+FROM {prefix}_ends a JOIN {prefix}_ends b ON b.query_id = a.query_id WHERE a.hop > 0 OR b.hop > 0""")
     cte(f"{prefix}_edges", f"""
-SELECT a.query_id, r.relation_id, r.source_entity_id, r.target_entity_id, r.relation_type, r.confidence_tag,
-  least(a.hop, b.hop) + 1 AS hop, s.name AS source_name, s.entity_type AS source_type, t.name AS target_name, t.entity_type AS target_type,
-  '[' || s.name || '] --' || r.relation_type || '--> [' || t.name || '] (hop ' || (least(a.hop, b.hop) + 1) || ')' AS line
-FROM relations r JOIN {prefix}_ends a ON a.entity_id = r.source_entity_id
-JOIN {prefix}_ends b ON b.entity_id = r.target_entity_id AND b.query_id = a.query_id
-JOIN entities s ON s.entity_id = r.source_entity_id JOIN entities t ON t.entity_id = r.target_entity_id
-WHERE a.hop > 0 OR b.hop > 0""")
+SELECT p.query_id, r.relation_id, r.source_entity_id, r.target_entity_id, r.relation_type, r.confidence_tag,
+  p.hop, s.name AS source_name, s.entity_type AS source_type, t.name AS target_name, t.entity_type AS target_type,
+  '[' || s.name || '] --' || r.relation_type || '--> [' || t.name || '] (hop ' || p.hop || ')' AS line
+FROM {prefix}_pairs p JOIN relations r ON r.source_entity_id = p.source_id AND r.target_entity_id = p.target_id
+JOIN entities s ON s.entity_id = r.source_entity_id JOIN entities t ON t.entity_id = r.target_entity_id""")
 
 
 def prefix_chars(rows: str, order: str, budget: int) -> str:
