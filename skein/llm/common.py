@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from skein.session import stage
+from skein.session import ship, stage
+
+ARROW_ROWS = 1000  # rows of one batch between Spark and Python: texts may be long
 
 # A word is a run of digits, a-z and characters beyond ASCII, after A-Z became a-z.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -17,6 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def ready(df: DataFrame) -> DataFrame:
+    """``df`` in a session whose tasks can import this package and take few rows at a time."""
+    ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else.
 

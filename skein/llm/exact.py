@@ -16,7 +16,7 @@ import tempfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skein.llm.common import partitions
+from skein.llm.common import partitions, ready
 from skein.session import stage
 
 # Fixed value: what counts as one space.
@@ -180,7 +180,7 @@ def _batch(rows: list[tuple], last: bool, kind: pa.DataType) -> pa.RecordBatch:
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """(sha, keep_id, group_size) for each different normalised text; ``sha`` is the lowercase hex sha256 of its bytes."""
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(ready(docs).dtypes)[id_col]
     rows = docs.select(F.encode(normalised(F.col(text_col)), "UTF-8").alias("bytes"), F.col(id_col).alias("id"),
                        F.lit(1).cast("long").alias("rows"))
     local = rows.mapInArrow(_tries(trie_bytes, False), f"bytes binary, id {kind}, rows bigint")

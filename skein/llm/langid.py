@@ -21,13 +21,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skein.llm.common import ready
+
 SAMPLE_ROWS = 2000       # bound of the labelled sample the model is fitted on
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
 EPOCHS = 6
 RATE = 0.5
-KEEP = 0.999
+KEEP = 1.0
 CACHE_WORDS = 300_000
 SLICE_ROWS = 256
 UNKNOWN = "und"
@@ -157,7 +159,7 @@ def train(texts: list[Counter], langs: list[str], buckets: int = BUCKETS, seed:
 
 def labelled_sample(docs: DataFrame, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """About ``bound`` labelled rows, never more, drawn by the hash of their id from all rows that training may use."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
+    usable = ready(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     n = usable.select(F.count(F.lit(1))).first()[0]
     share = min(1.0, bound / max(n, 1))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -187,13 +189,13 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     ``lang_pred`` is a learned label, or ``und`` with score 0 for texts that are null or have no letter. ``rejected`` is true
     for ``und`` and below the calibrated threshold. Only the text is looked at; every row is predicted by itself.
     """
-    kept = docs.drop(*[c for c in ("lang_pred", "score", "rejected") if c in docs.columns])
+    kept = ready(docs).drop(*[c for c in ("lang_pred", "score", "rejected") if c in docs.columns])
     return kept.withColumn("__guess", _guess(model)(F.col(text_col))).select("*", "__guess.*").drop("__guess")
 
 
 def known_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs``, with just its columns, without the rejected rows."""
-    return docs.where(~_guess(model)(F.col(text_col))["rejected"])
+    return ready(docs).where(~_guess(model)(F.col(text_col))["rejected"])
 
 
 def _guess(model: Model):

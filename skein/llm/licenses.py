@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from skein.llm.common import ready
+
 # Phrases whose every place counts, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -193,7 +195,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows[["first_word", "last_word"]] = rows[["first_word", "last_word"]].astype("Int64")
             yield rows.assign(doc_id=batch["doc_id"])[["doc_id", *names]]
 
-    kind = dict(docs.dtypes)[id_col]
+    kind = dict(ready(docs).dtypes)[id_col]
     return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInPandas(
         run, f"doc_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, "
              "score double")

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skein.llm.common import ready
 from skein.session import stage
 
 MIN_CHARS = 16           # shorter lines must be equal
@@ -172,7 +173,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``MIN_CHARS`` characters go only for an equal one. Rows without an id come last in the order; rows equal in id and text
     count as one and all keep the same lines.
     """
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(ready(docs), id_col, text_col)
     first = F.struct(F.col("id").isNull().alias("late"), "id", "t", "no").alias("first")
     owned = stage(lines.select(*_ident(F.col("line")), first).groupBy("h1", "h2").agg(F.min("first").alias("first")), "line-owners")
     keyed = lines.select("line", *_ident(F.col("line")), F.explode_outer(_half_keys(F.col("line"))).alias("key")).where("key is not null")

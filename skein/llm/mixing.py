@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skein.llm.common import partitions, running_start
+from skein.llm.common import partitions, ready, running_start
 from skein.session import stage
 
 WEIGHTS = (5, 2, 1)      # by the rank of a source, repeating
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for every row of ``docs``. ``pieces``: rank, start, shard, number, first, taken: which words of which row each slot takes.
     Null texts have size 0 and are never taken; null sources are a source of their own; repeated rows each have their words.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("tie"),
+    base = ready(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("tie"),
                        word_count(F.col(text_col)).alias("size"))
     base = stage(base, "mix-sizes")
     targets = stage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-targets")

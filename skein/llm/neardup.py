@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skein.llm.common import words_of
+from skein.llm.common import ready, words_of
 from skein.session import stage
 
 SHINGLE = 5
@@ -200,7 +200,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words, null and empty ones among them, are a class each and all kept. Rows without an id come last; rows
     equal in id and text are in one class, and all of them stay if one does.
     """
-    all_rows = stage(signed_rows(docs, id_col, text_col, bands, rows, shingle), "near-rows")
+    all_rows = stage(signed_rows(ready(docs), id_col, text_col, bands, rows, shingle), "near-rows")
     who = F.struct(F.col("id").isNull().alias("late"), "id", "t")
     reps = all_rows.where("some").groupBy("c1", "c2").agg(F.min(who).alias("who"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
     reps = stage(reps.withColumn("node", _node()), "near-classes")

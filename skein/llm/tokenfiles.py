@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 import zstandard
 
-from skein.llm.common import partitions
+from skein.llm.common import partitions, ready
 from skein.session import stage, staging_root
 
 MAGIC = b"SKEINTOK"
@@ -319,7 +319,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 
 def token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as token files into a new folder and read them back; an empty table has no files and no rows."""
-    spark = docs.sparkSession
+    spark = ready(docs).sparkSession
     folder = folder or f"{staging_root(spark)}/tokens-{uuid.uuid4().hex}"
     manifest = write_tokens(docs, tokenizer_path, folder, **options)
     if manifest.isEmpty():
