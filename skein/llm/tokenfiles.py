@@ -36,7 +36,7 @@ END_ID = 2               # appended to every document
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22       # a file ends after the document that reaches this
 LEVEL = 3
-WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 700_000, 900_000
 SLICE_CHARS = 1 << 19
 # Latin words without an apostrophe: letters that change by case only, and what can't be part of a letter run
 _PLAIN = re.compile(r"[\x00-&(-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
