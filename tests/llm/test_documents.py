@@ -163,6 +163,18 @@ def test_personal_data_model(spark):
     assert redacted[0].text.startswith("Reach me at <email>") and redacted[1].text is None
 
 
+def test_whole_secrets(spark):
+    """Long values and values of parts joined by dots are found and replaced whole."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    long = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(7))[:400]
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{long[:90]}.{long[100:143]}"
+    for value in (long, jwt, long * 50):
+        for text in (f'Set api_key = "{value}" here.', f"Set token = {value}. Then"):
+            found = [(a, b) for k, a, b in pii.chosen(text, model)[1] if k == 4]
+            assert len(found) == 1 and value in text[found[0][0]:found[0][1]]
+            assert value[-20:] not in pii.cleaned(text, pii.chosen(text, model)[1]) and pii.random_looking(text)
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
     rng = np.random.default_rng(1)
