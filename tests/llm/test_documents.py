@@ -175,6 +175,29 @@ def test_whole_secrets(spark):
             assert value[-20:] not in pii.cleaned(text, pii.chosen(text, model)[1]) and pii.random_looking(text)
 
 
+def test_loose_personal_data(spark):
+    """Each generator adds spans; dates, versions and dotted numbers stay out; a loose match inside a base span is no second one."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+    def added(text):
+        base, everything = pii.chosen(text, model)
+        return [(pii.KINDS[k], text[a:b]) for k, a, b in everything if (k, a, b) not in base]
+
+    for mail in ("jane [at] example [dot] org", "jane.roe(at)mail.example.com", "j_roe7 (at) example.org", "info[@]example[dot]net"):
+        assert added(f"Please write to {mail}, or come by.") == [("email", mail)]
+        assert pii.cleaned(f"Ask <{mail}>", pii.chosen(f"Ask <{mail}>", model)[1]) == "Ask <<email>>"
+    for phone in ("(974) 555-3436", "974-555-3436", "974 555 3436", "974.555.3436", "(974) 555 3436", "0974 555 3436", "20 7946 0958"):
+        for text in (f"The number of the office is {phone} until noon.", f"Call {phone}.", phone, f"x ({phone}), y"):
+            assert added(text) == [("phone", phone)], text
+    secret = 'api_key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"'
+    assert added(f"Set {secret} here.") == [("secret", secret)]
+    for plain in ("12.05.2021", "12-05-2021", "2021-05-12", "12 05 2021", "version 10.15.7001", "v12.34.567", "10.20.30.4000", "123.456.789", "123 456 789",
+                  "1999 2003 2010", "12.34.5678", "in the years 2019 2020 2021", "values (at) 3.14", "x[at]10.25", "123.456.7890.12", "1.22.333.4444"):
+        assert added(f"It was {plain}, as said before.") == [], plain
+    assert added("Call +1 (974) 555-3436 now, or a.b@example.org") == []
+    assert pii.fit(spark.createDataFrame([(i, "some words only " * 9 + str(i)) for i in range(60)], "doc_id long, text string")) is not None
+
+
 def test_boosting_learns_a_rule():
     import numpy as np
     rng = np.random.default_rng(1)
