@@ -11,7 +11,7 @@ from skein.operators.knn import nearest
 from skein.operators.ranking import page
 from skein.plans.oracles import cosine, cte, iso
 from skein.plans.registry import query
-from skein.sources.bridge import CHUNKS_PER_SOURCE, Tables
+from skein.sources.bridge import CHUNKS_PER_SOURCE, Tables, numbered
 from skein.operators.wiki import iso as iso_col
 
 
@@ -125,9 +125,9 @@ FROM questions q, LATERAL (SELECT 1 AS rank, q.query_id % 997 AS entity_id UNION
 WHERE w.entity_id IN (SELECT entity_id FROM entities)""")
 def seeds_by_id(t: Tables):
     """Two wanted ids per question; ids that are no entity drop out."""
-    wanted = t.questions().select("query_id", F.posexplode(F.array(F.col("query_id") % 997, F.col("query_id") * 3 + 1)).alias("rank", "entity_id"))
+    wanted = t.questions().select("query_id", F.posexplode(F.array(F.col("query_id") % 997, F.try_add(F.try_multiply(F.col("query_id"), F.lit(3)), F.lit(1)))).alias("rank", "entity_id"))
     found = R.seeds_by_id(wanted.withColumn("rank", F.col("rank") + 1), t.entities())
-    return found.select((F.col("query_id") * 1000 + F.col("rank")).alias("pick"), "query_id", "entity_id", "score", "seed_quality")
+    return found.select(numbered(F.col("query_id"), F.col("rank"), 1000).alias("pick"), "query_id", "entity_id", "score", "seed_quality")
 
 
 @query("one_hop_links", """
@@ -361,7 +361,7 @@ def source_cascade_delete(t: Tables):
     docs = t.raw("documents").select("doc_id", "source")
     largest = page(docs.groupBy("source").count(), [F.col("count").desc(), F.col("source")], 0, 1)
     doomed = docs.join(largest, "source", "left_semi").select(F.col("doc_id").alias("source_id"))
-    log = same_name(t).withColumn("chunk_id", F.col("from_id") * CHUNKS_PER_SOURCE)
+    log = same_name(t).withColumn("chunk_id", numbered(F.col("from_id"), F.lit(0), CHUNKS_PER_SOURCE))
     left = merge.delete_sources(doomed, t.sources(), t.chunks(), t.chunk_entities(), t.relations(), log)
     null = F.lit(None).cast("bigint")
     parts = {"sources": ("source_id", null), "chunks": ("chunk_id", F.col("source_id")), "chunk_entities": ("chunk_id", F.col("entity_id")),

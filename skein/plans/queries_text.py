@@ -280,15 +280,15 @@ FROM rules r JOIN (SELECT *, type <> 'poetry' AND tenth <> 9 AS ok FROM model_an
   QUALIFY row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY query_id) = 1) a
 ON lower(trim(a.text)) = lower(trim(r.raw_query))"""))
 def query_plan_escalation(t: Tables):
-    asked = t.questions().select("query_id", "text")
-    turn, conv = F.col("query_id") % 1000, F.floor(F.col("query_id") / 1000)
+    asked = t.asked().select("query_id", "text", "conv_id", "turn")
+    turn, conv = [F.coalesce(F.col(c), F.lit(0)) for c in ("turn", "conv_id")]
     kind = F.when(turn % 3 == 2, "poetry").otherwise(F.when(turn % 2 == 0, "comparison").otherwise("summarization"))
     tenth = (conv + turn) % 10
     body = F.concat(F.lit('```json\n{"type": "'), kind, F.lit('", "confidence": '), (tenth / 10).cast("string"),
                     F.lit(', "rationale": "because"'), F.when(tenth == 9, "").otherwise("}"), F.lit("\n```"))
     first = asked.groupBy(planning.question_key(F.col("text")).alias("question_key")).agg(
         F.min(F.struct("query_id", body.alias("answer")))["answer"].alias("answer"))
-    return _plan_rows(planning.classify(asked, first))
+    return _plan_rows(planning.classify(asked.select("query_id", "text"), first))
 
 
 # --- vectors -------------------------------------------------------------------------------------

@@ -39,9 +39,15 @@ def iso(ts: Column) -> Column:
 
 
 def numbered(parent: Column, number: Column, room: int) -> Column:
-    """Id of a numbered part. The given tables only hold whole numbers, so parts share out a range; a part beyond it is an error."""
-    return F.when(number.between(0, room - 1), parent * room + number).otherwise(
-        F.raise_error(F.concat(F.lit("no id left for part "), number.cast("string"))).cast("bigint"))
+    """Id of a numbered part, for every parent and number, null among them.
+
+    Parts numbered below ``room`` share out a range that starts at the parent's multiple; all others get a negative id, the
+    hash of both (63 bits), so the two can't meet. Among negative ids the order of ids is not the order of numbers.
+    """
+    parent, number = parent.cast("bigint"), number.cast("bigint")
+    hashed = F.xxhash64(parent.isNull(), parent, number.isNull(), number).bitwiseOR(F.lit(-1 << 63))
+    fits = parent.between(0, (1 << 63) // room - 1) & number.between(0, room - 1)
+    return F.when(fits, parent * room + number).otherwise(hashed)
 
 
 def chosen(key: Column, options: dict[str, str], default: str) -> Column:
@@ -136,7 +142,7 @@ class Tables:
             own = self.chunks().select("chunk_id", F.col("source_id").alias("source_entity_id"), "chunk_index")
             kinds = F.array(*[F.lit(t) for t in RELATION_TYPES])
             told = own.select(
-                (F.col("chunk_id") * 10).alias("relation_id"), "source_entity_id",
+                numbered(F.col("chunk_id"), F.lit(0), 10).alias("relation_id"), "source_entity_id",
                 F.pmod(F.col("source_entity_id") * 31 + F.col("chunk_index") * 17 + 7,
                        F.lit(self.document_count)).alias("target_entity_id"),
                 F.get(kinds, F.pmod("chunk_index", F.lit(len(RELATION_TYPES)))).alias("relation_type"),
@@ -147,7 +153,7 @@ class Tables:
             grouped = (
                 own.filter("chunk_index = 0").join(docs, F.col("source_entity_id") == F.col("doc_id"))
                 .join(first, "source")
-                .select((F.col("chunk_id") * 10 + 1).alias("relation_id"), "source_entity_id", "target_entity_id",
+                .select(numbered(F.col("chunk_id"), F.lit(1), 10).alias("relation_id"), "source_entity_id", "target_entity_id",
                         F.lit("published_with").alias("relation_type"), "chunk_id")
             )
             return told.unionByName(grouped).withColumns({
@@ -155,8 +161,7 @@ class Tables:
                 "confidence_tag": F.when(F.col("relation_type") == "cites", "EXTRACTED").otherwise("INFERRED"),
             })
 
-        return self._staged("relations", build).withColumn(
-            "created_at", at_second((F.col("chunk_id") / CHUNKS_PER_SOURCE).cast("bigint")))
+        return self._staged("relations", build).withColumn("created_at", at_second(F.col("source_entity_id")))
 
     def chunk_entities(self) -> DataFrame:
         """A chunk mentions both ends of its relation; being published together is no mention."""
@@ -231,10 +236,15 @@ class Tables:
 
     def questions(self) -> DataFrame:
         """User turns as questions; the vector of a question is one of the given vectors."""
+        return self.asked().drop("conv_id", "turn")
+
+    def asked(self) -> DataFrame:
+        """Questions with the conversation and turn they come from; a missing one counts as 0 for the vector, not for the id."""
         prefix = F.coalesce(F.get(F.array(*[F.lit(p) for p in QUESTION_PREFIXES]), F.pmod("turn", F.lit(5)).cast("int")),
                             F.lit(""))
         asked = self.raw("conversations").filter("role = 'user'").select(
             numbered(F.col("conv_id"), F.col("turn"), TURNS_PER_CONVERSATION).alias("query_id"),
             F.concat(prefix, F.col("text")).alias("text"), F.col("conv_id"), F.col("turn"),
         )
-        return self.with_vector(asked, F.col("conv_id") * 13 + F.col("turn") * 7).drop("conv_id", "turn")
+        conv, turn = [F.pmod(F.coalesce(F.col(c), F.lit(0)), F.lit(self.vector_count)) for c in ("conv_id", "turn")]
+        return self.with_vector(asked, conv * 13 + turn * 7)

@@ -1,12 +1,15 @@
 import datetime as dt
 from dataclasses import replace
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from skein.config import DEFAULTS
 from skein.operators import retrieval as R
 from skein.operators.ranking import budget_prefix
+from skein.sources.bridge import Tables, numbered
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -118,3 +121,30 @@ def test_hot_entity_is_complete_in_any_block_size(spark, data):
     one = R.retrieve_single(question(spark, seed_entity_ids=[1]), hot).summary.first()
     many = R.retrieve_single(question(spark, seed_entity_ids=[1]), hot, replace(DEFAULTS, dedup_block_rows=25)).summary.first()
     assert one == many and one.chunks_fetched == 300 and 1 < one.chunks_after_dedup < 300
+
+
+def test_questions_of_any_turn(spark, tmp_path):
+    """More turns than a range holds, turns without a number and very large conversation ids: every question gets an id of its own."""
+    for name in ("documents", "embeddings"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    rows = [(1, i, "user", f"text {i}") for i in range(1500)] + [(2, i, "user", "more") for i in (0, 999, 1000, 10**6)]
+    rows += [(1, None, "user", "no turn"), (2, None, "user", "none"), (None, 5, "user", "no conversation"), (None, None, "user", "neither"),
+             (1 << 61, 3, "user", "large"), (3, -1, "user", "before")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    t = Tables(spark, str(tmp_path))
+    asked = t.asked().collect()
+    assert len(asked) == len(rows) == len({r.query_id for r in asked}) and all(r.embedding is not None for r in asked)
+    inside = [r for r in asked if r.conv_id in (1, 2) and r.turn is not None and r.turn < 1000]
+    assert len(inside) == 1002 and all(r.query_id == r.conv_id * 1000 + r.turn for r in inside)
+    assert sum(r.query_id < 0 for r in asked) == len(rows) - 1002
+    for name in ("seeds_by_id", "query_plan_escalation", "retrieve_single"):
+        found = entry.queries()[name](spark, str(tmp_path)).collect()
+        assert name == "seeds_by_id" or {r.query_id for r in found} == {r.query_id for r in asked}
+
+
+def test_part_ids(spark):
+    rows = [(p, n) for p in (None, -1, 0, 7, 8, (1 << 63) - 1) for n in (None, -1, 0, 1, 999_999, 1_000_000, 1 << 40)]
+    out = spark.createDataFrame(rows, "p long, n long").select("p", "n", numbered(F.col("p"), F.col("n"), 1_000_000).alias("id"))
+    nested = {r.id: r for r in out.withColumn("sub", numbered(F.col("id"), F.lit(1), 10)).collect()}
+    assert len(nested) == len(rows) == len({r["sub"] for r in nested.values()})
+    assert all(i == r.p * 1_000_000 + r.n and r["sub"] == i * 10 + 1 for i, r in nested.items() if i >= 0)
