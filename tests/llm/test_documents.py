@@ -121,6 +121,25 @@ def test_licenses(docs, spark):
     assert 0 < labels[103][1] < 1 or labels[103][1] == 0
 
 
+def test_license_forms():
+    """Common headers and headings, with their places; versions and kinds of nearly the same words are told apart."""
+    scan = licenses.Scanner(licenses.PHRASES, licenses.NOTICES).scan
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+           "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+    for text, labels in [(gpl.format(3), "gpl,gpl-3.0"), (gpl.format(2), "gpl,gpl-2.0"), (gpl.format(3).replace("GNU", "GNU Lesser"), "gpl,lgpl"),
+                         ("Licensed under the Apache License 2.0", "apache-2.0"), ("Licensed under the Apache License, Version 1.1", ""),
+                         ("MIT License\n\nCopyright (c) 2020", "mit"), ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl,gpl-3.0"),
+                         ("This file is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("of the software and of the license", ""),
+                         ("Creative Commons Attribution-NonCommercial 4.0 International License", "")]:
+        assert scan(text)[5] == labels, text
+    found = scan("x " * 50 + "Licensed under the Apache License 2.0 " + "y " * 50 + "MIT License" + " z" * 9 + " MIT License")
+    assert found[7] == "apache-2.0:50:56,mit:107:108,mit:118:119" and found[6] == 1.0
+    # a run that repeats an earlier part between two halves does not lose the chain
+    scanner = licenses.Scanner({}, {"n": ["a b c d e f g h i j"]})
+    assert scanner.scan("a b c d e x b c x f g h i j")[5:] == ("n", 1.0, "n:0:13")
+    assert scanner.scan("a b c d e x y z u v w q f g h i j")[5] == ""
+
+
 def test_matching_statistics():
     """Against the longest substring of any sequence that ends at each word, found by trying all."""
     sequences = [[0, 1, 2, 0, 1, 3], [1, 2, 1, 2, 1], [0, 1, 2, 0, 1, 3], [4]]
