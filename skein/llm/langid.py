@@ -5,8 +5,9 @@ words, and a linear softmax reads the average. The model is trained by stochasti
 of labelled rows. Averaging is linear, so a trained model needs only one score vector per n-gram: tasks keep the sums of words
 they have met and handle a text as counts of words.
 
-Scores are calibrated with a temperature on rows kept from the training. A text is rejected below a threshold that keeps
-``KEEP`` of the calibration rows whose language was predicted rightly.
+Scores are calibrated with a temperature on rows kept from the training. A text is rejected below the lowest threshold from which
+on at least ``PRECISION`` of the kept calibration rows are right, as far as ``KEEP`` of the rightly predicted rows stay; where wrong
+rows ask for none, it is 0.5 or what ``KEEP`` allows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.llm.common import ready
 
@@ -29,7 +30,8 @@ DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
 EPOCHS = 6
 RATE = 0.5
-KEEP = 1.0
+PRECISION = 0.995
+KEEP = 0.995
 CACHE_WORDS = 300_000
 SLICE_ROWS = 256
 UNKNOWN = "und"
@@ -152,19 +154,46 @@ def train(texts: list[Counter], langs: list[str], buckets: int = BUCKETS, seed:
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(logits / model.temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    model.threshold = float(min(np.quantile(right, 1 - KEEP), 0.5)) if len(right) else 0.0
+    model.threshold = threshold(p.max(axis=1), p.argmax(axis=1) == truth)
     return model
 
 
+def threshold(scores: np.ndarray, right: np.ndarray) -> float:
+    """The lowest score from which on ``PRECISION`` of the rows are right, but 0.5 at least, and never so high that less than
+    ``KEEP`` of the right rows stay."""
+    if not right.any():
+        return 0.0
+    order = np.argsort(-scores, kind="stable")
+    share = np.cumsum(right[order]) / np.arange(1, len(scores) + 1)
+    last = np.append(scores[order][1:] != scores[order][:-1], True)
+    fine = np.flatnonzero((share >= PRECISION) & last)
+    asked = scores[order][fine[-1]] if len(fine) else 1.0
+    floor = np.quantile(scores[right], 1 - KEEP, method="lower")
+    return float(min(max(asked if not right.all() else 0.0, 0.5), floor))
+
+
 def labelled_sample(docs: DataFrame, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """About ``bound`` labelled rows, never more, drawn by the hash of their id from all rows that training may use."""
+    """At most ``bound`` labelled rows, drawn by the hash of their id from all rows that training may use, language by language.
+
+    Each language gives the same number of rows, or all it has; what small ones leave free goes to the others.
+    """
     usable = ready(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    n = usable.select(F.count(F.lit(1))).first()[0]
-    share = min(1.0, bound / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = usable.where(draw).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return picked.limit(bound)
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    left, quota = bound, bound
+    for i, size in enumerate(sorted(sizes.values())):
+        quota = max(left // (len(sizes) - i), 1)
+        if size > quota:
+            break
+        left, quota = left - size, bound
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30))
+    # about twice the quota goes into the exact draw; languages up to that size whole
+    cut = F.lit(1 << 30)
+    for lang, size in sizes.items():
+        if size > 2 * quota + 100:
+            cut = F.when(F.col(lang_col) == lang, int((2 * quota + 100) / size * (1 << 30))).otherwise(cut)
+    near = usable.where(drawn < cut).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), drawn.alias("__drawn"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("__drawn", F.xxhash64("text")))
+    return near.withColumn("__place", place).where(F.col("__place") <= quota).select("text", "lang").limit(bound)
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE_ROWS, **columns) -> Model:

@@ -242,6 +242,20 @@ def test_language(docs, spark):
     assert {r.lang_pred for r in langid.predict(docs, blank).collect()} == {"und"}
 
 
+def test_language_threshold_and_sample(spark):
+    import numpy as np
+    right = np.linspace(0.4, 1, 1000)
+    assert 0.4 <= langid.threshold(right, np.ones(1000, bool)) <= 0.404  # the floor on right rows
+    scores = np.concatenate([np.linspace(0.9, 1, 1000), np.full(50, 0.7), [0.2]])
+    assert langid.threshold(scores, np.arange(1051) < 1000) >= 0.9
+    odd = np.concatenate([np.linspace(0.9, 1, 999), [0.1], np.full(50, 0.3)])
+    assert langid.threshold(odd, np.arange(1050) < 1000) == 0.5 or langid.threshold(odd, np.arange(1050) < 1000) >= 0.9  # one odd row does not set it
+    rows = [(i, f"text {i}", "rare" if i % 1000 == 0 else "mid" if i % 100 == 1 else "big") for i in range(20_000)]
+    found = Counter(r.lang for r in langid.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 300).collect())
+    usable = Counter(lang for i, _, lang in rows if crc32(str(i).encode()) % 4 != 2)
+    assert found["rare"] == usable["rare"] and sum(found.values()) <= 300 and min(found["mid"], found["big"]) >= 100
+
+
 def test_shards(docs):
     found = shards.shard_documents(docs, shards=5, slots=64).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == Counter(
