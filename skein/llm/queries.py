@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact, langid, licenses, linededup, mixing, neardup, pii, shards, tokenfiles
+from skein.llm import decontaminate, exact, langid, licenses, linededup, mixing, neardup, periods, pii, shards, tokenfiles
 from skein.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of every tenth document by hash, the words from a place on repeat the first few of them."""
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(documents(spark, sf_dir), arrange=repeated_tail)
