@@ -7,7 +7,7 @@ from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact, langid, licenses, linededup, mixing, neardup, periods, pii, shards, tokenfiles
+from skein.llm import decontaminate, exact, impacts, langid, licenses, linededup, mixing, neardup, periods, pii, shards, tokenfiles
 from skein.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,14 @@ def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_report(documents(spark, sf_dir), arrange=repeated_tail)
+
+
+@query("op12_exact_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) v from embeddings
+           where embedding is not null and vec_id is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) score
+      from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
