@@ -7,7 +7,7 @@ from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.llm import decontaminate, exact, impacts, langid, licenses, linededup, mixing, neardup, periods, pii, shards, tokenfiles
+from skein.llm import decontaminate, exact, impacts, langid, licenses, linededup, mixing, neardup, periods, pii, prefixes, shards, tokenfiles
 from skein.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,10 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, cast(rank as integer) rank, vec_id, score from r where rank <= 20""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impacts.exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixes.encode(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    taken = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return prefixes.prefix_trie(prefixes.graft(turns, F.col("conv_id") - F.col("conv_id") % 100, taken, 5))
