@@ -1,11 +1,10 @@
 """Exact top-k inner products over an impact-ordered index, read score at a time.
 
-Vectors of whole numbers are postings: component d with value v is a posting of dimension d with impact v. Equal vectors are one
-class with its first ``k + 1`` rows, which is all a list of k can need. Classes are cut into blocks; the index of a block holds for
-each dimension its postings in segments of equal impact, the greatest first. For a query the segments of all dimensions are read in
-rounds of falling ``|query value * impact|``, a dimension that can add much before one that can add little. What is not read yet of a
-vector adds at most the product of the lengths left of it and of the query: that is the proof. Reading stops only once the proof leaves few possible members, or once all
-is read; these are scored again exactly.
+Equal vectors are one class with its first ``k + 1`` rows, which is all a list of k can need. Classes are cut into blocks; the index of
+a block holds postings (vector, component) in segments of equal quantised impact, the bit length of the component, and within such a
+segment by dimension. A chunk of queries reads the segments of all dimensions from the greatest impact down. What is not read yet of a
+vector adds at most its length without the components read, times the length of the query: that is the proof. Reading stops only once
+the proof leaves few possible members, or once all is read; those are scored again exactly.
 
 A query first searches the block of its own vector; the score of its last place there is the floor under which no other block needs to
 prove anything. Every query meets every block: no vector is left out by a guess.
@@ -24,8 +23,7 @@ from skein.session import fan_out, stage
 
 BLOCK = 4096  # classes of one block
 CHUNK = 256  # queries of one search task
-SHARE = 4  # reading stops once one in so many vectors of a block is a possible member: scoring those is cheaper than reading on
-FALL = 0.4  # each round reads down to this share of the last round's impact
+SHARE = 24  # reading stops once one in so many (query, vector) pairs is possible: scoring those is cheaper than reading on
 LARGEST = 1 << 24  # whole numbers beyond this could overflow sums
 
 
@@ -42,9 +40,15 @@ def _bytes(vectors: np.ndarray) -> bytes:
 
 
 def build_index(vectors: np.ndarray) -> dict[str, bytes]:
-    """The postings of one block: for each dimension its vectors in order of falling absolute impact."""
-    order = np.argsort(-np.abs(vectors), axis=0, kind="stable").T  # one row per dimension
-    return {"postings": _bytes(order), "impacts": _bytes(np.take_along_axis(vectors.T, order, axis=1)), "vectors": _bytes(vectors)}
+    """Postings of one block by falling quantised impact, then dimension; ``segments`` has (level, dimension, end) of each segment."""
+    vec, dim = np.nonzero(vectors)
+    value = vectors[vec, dim]
+    level = np.frexp(np.abs(value).astype(np.float64))[1]  # bit length
+    order = np.lexsort((vec, dim, -level))
+    vec, dim, value, level = vec[order], dim[order], value[order], level[order]
+    ends = np.flatnonzero(np.diff(level * (1 << 20) + dim, append=-1)) + 1 if len(level) else np.zeros(0, np.int64)
+    return {"postings": _bytes(vec), "impacts": _bytes(value), "segments": _bytes(np.stack([level[ends - 1], dim[ends - 1], ends], axis=1)),
+            "vectors": _bytes(vectors)}
 
 
 class Block:
@@ -52,49 +56,42 @@ class Block:
 
     def __init__(self, index: dict[str, bytes], n: int) -> None:
         self.n = n
-        self.vectors = np.frombuffer(index["vectors"], np.int32).reshape(n, -1).astype(np.int64)
-        self.postings = np.frombuffer(index["postings"], np.int32).reshape(-1, n).astype(np.intp)
-        self.impacts = np.frombuffer(index["impacts"], np.int32).reshape(-1, n).astype(np.float64)
-        self.falling = -np.abs(self.impacts)
-        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors).astype(np.float64)
-
-    def search(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """``(vector numbers, exact scores, postings read)`` of all vectors that can be among the k best and reach ``floor``."""
-        n, query = self.n, query.astype(np.int64)
-        sizes = np.abs(query).astype(np.float64)
-        used = np.flatnonzero(sizes)
-        got, read_v, read_q = np.zeros(n), np.zeros(n), np.zeros(n)
-        length = float((query * query).sum())
-        done = np.zeros(len(used), np.int64)
-        bound = float((sizes[used] * -self.falling[used, 0]).max(initial=0.0))
-        possible, read = np.arange(n), 0
-        while (done < n).any():
-            bound = bound * FALL if bound * FALL >= 1 else 0.0
-            at, impacts, weights, counts = [], [], [], []
-            for i, d in enumerate(used.tolist()):
-                upto = int(np.searchsorted(self.falling[d], -bound / sizes[d], "right")) if bound else n
-                if upto > done[i]:
-                    at.append(self.postings[d, done[i]:upto])
-                    impacts.append(self.impacts[d, done[i]:upto])
-                    weights.append(query[d])
-                    counts.append(upto - done[i])
-                    done[i] = upto
-            if not at:
-                continue
-            at, impacts = np.concatenate(at), np.concatenate(impacts)
-            each = np.repeat(np.asarray(weights, np.float64), counts)
-            read += len(at)
-            got += np.bincount(at, impacts * each, n)
-            read_v += np.bincount(at, impacts * impacts, n)
-            read_q += np.bincount(at, each * each, n)
+        self.vectors = np.frombuffer(index["vectors"], np.int32).reshape(n, -1).astype(np.float64)
+        postings, impacts = np.frombuffer(index["postings"], np.int32), np.frombuffer(index["impacts"], np.int32)
+        segments = np.frombuffer(index["segments"], np.int32).reshape(-1, 3)
+        dims = np.repeat(segments[:, 1], np.diff(segments[:, 2], prepend=0))
+        self.levels, left = [], (self.vectors ** 2).sum(axis=1)
+        start = 0
+        for level in sorted(set(segments[:, 0].tolist()), reverse=True):
+            end = int(segments[segments[:, 0] == level, 2].max())
+            plane = np.zeros((n, self.vectors.shape[1]))
+            plane[postings[start:end], dims[start:end]] = impacts[start:end]
+            left = left - (plane ** 2).sum(axis=1)
+            self.levels.append((plane, np.sqrt(np.maximum(left, 0))))
+            start = end
+
+    def search(self, queries: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """``(query numbers, vector numbers, exact scores, levels read)`` of all pairs that can be among a query's k best and reach its floor."""
+        queries = queries.astype(np.float64)
+        got = np.zeros((len(queries), self.n))
+        lengths = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+        needed, possible, read = floors[:, None].astype(np.float64), np.ones(got.shape, bool), 0
+        for plane, rest in self.levels:
+            got += queries @ plane.T
+            read += 1
             # Cauchy-Schwarz over the components not read yet; scores are whole numbers, so rounding is far below the slack
-            left = np.sqrt(np.maximum(self.squares - read_v, 0) * np.maximum(length - read_q, 0)) * (1 + 1e-9) + 1e-3
-            least = got - left
-            kth = float(np.partition(least, n - k)[n - k]) if n > k else -np.inf
-            possible = np.flatnonzero(got + left >= max(kth, floor))
-            if len(possible) <= max(k, n // SHARE):
+            left = lengths * rest[None, :] * (1 + 1e-9) + 1e-3
+            if self.n > k:
+                needed = np.maximum(needed, np.partition(got - left, self.n - k, axis=1)[:, self.n - k][:, None])
+            possible = got + left >= needed
+            if np.count_nonzero(possible) * SHARE <= possible.size:
                 break
-        return possible, self.vectors[possible] @ query, read
+        rows, at = np.nonzero(possible)
+        scores = np.empty(len(rows), np.int64)
+        for cut in range(0, len(rows), 1 << 16):
+            part = slice(cut, cut + (1 << 16))
+            scores[part] = np.rint(np.einsum("ij,ij->i", queries[rows[part]], self.vectors[at[part]]))
+        return rows, at, scores, read
 
 
 _FOUND = "query_class long, class_id long, score long, read long"
@@ -106,23 +103,25 @@ def _search_cells(k: int, at_home: bool):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 if held != row.block:
-                    held, block = row.block, Block({"vectors": row.vectors, "postings": row.postings, "impacts": row.impacts}, len(row.classes))
-                classes, firsts = np.asarray(row.classes), np.asarray(row.firsts)
-                out = []
-                for number, home, floor, query in zip(row.query_classes, row.homes, row.floors, np.frombuffer(row.queries, np.int32).reshape(len(row.floors), -1)):
-                    if at_home or home != row.block:
-                        at, scores, read = block.search(query, k, float(floor))
-                        at, scores = at[scores >= floor], scores[scores >= floor]
-                        # a row among the k best is of a class among the k best by score and smallest id
-                        best = np.lexsort((firsts[at], -scores))[:k]
-                        out.append(pd.DataFrame({"query_class": number, "class_id": classes[at[best]], "score": scores[best], "read": read}))
-                if out:
-                    yield pd.concat(out)
+                    held, block = row.block, Block(row._asdict(), len(row.classes))
+                queries = np.frombuffer(row.queries, np.int32).reshape(len(row.floors), -1)
+                asked = np.flatnonzero((row.homes == row.block) == at_home)
+                if not len(asked):
+                    continue
+                floors = row.floors[asked]
+                rows, at, scores, read = block.search(queries[asked], k, floors)
+                reached = scores >= floors[rows]
+                rows, at, scores = rows[reached], at[reached], scores[reached]
+                # a row among the k best is of a class among the k best by score and smallest id
+                order = np.lexsort((row.firsts[at], -scores, rows))
+                rows, at, scores = rows[order], at[order], scores[order]
+                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                yield pd.DataFrame({"query_class": row.query_classes[asked[rows[best]]], "class_id": row.classes[at[best]], "score": scores[best], "read": read})
 
     return run
 
 
-_INDEX = "block int, classes array<long>, firsts array<long>, postings binary, impacts binary, vectors binary"
+_INDEX = "block int, classes array<long>, firsts array<long>, postings binary, impacts binary, segments binary, vectors binary"
 _CHUNKS = "chunk long, query_classes array<long>, homes array<int>, floors array<double>, queries binary"
 
 
