@@ -77,6 +77,27 @@ def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``stage`` in buckets by ``keys``: joins on them leave these rows where they are and move the other side only."""
+    spark = df.sparkSession
+    table = f"skein_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stage`` wrote for these frames; only for tables that nothing reads any more, as in loops that write each round anew."""
+    for df in frames:
+        spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        root = re.sub("^file:/*", "/", staging_root(spark))
+        for folder in folders:
+            if re.sub("^file:/*", "/", folder).startswith(root + "/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that tasks can import it wherever it is installed here."""
     app = spark.sparkContext.applicationId
