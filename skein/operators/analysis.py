@@ -142,7 +142,7 @@ def _local_moving(edges: DataFrame, labels: DataFrame, double_m: float, rounds:
     return labels
 
 
-def communities(view: View, rounds: int = 24, levels: int = 10, least: float = 0.001, hub_edges: int = HUB_EDGES) -> DataFrame:
+def communities(view: View, rounds: int = 24, levels: int = 10, least: float = 0.02, hub_edges: int = HUB_EDGES) -> DataFrame:
     """``(entity_id, community_id)``: local moving for modularity, then contraction of communities to nodes, level after level.
 
     A level ends when no more than the share ``least`` of its nodes moved in a round, or after ``rounds``; the last level is one that

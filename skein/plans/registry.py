@@ -31,5 +31,5 @@ def graph_of(t: Tables) -> Graph:
 
 def load() -> None:
     from skein.plans import (  # noqa: F401
-        queries_text, queries_graph, queries_ingest, queries_queue, queries_retrieval, queries_wiki,
+        queries_text, queries_graph, queries_analysis, queries_ingest, queries_queue, queries_retrieval, queries_search, queries_wiki,
     )
