@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skein.operators import search as S
+from skein.operators import lint as L, search as S
+from skein.operators.closepairs import close_pairs
 from skein.plans.oracles import cte
 from skein.plans.registry import query
 from skein.sources.bridge import Tables
@@ -46,3 +47,35 @@ def search_documents(t: Tables):
 def search_work(t: Tables):
     """How many posting blocks each search met and read."""
     return found(t).work
+
+
+# --- lint ------------------------------------------------------------------------------------------
+cte("lint_pages", "SELECT page_id, entity_id, slug, content, synthesized_at FROM wiki_pages WHERE status = 'published'")
+cte("lint_pieces", "SELECT page_id, unnest(string_split(content, '[[')[2:]) AS piece FROM lint_pages")
+cte("lint_links", "SELECT DISTINCT page_id, string_split(piece, ']]')[1] AS slug FROM lint_pieces WHERE contains(piece, ']]')")
+cte("lint_alike", """
+SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a, vecs b WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.92""")
+_ORPHANS = """
+SELECT 'orphan' AS kind, page_id, entity_id, slug AS detail FROM lint_pages p
+WHERE NOT EXISTS (SELECT 1 FROM lint_links l WHERE l.slug = p.slug AND l.page_id <> p.page_id)"""
+_MISSING = """
+SELECT 'missing_link', page_id, CAST(NULL AS BIGINT), slug FROM lint_links WHERE slug NOT IN (SELECT slug FROM lint_pages)"""
+_STALE = """
+SELECT 'stale', p.page_id, p.entity_id, count(*) || ' newer chunks' FROM lint_pages p JOIN links k ON k.entity_id = p.entity_id
+JOIN chunks c ON c.chunk_id = k.chunk_id JOIN sources s ON s.source_id = c.source_id WHERE s.created_at > p.synthesized_at GROUP BY 2, 3"""
+_DUPLICATES = """
+SELECT 'duplicate', CAST(NULL AS BIGINT), x.entity_id, CAST(min(y.entity_id) AS VARCHAR) FROM entities x
+JOIN lint_alike ON a = x.vec_id JOIN entities y ON y.vec_id = b AND y.entity_type = x.entity_type WHERE y.entity_id < x.entity_id GROUP BY 3"""
+
+
+@query("lint", " UNION ALL ".join((_ORPHANS, _MISSING, _STALE, _DUPLICATES)))
+def lint_wiki(t: Tables):
+    return L.lint(t.wiki_pages(), t.entities(), t.chunks(), t.chunk_entities())
+
+
+@query("close_entity_vectors", """
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM vecs a, vecs b
+WHERE a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.4""")
+def close_entity_vectors(t: Tables):
+    """All pairs of given vectors that are alike by a low threshold, so that there are some."""
+    return close_pairs(t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4).pairs
