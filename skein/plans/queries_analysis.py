@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import analysis
 from skein.plans.oracles import cte
 from skein.plans.registry import query
+from skein.session import staging_root
 from skein.sources.bridge import Tables
+from skein.sources.runs import RunStore
 
 
 def view_of(t: Tables) -> analysis.View:
@@ -91,3 +95,15 @@ def graph_analysis(t: Tables):
     """Members of a whole analysis run with their rank and the cohesion of their community."""
     run = analysis.analyse(t.entities(), t.relations())
     return run["community_members"].join(run["community_summaries"], "community_id").select("entity_id", "community_id", "pagerank_score", "n_members", "cohesion")
+
+
+@query("latest_run", "SELECT community_id, n_members, n_edges, round(cohesion, 12) AS cohesion FROM typed_cohesion")
+def latest_run(t: Tables):
+    """The latest committed run of a snapshot table, after a superseded one was removed and beside one that was never committed."""
+    store = RunStore(t.spark, f"{staging_root(t.spark)}/runs-{uuid.uuid4().hex}")
+    view, members = view_of(t), _by_type(t)
+    store.save({"summaries": analysis.cohesion(members, view.undirected.limit(0))})
+    store.save({"summaries": analysis.cohesion(members, view.undirected)})
+    store.write(store.start(), "summaries", analysis.cohesion(members.limit(0), view.undirected))
+    store.retain(1)
+    return store.read("summaries").withColumn("cohesion", F.round("cohesion", 12))

@@ -30,6 +30,7 @@ _RUNTIME_CONF = {
 _SHIPPED: set[str] = set()
 _LOCAL_ROOTS: dict[str, str] = {}
 _STAGED: dict[tuple, DataFrame] = {}
+_WRITTEN: dict[str, list[str]] = {}  # by application, what it staged
 
 
 def build_session(app: str = "skein", master: str | None = None, shuffle_partitions: int | None = None,
@@ -73,6 +74,7 @@ def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` once to the staging folder and return a scan of it; ``folders`` are columns whose values readers pick by."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,20 +84,35 @@ def stage_bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     spark = df.sparkSession
     table = f"skein_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{staging_root(spark)}/{table}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``stage`` wrote for these frames; only for tables that nothing reads any more, as in loops that write each round anew."""
     for df in frames:
-        spark, folders = df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        root = re.sub("^file:/*", "/", staging_root(spark))
-        for folder in folders:
+        root = re.sub("^file:/*", "/", staging_root(df.sparkSession))
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if re.sub("^file:/*", "/", folder).startswith(root + "/"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete_path(df.sparkSession, folder)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete all that this application staged, once its results are written; how many tables those were. Snapshots are built anew after it."""
+    app = spark.sparkContext.applicationId
+    paths = _WRITTEN.pop(app, [])
+    for path in paths:
+        delete_path(spark, path)
+    for key in [k for k in _STAGED if k[0] == app]:
+        del _STAGED[key]
+    return len(paths)
 
 
 def ship(spark: SparkSession) -> None:
