@@ -10,6 +10,7 @@ of one notice can't hide a shorter one of another. The places of chains long eno
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 import re
@@ -227,8 +228,9 @@ class Scanner:
                 ends.append((covered, first, start + length - 1))
         taken: list[tuple[int, int]] = []
         for _, first, last in sorted(ends, key=lambda e: (-e[0], e[2] - e[1], e[1])):
-            if all(last < a or b < first for a, b in taken):
-                taken.append((first, last))
+            at = bisect_left(taken, (first, last))  # taken ones are apart, so only the neighbours can overlap
+            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                taken.insert(at, (first, last))
         return max((c for o in kept for c, _ in o.values()), default=0), taken
 
 
