@@ -20,6 +20,7 @@ from skein.session import stage, staging_root
 SLOTS = 4096
 SHARDS = 40
 ROW_BYTES = 16
+REPEATS = 65_536  # equal rows that are numbered off at once
 
 
 def record_slots(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,13 +91,19 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, i
 
     The law is ``bytes``: the sizes of the shards are near equal, as far as single records allow. ``slot`` counts the rows of
     a shard from 0 without gaps; ``virtual_slot`` is the fixed hash slot. ``grown_shard`` is null, as this law has none. Null
-    texts have no bytes; repeated rows each keep a place of their own; an empty table gives no rows.
+    texts have no bytes; repeated rows each keep a place of their own, the first at its hash slot and the others spread; an empty table gives no rows.
     A map stored at ``map_path`` is read and edited, so records move only as far as the balance asks.
     """
     spark = docs.sparkSession
     base = record_slots(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), slots, "__id", "__text")
-    base = stage(base.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"),
-                             "__slot"), "shard-records")
+    # equal rows are counted first and told apart by number, so that a large group of them goes to many slots
+    equal = base.groupBy(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "__slot",
+                         F.xxhash64("__text").alias("__hash")).agg(F.count(F.lit(1)).alias("__rows"))
+    batch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / REPEATS)))
+    cut = equal.withColumn("__batch", batch).withColumn("__first", F.col("__batch") * REPEATS)
+    each = cut.withColumn("__number", F.explode(F.sequence("__first", F.least(F.col("__first") + REPEATS, "__rows") - 1)))
+    repeated = F.pmod(F.xxhash64("doc_id", "__hash", "__number"), F.lit(slots)).cast("int")
+    base = stage(each.select("doc_id", "size", "text_crc32", F.when(F.col("__number") == 0, F.col("__slot")).otherwise(repeated).alias("__slot")), "shard-records")
     sums = stage(slot_bytes(base.withColumnRenamed("size", "__size")), "slot-bytes")
     weight = {r["__slot"]: r.bytes for r in sums.collect()}  # one row for each of the fixed slots
     path = map_path or f"{staging_root(spark)}/slot-map-{uuid.uuid4().hex}"

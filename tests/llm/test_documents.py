@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 import hashlib
 import re
+import time
 from zlib import crc32
 
 import pytest
@@ -267,6 +268,24 @@ def test_shards(docs):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_shards_spread_repeated_rows(spark):
+    rows = spark.range(6000).selectExpr("id doc_id", "concat('text ', id) text").unionAll(spark.range(100_000).selectExpr("-1L doc_id", "'the same row again' text"))
+    found = shards.shard_documents(rows).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    loads = [r["sum(size)"] for r in found]
+    assert len(loads) == 40 and max(loads) <= 1.02 * min(loads)
+    assert sum(r["count(1)"] for r in found) == 106_000 and all(r["max(slot)"] + 1 == r["count(1)"] for r in found)
+
+
+def test_long_texts_take_linear_time():
+    several = "mit license one two three four five six seven eight " * 20_000 + "the license " * 20_000
+    personal = "write to jane.doe@example.org or +44 20 7946 0958, (974) 555-3436 and token = abcdefghijklmnopqrstuv0123 then 10.0.0.1 " * 20_000
+    start = time.time()
+    scanner = licenses.Scanner(licenses.PHRASES, licenses.NOTICES)
+    scanner.scan(several)
+    base, candidates = pii.spans(personal)
+    assert len(base) == 60_000 and len(candidates) >= len(base) and time.time() - start < 60
+
+
 def test_shards_near_equal_and_edited(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = f"file://{tmp_path}/map"
