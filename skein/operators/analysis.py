@@ -177,10 +177,9 @@ def modularity(members: DataFrame, undirected: DataFrame) -> DataFrame:
     ends = undirected.select(F.explode(F.array("a", "b")).alias("entity_id")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("k"))
     totals = ends.join(members, "entity_id").groupBy("community_id").agg(F.sum("k").alias("tot"))
     inside = _inside(members, undirected).where("same").groupBy(F.col("community_a").alias("community_id")).agg(F.count(F.lit(1)).alias("inner"))
-    m = undirected.agg(F.count(F.lit(1)).alias("m"))
-    parts = totals.join(inside, "community_id", "left").crossJoin(F.broadcast(m))  # one row
-    part = F.coalesce("inner", F.lit(0)) / F.col("m") - F.pow(F.col("tot") / (2 * F.col("m")), 2)
-    return parts.agg(F.sum(part).alias("modularity"))
+    m = undirected.count()
+    part = F.coalesce("inner", F.lit(0)) / F.lit(m) - F.pow(F.col("tot") / F.lit(2 * m), 2)
+    return totals.join(inside, "community_id", "left").agg(F.sum(part).alias("modularity"))
 
 
 def _inside(members: DataFrame, undirected: DataFrame) -> DataFrame:

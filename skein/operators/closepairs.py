@@ -94,6 +94,5 @@ def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
     keys = [[f"{side}_{c}" for c in ("cell", "blocks", "chunks")] for side in "lr"]
     found = stage(fan_out(lefts, *keys[0]).groupBy(*keys[0]).cogroup(fan_out(rights, *keys[1]).groupBy(*keys[1])).applyInPandas(
         tile, "a long, b long, similarity double, compared long"), "close-found")
-    n = classes.agg(F.count(F.lit(1)).alias("n"))
-    work = found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).crossJoin(F.broadcast(n)).select("compared", (F.col("n") * F.col("n")).alias("possible"))
+    work = found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).withColumn("possible", F.lit(classes.count() ** 2).cast("long"))
     return Close(found.where("compared = 0").select("a", "b", "similarity"), told, work)

@@ -68,8 +68,8 @@ SELECT CAST(CAST('0x' || substr(md5('earlier|' || name), 1, 16) AS UBIGINT) % 92
   SELECT DISTINCT unnest(regexp_extract_all(text, '\p{{Lu}}\p{{Ll}}+')) AS name FROM benchmark)""")
 cte("mention_groups", """
 SELECT lower(name) AS name_key, min(name) AS name, min(chunk_id) AS chunk_id, count(*) AS uses FROM words GROUP BY lower(name)""")
-cte("mention_vecs", f"SELECT name_key, name, {_hash_sql('name || chr(32) || chr(78) || chr(97) || chr(109) || chr(101) || chr(100) || chr(32) || name')} AS v FROM mention_groups")
-cte("earlier_vecs", f"SELECT entity_id, name, {_hash_sql('name || chr(32) || chr(78) || chr(97) || chr(109) || chr(101) || chr(100) || chr(32) || name')} AS v FROM earlier")
+cte("mention_vecs", f"""SELECT name_key, name, {_hash_sql("name || ' Named ' || name")} AS v FROM mention_groups""")
+cte("earlier_vecs", f"""SELECT entity_id, name, {_hash_sql("name || ' Named ' || name")} AS v FROM earlier""")
 cte("merged_mentions", """
 SELECT m.name_key, min(e.entity_id) AS into_id FROM mention_vecs m JOIN earlier_vecs e ON lower(e.name) = m.name_key
 WHERE list_distance(m.v, e.v) <= 0.6 GROUP BY m.name_key""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+import uuid
+
 from pyspark.sql import Column, functions as F
 
 from skein.config import DEFAULTS
@@ -10,8 +13,9 @@ from skein.operators import planning
 from skein.operators.chunking import chunk_documents, explode_chunks, pack_sections
 from skein.plans.oracles import CAPS, HALF, NL, WS_CHARS, cte, slug, strip, tokens
 from skein.plans.registry import query
-from skein.session import spread
+from skein.session import spread, staging_root
 from skein.sources.bridge import Tables
+from skein.sources.planlog import TTL_DAYS, PlanLog
 
 
 def docs(t: Tables):
@@ -291,6 +295,19 @@ def query_plan_escalation(t: Tables):
     return _plan_rows(planning.classify(asked.select("query_id", "text"), first))
 
 
+@query("plan_log", _plan_sql("SELECT * FROM rules WHERE confidence >= 0.5"))
+def plan_log(t: Tables):
+    """Plans in the log after a run was appended twice and an older one expired."""
+    log = PlanLog(t.spark, f"{staging_root(t.spark)}/plans-{uuid.uuid4().hex}")
+    plans = planning.classify(t.questions().select("query_id", "text"))
+    now = datetime(2024, 6, 30, 12)
+    log.append(plans, "old", now - timedelta(days=TTL_DAYS))
+    for _ in range(2):
+        log.append(plans, "new", now)
+    log.expire(now)
+    return _plan_rows(log.live(now).withColumn("rejected", F.lit(False)))
+
+
 # --- vectors -------------------------------------------------------------------------------------
 cte("hash_bytes", """
 SELECT entity_id, list_transform(range(0, 64), lambda i: CAST(CAST('0x' || substr(d, (i % 32) * 2 + 1, 2) AS INT) / 127.5 - 1.0 AS FLOAT)) AS v
