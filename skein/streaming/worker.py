@@ -41,24 +41,40 @@ class Worker:
         return writer.trigger(**trigger).start()
 
     def open_jobs(self, epoch: int) -> DataFrame:
-        """Jobs the epoch left open; none before the first one. A snapshot that can't be read is an error, not an empty queue."""
+        """Jobs the epoch left open, after the last ``drain`` if there was one; none before the first epoch.
+
+        A snapshot that can't be read is an error, not an empty queue.
+        """
         if epoch < 0:
             return self.spark.createDataFrame([], JOB_SCHEMA)
-        return self.spark.read.schema(JOB_SCHEMA).parquet(f"{self.state}/open/epoch={epoch}")
+        return self.spark.read.schema(JOB_SCHEMA).parquet(f"{self.state}/open/epoch={epoch}/version={self._version(epoch)}")
+
+    def _version(self, epoch: int) -> int:
+        """The newest whole snapshot of an epoch: 0 by its batch, one more by each ``drain``. One without success mark was broken off."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/open/epoch={epoch}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in files.listStatus(path)] if files.exists(path) else []
+        whole = [p.getName() for p in found if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return max((int(n.removeprefix("version=")) for n in whole), default=0)
 
     def closed_jobs(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.state}/closed")
 
     def _batch(self, arrived: DataFrame, epoch: int) -> None:
         jobs = self.open_jobs(epoch - 1).unionByName(arrived.select(self.open_jobs(-1).columns))
-        self._work_off(jobs, epoch, "")
+        self._work_off(jobs, epoch, "", 0)
 
     def drain(self) -> None:
-        """Work off what the newest epoch left open, for times without arrivals; not beside a running query."""
-        epochs = self.spark.read.parquet(f"{self.state}/open").select(F.max("epoch")).first()[0]
-        self._work_off(self.open_jobs(int(epochs)), int(epochs), f"drain-{uuid.uuid4().hex}-")
+        """Work off what the newest epoch left open, for times without arrivals; not beside a running query.
+
+        The snapshot it reads stays; the new one stands beside it and counts once it is whole.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/open")
+        names = [s.getPath().getName() for s in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)]
+        epoch = max(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
+        self._work_off(self.open_jobs(epoch), epoch, f"drain-{uuid.uuid4().hex}-", self._version(epoch) + 1)
 
-    def _work_off(self, jobs: DataFrame, epoch: int, prefix: str) -> None:
+    def _work_off(self, jobs: DataFrame, epoch: int, prefix: str, version: int) -> None:
         """Turns of at most ``claim`` jobs until nothing can be claimed. Released jobs wait for the next batch, and every other
         claim closes a job or uses up an attempt, so the turns end."""
         parked, turn, busy = None, 0, True
@@ -67,7 +83,7 @@ class Worker:
             closed.write.mode("overwrite").parquet(f"{self.state}/closed/epoch={epoch}/turn={prefix}{turn}")
             parked = back if parked is None else stage(parked.unionByName(back), "parked")
             turn += 1
-        stage(jobs.unionByName(parked), "open").write.mode("overwrite").parquet(f"{self.state}/open/epoch={epoch}")
+        stage(jobs.unionByName(parked), "open").write.mode("overwrite").parquet(f"{self.state}/open/epoch={epoch}/version={version}")
 
     def _turn(self, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
         """Claim, run, fold outcomes: (still open, closed, released, whether anything was claimed)."""
