@@ -11,7 +11,6 @@ only documents that have a fingerprint hit.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -98,27 +97,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     met = flat.join(marks.withColumn("__met", F.lit(True)), F.col("__mark") == F.col("mark"), "left")
     met = stage(met.where("__mark is null or __met").select("__id", "__t", "n_words", "__mark"), "doc-marks")
     rows = met.where("__mark is null").select("__id", "__t", "n_words")
-    found = met.where("__mark is not null").groupBy(F.col("__id").alias("__i"), F.col("__t").alias("__u")).agg(
-        F.collect_set("__mark").alias("__marks"))
+    found = met.where("__mark is not null").select(F.col("__id").alias("__i"), F.col("__t").alias("__u")).distinct()
 
     # texts are joined as they are, arrays are made of those that are left
-    near = raw.join(found, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "inner")
-    near = _hashed(near.dropDuplicates(["__id", "__t"])).withColumn("__g", _grams("__h", k))
-    last = F.size("__words") - window
-    around = F.array_distinct(F.flatten(F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("__g") - 1), lambda p: F.array_contains("__marks", F.get("__g", p))),
-        lambda p: F.sequence(F.greatest(p - (window - k), F.lit(0)), p))))
-    starts = F.when(F.size("__g") > 0, F.filter(around, lambda s: s <= last)).otherwise(F.array().cast("array<int>"))
-    cuts = [F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(window).alias("n"),
-                                                  F.concat_ws(" ", F.slice("__words", s + 1, window)).alias("passage")))]
-    for n in short:
-        near = near.withColumn(f"__g{n}", _grams("__h", n))
-        places = F.when(F.size(f"__g{n}") > 0, F.filter(
-            F.sequence(F.lit(0), F.size(f"__g{n}") - 1), lambda p: F.array_contains("__marks", F.get(f"__g{n}", p))))
-        places = F.coalesce(places, F.array().cast("array<int>"))
-        cuts.append(F.transform(places, lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"),
-                                                          F.concat_ws(" ", F.slice("__words", s + 1, n)).alias("passage"))))
-    spans = near.select("__id", "__t", _each(reduce(F.concat, cuts)).alias("c")).where("c is not null").select("__id", "__t", "c.*")
+    near = raw.join(found, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")), "left_semi")
+    near = stage(near.dropDuplicates(["__id", "__t"]), "doc-near")
+    places = None  # where a hash of the benchmark stands, by a join instead of a search in each row
+    for n, size in [(window, k), *[(n, n) for n in short]]:
+        grams = _hashed(near).select("__id", "__t", F.lit(n).alias("n"), F.posexplode_outer(_grams("__h", size)).alias("p", "g"))
+        met = grams.join(marks, F.col("g") == F.col("mark"), "left_semi").select("__id", "__t", "n", "p")
+        places = met if places is None else places.unionAll(met)
+    first = F.when(F.col("n") == window, F.greatest(F.col("p") - (window - k), F.lit(0))).otherwise(F.col("p"))
+    starts = places.select("__id", "__t", "n", F.explode(F.sequence(first, "p")).alias("start")).groupBy(
+        F.col("__id").alias("__i"), F.col("__t").alias("__u")).agg(F.collect_set(F.struct("start", "n")).alias("__starts"))
+    near = _hashed(near).join(starts, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")))
+    cut = F.transform(F.filter("__starts", lambda x: x["start"] + x["n"] <= F.size("__words")), lambda x: F.struct(
+        x["start"].alias("start"), x["n"].alias("n"), F.concat_ws(" ", F.slice("__words", x["start"] + 1, x["n"])).alias("passage")))
+    spans = near.select("__id", "__t", _each(cut).alias("c")).where("c is not null").select("__id", "__t", "c.*")
     return rows, stage(spans.join(passages, ["n", "passage"], "left_semi"), "doc-hits"), windows
 
 

@@ -352,3 +352,11 @@ def test_empty_tables(docs, items, spark):
     assert langid.predict(none, langid.fit(none)).count() == 0
     assert shards.shard_documents(none).count() == 0
     assert mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
+def test_text_wholly_in_the_benchmark_takes_linear_time(spark):
+    long = " ".join(f"w{i}x{i % 7}" for i in range(60_000))
+    start = time.time()
+    row = decontaminate.decontaminate(spark.createDataFrame([(1, long)], "doc_id long, text string"),
+                                      spark.createDataFrame([(1, long)], "item_id long, text string")).first()
+    assert row.n_hit == row.n_words == 60_000 and time.time() - start < 60
