@@ -9,7 +9,8 @@ Documents with equal words are one class from the start. Signatures are cut into
 candidates. A band's group is worked off around leaders, never as all pairs: every member is compared with the group's most central
 document, verified links are contracted to components, and members outside of the group's largest component are compared with
 the hub of that component. What is left are pairs of different components: all of them in small groups, in large ones those that
-an exact argument about sets does not rule out. Similarities are verified on the full texts.
+share a rare difference from a common center (or, where shingles repeat, a rare shingle); both are exact prefix filters, so copies
+far from their center with changes of their own make no pairs. Similarities are verified on the full texts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.llm.common import ready, words_of
 from skein.session import stage
@@ -27,7 +28,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SMALL_GROUP = 32
-COMMON = 0.1
+EPS = 1e-6
 
 
 # --- signatures --------------------------------------------------------------------------------------------------------------
@@ -264,63 +265,101 @@ def _hubs(live: DataFrame, *_) -> DataFrame:
 def _rest(live: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """Pairs of different components that may still be similar.
 
-    In groups of up to ``SMALL_GROUP`` members these are all such pairs, so a member has a bounded number of them. Larger
-    groups with the same largest component are one family, and pairs are ruled out by what is left when the family's common
-    shingles are taken away (see ``_family_pairs``). That reasons about sets, so pairs with a document that repeats a shingle
-    are compared as they are.
+    Groups with the same largest component are one family. In families of up to ``SMALL_GROUP`` members these are all such pairs of
+    a group, so a member has a bounded number of them; those of larger ones come from prefix filters (``_delta_pairs``, ``_mass_pairs``).
+    """
+    marked = stage(_main(live), "near-marked")
+    family = stage(marked.select("main", "node", "label", "central").distinct(), "near-families")
+    large = family.groupBy("main").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL_GROUP).select("main")
+    small = marked.join(large, "main", "left_anti")
+    x = small.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
+    pairs = x.join(small.select("key", "node", "label", "main"), "key").where("label <> lx and (label = main or x < node)").select(*_pair("x", "node"))
+    family = family.join(large, "main", "left_semi")
+    centers = family.where("label = main").groupBy("main").agg(F.min("central")["node"].alias("center"))
+    family = stage(_differences(family.join(centers, "main"), texts, shingle), "near-family")
+    to_center = family.where("away").select(*_pair("node", "center"))
+    pairs = pairs.unionAll(to_center).unionAll(_delta_pairs(family.where("plain"), threshold))
+    odd = family.where("not plain").select("main").distinct()
+    return pairs if odd.isEmpty() else pairs.unionAll(_mass_pairs(family.join(odd, "main", "left_semi"), texts, threshold, shingle))
+
+
+def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``members`` with what tells them from their family's center.
+
+    ``delta`` are the shingles that only one of both holds, those of the center with the sign turned in the hash; ``n`` and ``nc``
+    the numbers of different shingles of both; ``plain``: no shingle stands twice in either; ``away``: not in the main component.
     """
-    size = live.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    marked = stage(_main(live).join(size, "key"), "near-marked")
-    large = marked.where(F.col("members") > SMALL_GROUP)
-    family = stage(_shingle_sets(large.select("main", "node", "label").distinct(), texts, shingle), "near-family")
-    mixed = large.join(family.where("not plain").select("node").distinct().withColumn("odd", F.lit(True)), "node", "left")
-
-    def within(rows: DataFrame) -> DataFrame:
-        x = rows.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("odd").alias("ox"))
-        met = x.join(rows.select("key", "node", "label", "main", "odd"), "key")
-        return met.where("label <> lx and (ox or odd) and (label = main or x < node)").select(*_pair("x", "node"))
-
-    small = within(marked.where(F.col("members") <= SMALL_GROUP).withColumn("odd", F.lit(True)))
-    repeats = within(mixed.withColumn("odd", F.coalesce("odd", F.lit(False)))) if not family.where("not plain").isEmpty() else None
-    pairs = small.unionAll(_family_pairs(family.where("plain"), threshold))
-    return pairs if repeats is None else pairs.unionAll(repeats)
-
-
-def _shingle_sets(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """``members`` with ``s``, the different shingles, and ``plain``: no shingle stands twice."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [weighted(*shingles(np.asarray(h), np.array([len(h)]), shingle)) for h in batch["h"]]
-            yield batch[["main", "node", "label"]].assign(s=[h.view(np.int64) for _, h, _ in found], plain=[bool((w == 1).all()) for *_, w in found])
-
-    return members.join(texts, "node").select("main", "node", "label", "h").mapInPandas(
-        run, "main string, node string, label string, s array<long>, plain boolean")
-
-
-def _family_pairs(family: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of different components in a family that the following does not rule out.
-
-    Let V be the shingles of more than ``COMMON`` of the family, j the threshold, c = j / (1 + j), and p = |x and V|. If x and y
-    share nothing outside V, they share p shingles at most, and similarity j needs c (|x| + |y|) common ones, so |y| <= p / c - |x|.
-    So candidates share a shingle outside V, or each has room for the other in this sense. Sizes must be within j of each other.
+            out = []
+            for h, hc in zip(batch["h"], batch["hc"]):
+                (_, a, wa), (_, c, wc) = (weighted(*shingles(np.asarray(x), np.array([len(x)]), shingle)) for x in (h, hc))
+                delta = np.concatenate([np.setdiff1d(a, c, True), _mix(np.setdiff1d(c, a, True) + np.uint64(1))])
+                out.append((len(a), len(c), bool((wa == 1).all() and (wc == 1).all()), delta.view(np.int64)))
+            n, nc, plain, delta = zip(*out) if out else ((), (), (), ())
+            yield batch[["main", "node", "label", "center", "away"]].assign(n=n, nc=nc, plain=plain, delta=list(delta))
+
+    told = members.withColumn("away", F.col("label") != F.col("main")).join(texts, "node").join(
+        texts.select(F.col("node").alias("center"), F.col("h").alias("hc")), "center")
+    return told.select("main", "node", "label", "center", "away", "h", "hc").mapInPandas(
+        run, "main string, node string, label string, center string, away boolean, n long, nc long, plain boolean, delta array<long>")
+
+
+def _placed(flat: DataFrame) -> DataFrame:
+    """Tokens (main, node, t, ...) of families with ``df`` and, per node, ``p``: how many of its tokens are rarer in the family (ties by token)."""
+    rare = flat.groupBy("main", "t").agg(F.count(F.lit(1)).alias("df"))
+    return flat.join(rare, ["main", "t"]).withColumn("p", F.row_number().over(Window.partitionBy("main", "node").orderBy("df", "t")) - 1)
+
+
+def _delta_pairs(family: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components, one of them away from the main one, whose differences from the center may overlap enough.
+
+    Let j be the threshold, k = (1 - j) / (1 + j), c the center, D(x) the difference of x and c, d its size. Sets are similar by j
+    if they differ in k (|x| + |y|) shingles at most; as |D(x) - D(y)| = d(x) + d(y) - 2 |D(x) & D(y)| counts these, they need
+    common(x, y) = (d(x) + d(y) - k (|x| + |y|)) / 2 common differences. A document x that is not similar to c has
+    d(x) > k (|x| + |c|), so y needs more than (d(y) + k (|c| - |y|)) / 2, about half of its differences; x itself needs more than
+    (d(x) - k (|x| + |c|)) / 2 because d(y) is at least ||y| - |c||. Both are above zero. With one order of differences, rarest
+    first, the first common one leaves room for the rest on either side, which bounds its place. Pairs of x with c are compared
+    apart, so an x that is similar to c is in the main component then, and any y it could link is met from y's side.
     """
-    c = threshold / (1 + threshold)
-    flat = family.select("main", "node", "label", F.explode("s").alias("s"))
-    total = family.groupBy("main").agg(F.count(F.lit(1)).alias("f"))
-    rare = flat.groupBy("main", "s").agg(F.count(F.lit(1)).alias("df")).join(total, "main").where(F.col("df") <= F.greatest(F.lit(1), COMMON * F.col("f")))
-    own = flat.join(rare.select("main", "s", "df"), ["main", "s"])
-    few = stage(own.where("df > 1").select("main", "s", "node", "label"), "near-rare")
-    other = few.select("main", "s", F.col("node").alias("y"), F.col("label").alias("ly"))
-    sharing = few.join(other, ["main", "s"]).where("node < y and label <> ly").select(*_pair("node", "y"))
-    outside = own.groupBy("main", "node").agg(F.count(F.lit(1)).alias("outside"))
-    sized = family.select("main", "node", "label", F.size("s").alias("size")).join(outside, ["main", "node"], "left")
-    room = F.floor((F.col("size") - F.coalesce("outside", F.lit(0))) / c - F.col("size") + 1e-6).cast("int")
-    sized = stage(sized.withColumn("room", room), "near-sizes")
-    x = sized.where("label <> main").withColumn("most", F.least("room", F.floor(F.col("size") / threshold + 1e-6).cast("int")))
-    x = x.withColumn("least", F.ceil(F.col("size") * threshold - 1e-6).cast("int")).where("most >= least")
-    x = x.select("main", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"), F.explode(F.sequence("least", "most")).alias("size"))
-    fitting = x.join(sized, ["main", "size"]).where("label <> lx and sx <= room").select(*_pair("x", "node"))
-    return sharing.unionAll(fitting)
+    k = (1 - threshold) / (1 + threshold)
+    flat = family.select("main", "node", "label", "away", "n", "nc", F.size("delta").alias("d"), F.explode("delta").alias("t"))
+    need = F.greatest(F.lit(1.0), (F.col("d") - k * (F.col("n") + F.col("nc"))) / 2)
+    half = F.greatest(F.lit(1.0), (F.col("d") + k * (F.col("nc") - F.col("n"))) / 2)
+    room = F.col("d") - F.col("p")
+    placed = _placed(flat).where("df > 1").select("main", "t", "node", "label", "n", "d", room.alias("room"), (room + EPS >= half).alias("as_y"),
+                                                  (F.col("away") & (room + EPS >= need)).alias("as_x"))
+    placed = stage(placed.where("as_x or as_y"), "near-rare")
+    y = placed.where("as_y").select("main", "t", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "d", "room")])
+    common = (F.col("d") + F.col("y_d") - k * (F.col("n") + F.col("y_n"))) / 2
+    fits = (F.least("n", "y_n") + EPS >= threshold * F.greatest("n", "y_n")) & (F.least("room", "y_room") + EPS >= common)
+    return placed.where("as_x").join(y, ["main", "t"]).where((F.col("label") != F.col("y_label")) & fits).select(*_pair("node", "y_node"))
+
+
+def _mass_pairs(family: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Pairs with a document that is not plain: they share a shingle before which both hold little.
+
+    If x holds the share u of its weight outside of y, and y the share v outside of x, the probability Jaccard is at most
+    1 / (1 + u / (1 - u) + v / (1 - v)): each common shingle adds at most 1 / (1 / x' + v / y') for its shares x' and y', which is
+    concave, so the sum is at most the same of the sums. With one order of shingles, rarest first, all before the first common one
+    is outside of the other document.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [weighted(*shingles(np.asarray(h), np.array([len(h)]), shingle))[1:] for h in batch["h"]]
+            yield batch.drop(columns="h").assign(t=[h.view(np.int64) for h, _ in found], w=[w for _, w in found])
+
+    most = 1 / threshold - 1
+    sets = family.select("main", "node", "label", "away", "plain").join(texts, "node").mapInPandas(
+        run, "node string, main string, label string, away boolean, plain boolean, t array<long>, w array<long>")
+    flat = sets.select("main", "node", "label", "away", "plain", F.aggregate("w", F.lit(0).cast("long"), lambda s, w: s + w).alias("mass"),
+                       F.explode(F.arrays_zip("t", "w")).alias("z")).select("main", "node", "label", "away", "plain", "mass", "z.t", "z.w")
+    before = F.sum("w").over(Window.partitionBy("main", "node").orderBy("df", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+    placed = _placed(flat).withColumn("odds", before / (F.col("mass") - before)).where((F.col("df") > 1) & (F.col("odds") <= most + EPS))
+    placed = stage(placed.select("main", "t", "node", "label", "away", "plain", "odds"), "near-rare")
+    y = placed.select("main", "t", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "away", "plain", "odds")])
+    met = placed.where("not plain").join(y, ["main", "t"]).where("label <> y_label and (away or y_away) and (y_plain or node < y_node)")
+    return met.where(F.col("odds") + F.col("y_odds") <= most + EPS).select(*_pair("node", "y_node"))
 
 
 def near_free(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

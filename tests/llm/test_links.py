@@ -70,11 +70,14 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("small, common", [(32, 0.1), (2, 0.1), (2, 0.6)])
-def test_near_classes(spark, monkeypatch, small, common):
+def repeating():
+    """The planted rows with a passage of their own repeated at the end of some, so that shingles weigh more than one."""
+    return [(i, f"{t} {' '.join(t.split()[:12])} {' '.join(t.split()[:12])}" if 40 <= i < 99 and i % 3 == 0 else t) for i, t in planted()]
+
+
+@pytest.mark.parametrize("small, rows", [(32, planted()), (2, planted()), (2, repeating()), (2, [(i, f"{t} {t}") for i, t in planted()])])
+def test_near_classes(spark, monkeypatch, small, rows):
     monkeypatch.setattr(neardup, "SMALL_GROUP", small)
-    monkeypatch.setattr(neardup, "COMMON", common)
-    rows = planted()
     expected = brute_classes(rows)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, label string")
     found = neardup.near_classes(docs).collect()
@@ -85,6 +88,28 @@ def test_near_classes(spark, monkeypatch, small, common):
     assert free.columns == docs.columns and {r.doc_id for r in free.collect()} == set(expected.values())
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies with changes of their own, near and far from their center: compared pairs stay in proportion to the copies."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    counted, verified = [], neardup._verified
+
+    def counting(pairs, *rest):
+        counted.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_verified", counting)
+    found = {r.doc_id: r.class_id for r in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_classes(rows)
+    assert sum(counted) < 5 * len(rows), counted
+
+
 def test_near_classes_on_given_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     expected = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
