@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from skein.operators import queue as Q
 from skein.plans.oracles import cte, iso
 from skein.plans.registry import query
+from skein.session import staging_path, tune
 from skein.sources.bridge import Tables
+from skein.streaming import coalesce
+from skein.streaming.worker import JOB_SCHEMA
 from skein.operators.wiki import iso as iso_col
 
 NOW = "2024-03-01 00:00:00"
@@ -69,13 +72,39 @@ SELECT source_key, arg_min(job_id, (created_at, job_id)) AS job_id
 FROM jobs WHERE job_type = 'synthesize_source_summary' AND status = 'pending' GROUP BY source_key""")
 
 
-@query("queue_coalesce_entity", """
+COALESCED = """
 SELECT DISTINCT h.target_entity_id, h.job_id, j.source_key AS source_id, h.duplicates FROM entity_heads h
-JOIN jobs j ON j.target_entity_id = h.target_entity_id AND j.job_type = 'synthesize_entity' AND j.status = 'pending'""")
+JOIN jobs j ON j.target_entity_id = h.target_entity_id AND j.job_type = 'synthesize_entity' AND j.status = 'pending'"""
+
+
+@query("queue_coalesce_entity", COALESCED)
 def queue_coalesce_entity(t: Tables):
     return Q.coalesce_entity_jobs(t.jobs())
 
 
+@query("queue_coalesce_stream", COALESCED)
+def queue_coalesce_stream(t: Tables):
+    """All jobs delivered as files, every tenth of them twice, and folded by keyed state, some files to a batch."""
+    spark = tune(t.spark)
+    arrivals, state, checkpoint = (staging_path(spark, f"coalesce-{x}") for x in ("arrivals", "state", "checkpoint"))
+    jobs = t.jobs().select(*spark.createDataFrame([], JOB_SCHEMA).columns)
+    for part in (jobs, jobs.filter("job_id % 10 = 0")):
+        part.write.mode("append").parquet(arrivals)
+    coalesce.start(spark, arrivals, state, checkpoint, maxFilesPerTrigger=4).awaitTermination()
+    return coalesce.coalesced(spark, state)
+
+
+@query("queue_bursts", f"""
+SELECT target_entity_id, {iso('min(created_at)')} AS started, {iso("max(created_at) + INTERVAL '30' MINUTE")} AS ended, count(*) AS jobs FROM (
+  SELECT target_entity_id, created_at, sum(fresh) OVER (PARTITION BY target_entity_id ORDER BY created_at, job_id ROWS UNBOUNDED PRECEDING) AS burst FROM (
+    SELECT *, CASE WHEN created_at <= lag(created_at) OVER (PARTITION BY target_entity_id ORDER BY created_at, job_id) + INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS fresh
+    FROM jobs WHERE target_entity_id IS NOT NULL AND created_at IS NOT NULL))
+GROUP BY target_entity_id, burst""")
+def queue_bursts(t: Tables):
+    found = coalesce.job_bursts(t.jobs())
+    return found.select("target_entity_id", *[iso_col(F.col(c).cast("timestamp_ntz")).alias(c) for c in ("started", "ended")], "jobs")
+
+
 @query("queue_after_coalescing", """
 SELECT j.job_id, CASE WHEN dup THEN 'completed' ELSE status END AS status FROM (
   SELECT j.*, coalesce(j.job_type = 'synthesize_entity' AND j.status = 'pending' AND h.job_id <> j.job_id, false) AS dup

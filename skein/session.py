@@ -70,11 +70,17 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the staging folder, which ``release_staged`` deletes with all others."""
+    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str, *folders: str) -> DataFrame:
     """Write ``df`` once to the staging folder and return a scan of it; ``folders`` are columns whose values readers pick by."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = staging_path(spark, name)
     df.write.mode("errorifexists").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
