@@ -306,6 +306,9 @@ cte("single_budget", "SELECT query_id, 3600 AS budget, vec_id FROM questions")
 _context("single", "single_seeds", "single_budget")
 
 
+_SHARED = re.compile("knn|pairs|single_hop[0-2]|single_nodes|single_ends")  # used several times: to be computed once
+
+
 def statement(final: str) -> str:
     """The final SELECT preceded by every CTE it needs, in dependency order."""
     order: list[str] = []
@@ -320,7 +323,7 @@ def statement(final: str) -> str:
     visit(final)
     if not order:
         return final
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order) + "\n" + final
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' * bool(_SHARED.fullmatch(n))}({CTES[n]})" for n in order) + "\n" + final
 
 
 def _tables_only(sql: str) -> str:

@@ -316,12 +316,14 @@ FROM (SELECT entity_id, sha256(description) AS d FROM entities)""")
 
 @query("hash_embedding", """
 SELECT entity_id, round(CAST(v[1] AS DOUBLE), 4) AS first, round(CAST(v[33] AS DOUBLE), 4) AS again, len(v) AS dims,
-  round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 3) AS total FROM hash_bytes""")
+  round(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE))), 3) AS total,
+  md5(array_to_string(list_transform(v, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR)), ',')) AS digest FROM hash_bytes""")
 def hash_embedding(t: Tables):
     made = t.entities().select("entity_id", V.hash_embedding(F.col("description"), 64).alias("v"))
     return made.select("entity_id", F.round(F.get("v", F.lit(0)).cast("double"), 4).alias("first"),
                        F.round(F.get("v", F.lit(32)).cast("double"), 4).alias("again"), F.size("v").cast("bigint").alias("dims"),
-                       F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+                       F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3).alias("total"),
+                       F.md5(F.array_join(F.transform("v", lambda x: F.round(x.cast("double") * 10000).cast("bigint").cast("string")), ",")).alias("digest"))
 
 
 @query("pad_vectors", """
