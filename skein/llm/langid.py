@@ -193,7 +193,7 @@ def labelled_sample(docs: DataFrame, bound: int = SAMPLE_ROWS, id_col: str = "do
             cut = F.when(F.col(lang_col) == lang, int((2 * quota + 100) / size * (1 << 30))).otherwise(cut)
     near = usable.where(drawn < cut).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), drawn.alias("__drawn"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("__drawn", F.xxhash64("text")))
-    return near.withColumn("__place", place).where(F.col("__place") <= quota).select("text", "lang").limit(bound)
+    return near.withColumn("__place", place).where(F.col("__place") <= quota).orderBy("__place", "lang").limit(bound).select("text", "lang")
 
 
 def fit(docs: DataFrame, bound: int = SAMPLE_ROWS, **columns) -> Model:
