@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 import hashlib
+import pickle
 import re
 import time
 from zlib import crc32
@@ -195,6 +196,15 @@ def test_whole_secrets(spark):
             assert value[-20:] not in pii.cleaned(text, pii.chosen(text, model)[1]) and pii.random_looking(text)
 
 
+def test_samples_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    parts = [docs.repartition(n) for n in (3, 7)]
+    models = [pii.fit(d, bound=50) for d in parts]
+    assert pickle.dumps(models[0]) == pickle.dumps(models[1])
+    drawn = [sorted(map(tuple, langid.labelled_sample(d, bound=3).collect())) for d in parts]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 3
+
+
 def test_loose_personal_data(spark):
     """Each generator adds spans; dates, versions and dotted numbers stay out; a loose match inside a base span is no second one."""
     model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
