@@ -104,11 +104,41 @@ class Resolution:
     merge_log: DataFrame
 
 
-def resolve(found: DataFrame, relations: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS) -> Resolution:
+DECISION_SCHEMA = "decision string, merged_into_id bigint, reasoning string"
+
+
+def decision_requests(mentions: DataFrame, near: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(id, text, offered)``: each mention that has similar entities, with them as numbered lines, ``resolution_top_k`` at most."""
+    names = entities.select(F.col("entity_id").alias("base_id"), F.col("name").alias("_known"))
+    lines = near.join(names, "base_id").groupBy(F.col("query_id").alias("mention_id")).agg(F.array_sort(F.collect_list(F.struct(
+        "rank", "base_id", candidate_line(F.col("rank"), F.col("base_id"), F.col("_known")).alias("line")))).alias("_near"))
+    listed = F.array_join(F.transform("_near", lambda r: r["line"]), "\n")
+    return mentions.join(lines, "mention_id").select(
+        F.col("mention_id").alias("id"),
+        F.to_json(F.struct("name", "entity_type", "description", listed.alias("candidates"))).alias("text"),
+        F.transform("_near", lambda r: r["base_id"]).alias("offered"))
+
+
+def decisions(requests: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(mention_id, into_id, reason, error)``: what the model decided; a merge must be into an offered entity."""
+    told = decide(requests.select("id", "text")).select("id", "answer", F.col("error").alias("_said"))
+    told = requests.select("id", "offered").join(told, "id", "left").withColumn("d", F.from_json("answer", DECISION_SCHEMA))
+    into = F.col("d.merged_into_id")
+    fits = valid_decision(F.col("d.decision"), into) & (into.isNull() | F.array_contains("offered", into))
+    error = F.when(F.col("answer").isNull(), F.coalesce("_said", F.lit("no merge decision"))).when(
+        ~fits, "merge decision does not match the schema")
+    return told.select(F.col("id").alias("mention_id"), F.when(error.isNull(), into).alias("into_id"),
+                       F.col("d.reasoning").alias("reason"), error.alias("error"))
+
+
+def resolve(found: DataFrame, relations: DataFrame, entities: DataFrame, settings: Settings = DEFAULTS,
+            decide: Callable[[DataFrame], DataFrame] | None = None) -> Resolution:
     """Resolve all candidates against the graph and each other.
 
     A mention merges into the nearest similar entity of the same normalised name and type; other
     mentions become one new entity per (normalised name, type), with an id derived from both.
+    With ``decide(id, text) -> (id, answer, error)`` a model chooses among the similar entities of each mention instead;
+    a mention without a valid decision fails the chunks that hold it.
     """
     key = [strip(F.lower("canonical_name")).alias("name_key"), F.col("entity_type")]
     grouped = found.groupBy(*key).agg(
@@ -117,27 +147,35 @@ def resolve(found: DataFrame, relations: DataFrame, entities: DataFrame, setting
         "mention_id": lock_key(F.concat("name_key", F.lit("|"), "entity_type")),
         "embedding": V.hash_embedding(F.concat("name", F.lit(" "), "description"), settings.embedding_dimensions)}), "mentions")
     known = entities.select(F.col("entity_id").alias("base_id"), strip(F.lower("name")).alias("name_key"), "entity_type")
-    # only a mention that shares its name and type with some entity can merge: the others need no search
-    asking = stage(mentions.join(known, ["name_key", "entity_type"], "left_semi").select(F.col("mention_id").alias("query_id"), "embedding"), "asking")
-    near = similar_entities(asking, entities, settings)
-    target = (
-        near.withColumnRenamed("query_id", "mention_id").join(known, "base_id")
-        .join(mentions.select("mention_id", "name_key", "entity_type"), ["mention_id", "name_key", "entity_type"])
-        .groupBy("mention_id").agg(F.min(F.struct("rank", "base_id"))["base_id"].alias("into_id"))
-    )
+    if decide is None:
+        # only a mention that shares its name and type with some entity can merge: the others need no search
+        asking = stage(mentions.join(known, ["name_key", "entity_type"], "left_semi").select(F.col("mention_id").alias("query_id"), "embedding"), "asking")
+        near = similar_entities(asking, entities, settings)
+        target = (
+            near.withColumnRenamed("query_id", "mention_id").join(known, "base_id")
+            .join(mentions.select("mention_id", "name_key", "entity_type"), ["mention_id", "name_key", "entity_type"])
+            .groupBy("mention_id").agg(F.min(F.struct("rank", "base_id"))["base_id"].alias("into_id"))
+            .withColumns({"reason": F.lit("same name and type"), "error": F.lit(None).cast("string")})
+        )
+    else:
+        near = similar_entities(mentions.select(F.col("mention_id").alias("query_id"), "embedding"), entities, settings)
+        target = stage(decisions(stage(decision_requests(mentions, near, entities), "decision-requests"), decide), "decisions")
     decided = stage(mentions.join(target, "mention_id", "left").withColumns({
         "decision": F.when(F.col("into_id").isNotNull(), "merge").otherwise("new"),
         "entity_id": F.coalesce("into_id", "mention_id")}), "decided")
     placed = found.select("chunk_id", "idx", *key).join(
-        decided.select("name_key", "entity_type", "entity_id"), ["name_key", "entity_type"]).select("chunk_id", "idx", "entity_id")
+        decided.select("name_key", "entity_type", "entity_id", "error"), ["name_key", "entity_type"]).select("chunk_id", "idx", "entity_id", "error")
     placed = stage(placed, "placed")
+    undecided = placed.filter("error IS NOT NULL").groupBy("chunk_id").agg(F.min("error").alias("error"))
+    decided, placed = decided.filter("error IS NULL"), placed.filter("error IS NULL")
 
     def end(name: str) -> DataFrame:
         return placed.select("chunk_id", F.col("idx").alias(f"{name}_idx"), F.col("entity_id").alias(f"{name}_entity_id"))
 
     drawn = relations.join(end("source"), ["chunk_id", "source_idx"], "left").join(end("target"), ["chunk_id", "target_idx"], "left")
     broken = F.col("source_entity_id").isNull() | F.col("target_entity_id").isNull()
-    bad_chunks = drawn.filter(broken).select("chunk_id", F.lit("relation references unresolved entity index").alias("error")).distinct()
+    unresolved = drawn.filter(broken).select("chunk_id", F.lit("relation references unresolved entity index").alias("error")).distinct()
+    bad_chunks = unresolved if decide is None else unresolved.join(undecided, "chunk_id", "left_anti").unionByName(undecided)
     return Resolution(
         mentions=decided.select("name_key", "entity_type", "entity_id", "decision"),
         new_entities=decided.filter("decision = 'new'").select(
@@ -150,7 +188,7 @@ def resolve(found: DataFrame, relations: DataFrame, entities: DataFrame, setting
         errors=bad_chunks,
         merge_log=decided.filter("decision = 'merge'").select(
             F.col("mention_id").alias("merged_from_id"), F.col("into_id").alias("merged_into_id"), "chunk_id",
-            F.lit(None).cast("bigint").alias("job_id"), F.lit("same name and type").alias("reason")),
+            F.lit(None).cast("bigint").alias("job_id"), "reason"),
     )
 
 

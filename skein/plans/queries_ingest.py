@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from skein.functions import vectors as V
 from skein.functions.text import lock_key
 from skein.operators import resolution as X
+from skein.operators.ingest import Models, ingest
 from skein.plans.oracles import cte
 from skein.plans.registry import query
-from skein.session import spread, stage
+from skein.providers import HashEmbedder
+from skein.session import spread, stage, staging_path
 from skein.sources import html
-from skein.sources.bridge import Tables
+from skein.sources.bridge import CHUNKS_PER_SOURCE, Tables, numbered
+from skein.sources.memo import AnswerMemo, ColumnModel
+from skein.sources.runs import RunStore
 from skein.sources.uploads import validate_uploads
 
 
@@ -79,13 +83,16 @@ SELECT g.name_key, g.chunk_id, coalesce(m.into_id, CAST(CAST('0x' || substr(md5(
 FROM mention_groups g LEFT JOIN merged_mentions m USING (name_key)""")
 
 
-def _resolution(t: Tables) -> X.Resolution:
+def _earlier(t: Tables):
     words = t.raw("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+"), F.lit(0))).alias("name")).distinct()
-    earlier = words.select(lock_key(F.concat(F.lit("earlier|"), "name")).alias("entity_id"), "name",
-                           F.lit("concept").alias("entity_type"),
-                           V.hash_embedding(F.concat("name", F.lit(" Named "), "name"), 64).alias("embedding"))
+    return words.select(lock_key(F.concat(F.lit("earlier|"), "name")).alias("entity_id"), "name",
+                        F.lit("concept").alias("entity_type"),
+                        V.hash_embedding(F.concat("name", F.lit(" Named "), "name"), 64).alias("embedding"))
+
+
+def _resolution(t: Tables) -> X.Resolution:
     read = stage(X.extract(t.chunks()), "extracted")
-    return X.resolve(X.candidates(read), X.named_relations(read), earlier)
+    return X.resolve(X.candidates(read), X.named_relations(read), _earlier(t))
 
 
 @query("resolve_mentions", "SELECT name_key, 'concept' AS entity_type, entity_id, decision FROM resolved_mentions")
@@ -136,6 +143,39 @@ def synthesis_fan_out(t: Tables):
     return X.synthesis_jobs(t.chunks(), t.chunk_entities())
 
 
+# --- all of it ----------------------------------------------------------------------------------------
+@query("ingest_end_to_end", """
+SELECT s.source_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_vectors, 0) AS n_vectors, coalesce(n_entities, 0) AS n_entities,
+  coalesce(n_new, 0) AS n_new, coalesce(n_relations, 0) AS n_relations, coalesce(n_entities, 0) + CASE WHEN n_chunks > 0 THEN 1 ELSE 0 END AS n_jobs,
+  CASE WHEN n_chunks > 0 THEN 'processed' ELSE 'failed' END AS status
+FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n_chunks, count(DISTINCT text_content) AS n_vectors FROM chunks GROUP BY source_id) c ON c.source_id = s.source_id
+LEFT JOIN (SELECT w.chunk_id // 1000000 AS source_id, count(DISTINCT r.entity_id) AS n_entities, count(DISTINCT r.entity_id) FILTER (r.decision = 'new') AS n_new,
+    count(*) FILTER (w.idx > 0) AS n_relations FROM words w JOIN resolved_mentions r ON r.name_key = lower(w.name) GROUP BY ALL) e ON e.source_id = s.source_id""")
+def ingest_end_to_end(t: Tables):
+    """Every document ingested into the earlier graph, models asked through memos; one row per source says what it left."""
+    def memo(name: str, kind: str) -> AnswerMemo:
+        return AnswerMemo(RunStore(t.spark, staging_path(t.spark, f"memo-{name}")), kind)
+
+    models = Models(embed=memo("vectors", "array<float>").ask(ColumnModel("hash", HashEmbedder().embed)),
+                    read=memo("answers", "string").ask(ColumnModel("offline", X.offline_reader)))
+    docs = spread(t.raw("documents").select(F.col("doc_id").alias("source_id"), "text"))
+    done = ingest(docs, _earlier(t), models, lambda source, n: numbered(source, n, CHUNKS_PER_SOURCE))
+    where = done.chunks.select("chunk_id", "source_id")
+    n = F.count(F.lit(1))
+    told = done.links.join(where, "chunk_id").select("source_id", "entity_id").distinct().join(
+        done.entities.select("entity_id", F.lit(1).alias("_new")), "entity_id", "left")
+    counts = [
+        done.chunks.groupBy("source_id").agg(n.alias("n_chunks"), F.countDistinct("embedding").alias("n_vectors")),
+        told.groupBy("source_id").agg(n.alias("n_entities"), F.count("_new").alias("n_new")),
+        done.relations.join(where, "chunk_id").groupBy("source_id").agg(n.alias("n_relations")),
+        done.jobs.groupBy("source_id").agg(n.alias("n_jobs")),
+    ]
+    out = done.sources.select("source_id", "status")
+    for part in counts:
+        out = out.join(part, "source_id", "left")
+    return out.na.fill(0)
+
+
 @query("candidate_block", """
 SELECT query_id, rank || '. ID=' || k.entity_id || ' name=''' || name || '''' AS line FROM knn k JOIN entities USING (entity_id)""")
 def candidate_block(t: Tables):
