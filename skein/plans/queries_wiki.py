@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import export as E, merge, wiki as W
+from skein.operators import export as E, merge, queue as Q, wiki as W
+from skein.operators.resolution import synthesis_jobs
+from skein.operators.synthesis import synthesize
 from skein.plans.oracles import HALF, NL, cosine, cte, iso, slug, tokens
 from skein.plans.queries_ingest import _hash_sql
 from skein.plans.registry import query
-from skein.session import stage
-from skein.sources.bridge import API_BASE_URL, Tables
+from skein.session import stage, staging_path
+from skein.sources.bridge import API_BASE_URL, Tables, at_second
+from skein.sources.memo import AnswerMemo, ColumnModel
+from skein.sources.runs import RunStore
 
 
 def big(*cols: str):
@@ -172,6 +176,29 @@ def upsert_entity_pages(t: Tables):
     return merge.upsert(old, made, "entity_id", ["content"]).select("page_id", "entity_id", "slug", h(F.col("content")).alias("content_md5"))
 
 
+@query("synthesis_end_to_end", f"""
+SELECT u.*, coalesce(b.n, 0) AS n_backlinks, coalesce(j.n, 0) AS n_jobs FROM (
+  SELECT coalesce(w.page_id, -1 - m.entity_id) AS page_id, coalesce(w.entity_id, m.entity_id) AS entity_id, coalesce(w.slug, m.slug) AS slug, md5(coalesce(m.content, w.content)) AS content_md5
+  FROM (SELECT * FROM wiki_pages WHERE status = 'published') w FULL JOIN entity_pages_made m ON m.entity_id = w.entity_id) u
+LEFT JOIN (SELECT owner, count(*) AS n FROM (SELECT entity_id AS owner, entity_id AS other FROM entities UNION SELECT node, nbr FROM adj)
+  WHERE owner IN (SELECT entity_id FROM entity_pages_made) GROUP BY owner) b ON b.owner = u.entity_id
+LEFT JOIN (SELECT entity_id, count(*) AS n FROM wanted GROUP BY entity_id) j ON j.entity_id = u.entity_id""")
+def synthesis_end_to_end(t: Tables):
+    """The jobs an ingest of all documents leaves, worked off; every page after it, with its backlinks and completed jobs."""
+    jobs = synthesis_jobs(t.chunks(), t.chunk_entities()).select(
+        *Q.enqueue(F.xxhash64("job_type", "source_id", "target_entity_id"), F.col("job_type"), F.col("payload"), F.col("target_entity_id"),
+                   at_second(F.col("source_id"))))
+    memo = AnswerMemo(RunStore(t.spark, staging_path(t.spark, "memo-pages")))
+    done = synthesize(
+        stage(jobs, "synthesis-jobs"), t.entities(), t.relations(), t.chunks(), t.chunk_entities(), t.sources(), E.published(t.wiki_pages()),
+        lambda entity: F.lit(-1) - entity, F.expr("TIMESTAMP_NTZ'2024-06-01 00:00:00'"), memo.ask(ColumnModel("as-drawn", lambda text: text)))
+    n = F.count(F.lit(1))
+    links = done.backlinks.groupBy("page_id").agg(n.alias("n_backlinks"))
+    closed = done.jobs.filter("status = 'completed'").groupBy(F.col("target_entity_id").alias("entity_id")).agg(n.alias("n_jobs"))
+    return done.pages.select("page_id", "entity_id", "slug", h(F.col("content")).alias("content_md5")).join(
+        links, "page_id", "left").join(closed, "entity_id", "left").na.fill(0, ["n_backlinks", "n_jobs"])
+
+
 @query("page_backlinks", """
 SELECT p.page_id, c.other AS entity_id FROM wiki_pages p JOIN (SELECT entity_id AS owner, entity_id AS other FROM entities UNION SELECT node, nbr FROM adj) c ON c.owner = p.entity_id""")
 def page_backlinks(t: Tables):
