@@ -179,7 +179,7 @@ def upsert_entity_pages(t: Tables):
 @query("synthesis_end_to_end", f"""
 SELECT u.*, coalesce(b.n, 0) AS n_backlinks, coalesce(j.n, 0) AS n_jobs FROM (
   SELECT coalesce(w.page_id, -1 - m.entity_id) AS page_id, coalesce(w.entity_id, m.entity_id) AS entity_id, coalesce(w.slug, m.slug) AS slug, md5(coalesce(m.content, w.content)) AS content_md5
-  FROM (SELECT * FROM wiki_pages WHERE status = 'published') w FULL JOIN entity_pages_made m ON m.entity_id = w.entity_id) u
+  FROM wiki_pages w FULL JOIN entity_pages_made m ON m.entity_id = w.entity_id) u
 LEFT JOIN (SELECT owner, count(*) AS n FROM (SELECT entity_id AS owner, entity_id AS other FROM entities UNION SELECT node, nbr FROM adj)
   WHERE owner IN (SELECT entity_id FROM entity_pages_made) GROUP BY owner) b ON b.owner = u.entity_id
 LEFT JOIN (SELECT entity_id, count(*) AS n FROM wanted GROUP BY entity_id) j ON j.entity_id = u.entity_id""")
@@ -190,7 +190,7 @@ def synthesis_end_to_end(t: Tables):
                    at_second(F.col("source_id"))))
     memo = AnswerMemo(RunStore(t.spark, staging_path(t.spark, "memo-pages")))
     done = synthesize(
-        stage(jobs, "synthesis-jobs"), t.entities(), t.relations(), t.chunks(), t.chunk_entities(), t.sources(), E.published(t.wiki_pages()),
+        stage(jobs, "synthesis-jobs"), t.entities(), t.relations(), t.chunks(), t.chunk_entities(), t.sources(), t.wiki_pages(),
         lambda entity: F.lit(-1) - entity, F.expr("TIMESTAMP_NTZ'2024-06-01 00:00:00'"), memo.ask(ColumnModel("as-drawn", lambda text: text)))
     n = F.count(F.lit(1))
     links = done.backlinks.groupBy("page_id").agg(n.alias("n_backlinks"))
