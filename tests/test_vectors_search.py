@@ -96,3 +96,31 @@ def test_dedup_blocks_of_equal_rows_are_bounded(spark):
     sizes = {r["_block"]: (r.n, r.lo, r.hi) for r in dedup._blocks(df, ["query_id"], ["tier", "neg_sim", "chunk_id"], 100).groupBy("_block").agg(
         F.count("*").alias("n"), F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).collect()}
     assert sizes == {i: (100, 100 * i, 100 * i + 99) for i in range(10)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_queries_with_enough_copies_stay_off_the_grid(spark, monkeypatch, metric):
+    """A query that k base vectors equal, or all but equal, is answered by a join: the grid sees the others only."""
+    from skein.operators import knn
+    seen = []
+    whole = knn._gridded
+    monkeypatch.setattr(knn, "_gridded", lambda queries, *rest: seen.append(queries.count()) or whole(queries, *rest))
+    own = vectors(40, 8, 3)
+    close = own.astype(np.float64) * (1 + 1e-9)
+    rows = [(i, own[i % 40].tolist()) for i in range(80)] + [(80 + i, close[i].tolist()) for i in range(40)] + [(500, own[0].tolist())]
+    b = spark.createDataFrame(rows, "base_id long, embedding array<double>")
+    asked = [(i, own[i % 40].tolist()) for i in range(100)] + [(7, own[7].tolist()), (100, vectors(1, 8, 9)[0].tolist()), (101, None)]
+    got = nearest(spark.createDataFrame(asked, "query_id long, embedding array<double>"), b, 3, metric).collect()
+    found = {(r.query_id, r.rank): r.base_id for r in got}
+    assert seen == [1]
+    for i in range(100):
+        want = [i % 40] * 2 + [i % 40 + 40] if i == 7 else [i % 40 + 40 * j for j in range(3)]
+        assert [found[i, k] for k in (1, 2, 3)] == want
+    assert len([k for k in found if k[0] == 100]) == 3 and not [k for k in found if k[0] == 101]
+
+
+def test_zero_vectors_are_at_cosine_distance_zero_of_all(spark):
+    b = spark.createDataFrame([(5, [1.0, 0.0]), (6, [1.0, 0.0]), (2, [0.0, 0.0]), (9, [0.0, 0.0]), (1, [0.0, 1.0])], "base_id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embedding array<double>")
+    found = {(r.query_id, r.rank): r.base_id for r in nearest(q, b, 2).collect()}
+    assert found == {(1, 1): 2, (1, 2): 5, (2, 1): 1, (2, 2): 2}
