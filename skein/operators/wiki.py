@@ -14,7 +14,6 @@ from skein.config import DEFAULTS, Settings
 from skein.functions import text as T, vectors as V
 from skein.operators import graph
 from skein.operators.dedup import greedy_dedup
-from skein.operators.mentions import occurrences
 from skein.operators.ranking import budget_prefix
 from skein.operators.retrieval import chunk_vectors, distinct_vectors, score_chunks
 from skein.session import stage
@@ -82,16 +81,15 @@ def mentioned(wanted: DataFrame, chosen: DataFrame, entities: DataFrame, chunks:
               sources: DataFrame) -> DataFrame:
     """``(entity_id, known_id)``: entities of the same sources whose name occurs in a chosen entry."""
     texts = chunk_entries(chunks.join(chosen.select("chunk_id").distinct(), "chunk_id", "left_semi"), sources).select(
-        F.col("chunk_id").alias("text_id"), F.lower("entry").alias("haystack"))
+        "chunk_id", F.lower("entry").alias("haystack"))
     names = entities.select(F.col("entity_id").alias("known_id"), F.lower("name").alias("needle"))
-    once = names.groupBy("needle").agg(F.min("known_id").alias("entity_id"))  # equal names are searched once
-    hits = occurrences(texts, once.select("entity_id", "needle")).select(F.col("text_id").alias("chunk_id"), F.col("entity_id").alias("name_id"))
-    said = chosen.select("entity_id", "chunk_id").join(hits, "chunk_id").select("entity_id", "name_id").distinct()
-    # names become entities only inside the sources of the page, never over the whole graph
+    # a name is looked for only in the entries of pages that share a source with it, never in every text
     member = links.join(chunks.select("chunk_id", "source_id"), "chunk_id").select(F.col("entity_id").alias("known_id"), "source_id").distinct()
-    named = names.join(once.withColumnRenamed("entity_id", "name_id"), "needle").select("known_id", "name_id")
-    near = wanted.select("entity_id", "source_id").distinct().join(member, "source_id").select("entity_id", "known_id").distinct()
-    return near.join(named, "known_id").join(said, ["entity_id", "name_id"]).select("entity_id", "known_id")
+    near = stage(wanted.select("entity_id", "source_id").distinct().join(member, "source_id").select("entity_id", "known_id").distinct()
+                 .join(names, "known_id"), "wiki-near")
+    asked = near.select("entity_id", "needle").distinct().join(chosen.select("entity_id", "chunk_id"), "entity_id")
+    said = asked.join(texts, "chunk_id").filter(F.col("haystack").contains(F.col("needle"))).select("entity_id", "needle").distinct()
+    return near.join(said, ["entity_id", "needle"]).select("entity_id", "known_id")
 
 
 def known_entities(wanted: DataFrame, chosen: DataFrame, budget: DataFrame, entities: DataFrame, slugs: DataFrame,

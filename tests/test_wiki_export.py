@@ -120,3 +120,19 @@ def test_slug_names_and_backlinks(spark, world):
                      (3, None, "x", "s9", "c", "published", ["nine"], T0))
     assert {tuple(r) for r in E.slug_names(pages, entities, sources).collect()} == {("apple-inc-1", "Apple Inc"), ("s5", "a.txt"), ("s9", "s9")}
     assert {tuple(r) for r in W.page_backlinks(pages, relations, entities).collect()} == {(1, 1), (1, 2)}
+
+
+def test_names_are_sought_in_texts_of_their_own_sources_only(spark, monkeypatch):
+    """No text meets names of other sources, whatever the number of entities; nameless entities are never mentioned."""
+    from skein.operators import mentions
+    monkeypatch.setattr(mentions, "_scan", None)  # the grid of all names and all texts has no part in it
+    monkeypatch.setattr(mentions, "grid", None)
+    entities = spark.createDataFrame([(1, "Apple"), (2, "Pear"), (3, "Plum"), (4, "pear"), (5, None), (6, "a.txt:0")], "entity_id long, name string")
+    chunks = spark.createDataFrame([(10, 5, 0, "pear and plum", T0), (11, 6, 0, "plum", T0)],
+                                   "chunk_id long, source_id long, chunk_index int, text_content string, created_at timestamp_ntz")
+    links = spark.createDataFrame([(10, 1), (10, 2), (10, 4), (10, 5), (10, 6), (11, 3)], "chunk_id long, entity_id long")
+    sources = spark.createDataFrame([(5, "a.txt"), (6, "b.txt")], "source_id long, file_name string")
+    wanted = spark.createDataFrame([(1, 5), (3, 6)], "entity_id long, source_id long")
+    chosen = spark.createDataFrame([(1, 10), (3, 11)], "entity_id long, chunk_id long")
+    got = W.mentioned(wanted, chosen, entities, chunks, links, sources)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2), (1, 4), (1, 6), (3, 3)]
