@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from skein.session import fan_out, stage
 
 PIVOTS, BLOCK = 64, 2048
+DEAL = 16_384  # rows that a task deals to cells at once: every vector can go to every cell
 EPS = 1e-6
 
 
@@ -36,6 +37,27 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
+def _deal(centres: dict[int, np.ndarray], radius: float):
+    """Rows of vectors to rows for each cell they go to, at most ``DEAL`` in a frame."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["v"].map(len)
+            for d in sorted(set(sizes)):
+                part = batch[sizes == d]
+                if d not in centres:  # a dimension without a pivot is a cell of its own
+                    yield pd.DataFrame({"representative": part["representative"], "v": part["v"], "cell": f"{d}", "own": True})
+                    continue
+                for piece in np.array_split(np.arange(len(part)), -(-len(part) * len(centres[d]) // DEAL)):
+                    here = part.iloc[piece]
+                    far = np.sqrt(np.maximum(2 - 2 * (_units(here["v"]) @ centres[d].T), 0))
+                    home = far.argmin(axis=1)
+                    at, cell = np.nonzero(far <= far.min(axis=1)[:, None] + 2 * radius + EPS)
+                    yield pd.DataFrame({"representative": here["representative"].to_numpy()[at], "v": here["v"].to_numpy()[at],
+                                        "cell": [f"{d}-{c}" for c in cell], "own": home[at] == cell})
+
+    return run
+
+
 def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> Close:
     """All pairs of ``vectors (id, embedding)`` whose cosine, rounded to six digits, is ``threshold`` or more.
 
@@ -56,21 +78,7 @@ def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
         drawn.setdefault(len(v), []).append(v)
     centres = {d: _units(pd.Series(vs)) for d, vs in drawn.items()}
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = batch["v"].map(len)
-            for d in sorted(set(sizes)):
-                part = batch[sizes == d]
-                if d not in centres:  # a dimension without a pivot is a cell of its own
-                    yield pd.DataFrame({"representative": part["representative"], "v": part["v"], "cell": f"{d}", "own": True})
-                    continue
-                far = np.sqrt(np.maximum(2 - 2 * (_units(part["v"]) @ centres[d].T), 0))
-                home = far.argmin(axis=1)
-                at, cell = np.nonzero(far <= far.min(axis=1)[:, None] + 2 * radius + EPS)
-                yield pd.DataFrame({"representative": part["representative"].to_numpy()[at], "v": part["v"].to_numpy()[at],
-                                    "cell": [f"{d}-{c}" for c in cell], "own": home[at] == cell})
-
-    dealt = stage(classes.mapInPandas(deal, "representative long, v array<double>, cell string, own boolean"), "close-cells")
+    dealt = stage(classes.mapInPandas(_deal(centres, radius), "representative long, v array<double>, cell string, own boolean"), "close-cells")
     cells = stage(dealt.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("own"), 1)) / block).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
                   .where("blocks > 0"), "close-sizes")
     sized = dealt.join(cells, "cell")

@@ -55,3 +55,15 @@ def test_findings(spark):
     found = sorted((tuple(r) for r in lint.lint(pages, entities, chunks, links).collect()), key=repr)
     assert found == sorted([("orphan", 1, 11, "a"), ("orphan", 3, None, "c"), ("orphan", 5, None, "e"), ("missing_link", 1, None, "gone"), ("stale", 1, 11, "1 newer chunks"),
                             ("duplicate", None, 12, "11"), ("duplicate", None, 15, "11")], key=repr)
+
+
+def test_vectors_are_dealt_to_cells_in_bounded_frames():
+    """At a low threshold every vector goes to every cell; a task holds ``DEAL`` such rows at once, not a whole batch times the cells."""
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4096, 8))
+    centres = {8: closepairs._units(pd.Series(list(v[:64])))}
+    batch = pd.DataFrame({"representative": np.arange(4096), "v": list(v)})
+    frames = list(closepairs._deal(centres, 2.0)(iter([batch])))
+    assert max(map(len, frames)) <= 16_384 and sum(map(len, frames)) == 4096 * 64
+    assert sum(int(f["own"].sum()) for f in frames) == 4096
