@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.llm.common import ready, words_of
 from skein.session import stage
@@ -286,29 +286,64 @@ def _rest(live: DataFrame, texts: DataFrame, threshold: float, shingle: int) ->
 def _differences(members: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """``members`` with what tells them from their family's center.
 
-    ``delta`` are the shingles that only one of both holds, those of the center with the sign turned in the hash; ``n`` and ``nc``
-    the numbers of different shingles of both; ``plain``: no shingle stands twice in either; ``away``: not in the main component.
+    ``own`` are the shingles that only the member holds, ``common`` those that only the center holds, under a hash of their own; ``n``
+    and ``nc`` the numbers of different shingles of both; ``plain``: no shingle stands twice in either; ``away``: not in the main component.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for h, hc in zip(batch["h"], batch["hc"]):
                 (_, a, wa), (_, c, wc) = (weighted(*shingles(np.asarray(x), np.array([len(x)]), shingle)) for x in (h, hc))
-                delta = np.concatenate([np.setdiff1d(a, c, True), _mix(np.setdiff1d(c, a, True) + np.uint64(1))])
-                out.append((len(a), len(c), bool((wa == 1).all() and (wc == 1).all()), delta.view(np.int64)))
-            n, nc, plain, delta = zip(*out) if out else ((), (), (), ())
-            yield batch[["main", "node", "label", "center", "away"]].assign(n=n, nc=nc, plain=plain, delta=list(delta))
+                own, gone = np.setdiff1d(a, c, True), _mix(np.setdiff1d(c, a, True) + np.uint64(1))
+                out.append((len(a), len(c), bool((wa == 1).all() and (wc == 1).all()), own.view(np.int64), gone.view(np.int64)))
+            n, nc, plain, own, gone = zip(*out) if out else ((), (), (), (), ())
+            yield batch[["main", "node", "label", "center", "away"]].assign(n=n, nc=nc, plain=plain, own=list(own), common=list(gone))
 
     told = members.withColumn("away", F.col("label") != F.col("main")).join(texts, "node").join(
         texts.select(F.col("node").alias("center"), F.col("h").alias("hc")), "center")
     return told.select("main", "node", "label", "center", "away", "h", "hc").mapInPandas(
-        run, "main string, node string, label string, center string, away boolean, n long, nc long, plain boolean, delta array<long>")
+        run, "main string, node string, label string, center string, away boolean, n long, nc long, plain boolean, own array<long>, common array<long>")
 
 
-def _placed(flat: DataFrame) -> DataFrame:
-    """Tokens (main, node, t, ...) of families with ``df`` and, per node, ``p``: how many of its tokens are rarer in the family (ties by token)."""
-    rare = flat.groupBy("main", "t").agg(F.count(F.lit(1)).alias("df"))
-    return flat.join(rare, ["main", "t"]).withColumn("p", F.row_number().over(Window.partitionBy("main", "node").orderBy("df", "t")) - 1)
+def _placed(sets: DataFrame) -> DataFrame:
+    """Tokens (main, node, t, before) that may be a pair's first common one; ``before``: the weight of the member's tokens ahead of t.
+
+    ``sets`` is (main, node, own, own_w, common, common_w, cap): tokens and weights apart from those of the family's center and from
+    its side, and how much may stand ahead. The order of a family is rarest first, ties by token. The common ones are as few as the
+    center has shingles, so their counts go to the members as one array; of the own ones only those that another member has too are
+    joined with their counts. Tokens of one member only stand ahead of all others and are left out.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                parts = [(np.asarray(t, np.int64), np.asarray(w, np.int64)) for t, w in ((row.own, row.own_w), (row.common, row.common_w))]
+                met, met_df, order, order_df = (np.asarray([] if x is None else x, np.int64) for x in (row.met, row.met_df, row.order, row.order_df))
+                mine = np.isin(order, parts[1][0])
+                weight = []
+                for tokens, (t, w) in zip((met, order[mine]), parts):
+                    by = np.argsort(t, kind="stable")
+                    weight.append(w[by][np.searchsorted(t[by], tokens)] if len(tokens) else np.empty(0, np.int64))
+                alone = parts[0][1].sum() - weight[0].sum()
+                t, w, df = np.concatenate([met, order[mine]]), np.concatenate(weight), np.concatenate([met_df, order_df[mine]])
+                by = np.lexsort((t, df))
+                before = alone + np.cumsum(w[by]) - w[by]
+                use = (before <= row.cap) & (df[by] > 1)
+                out.append((t[by][use], before[use]))
+            t, before = zip(*out) if out else ((), ())
+            yield batch[["main", "node"]].assign(t=list(t), before=list(before))
+
+    count = F.count(F.lit(1)).alias("df")
+    count, listed = F.count(F.lit(1)).alias("df"), F.collect_list(F.struct("t", "df")).alias("all")
+    own = sets.select("main", "node", F.explode("own").alias("t"))
+    met = own.join(own.groupBy("main", "t").agg(count).where("df > 1"), ["main", "t"]).groupBy("main", "node").agg(listed).select(
+        "main", "node", F.col("all")["t"].alias("met"), F.col("all")["df"].alias("met_df"))
+    order = sets.select("main", F.explode("common").alias("t")).groupBy("main", "t").agg(count).groupBy("main").agg(listed).select(
+        "main", F.col("all")["t"].alias("order"), F.col("all")["df"].alias("order_df"))
+    told = sets.join(met, ["main", "node"], "left").join(order, "main", "left").select(
+        "main", "node", "own", "own_w", "common", "common_w", "cap", "met", "met_df", "order", "order_df")
+    found = told.mapInPandas(run, "main string, node string, t array<long>, before array<long>")
+    return found.select("main", "node", F.explode(F.arrays_zip("t", "before")).alias("z")).select("main", "node", "z.t", "z.before")
 
 
 def _delta_pairs(family: DataFrame, threshold: float) -> DataFrame:
@@ -323,12 +358,15 @@ def _delta_pairs(family: DataFrame, threshold: float) -> DataFrame:
     apart, so an x that is similar to c is in the main component then, and any y it could link is met from y's side.
     """
     k = (1 - threshold) / (1 + threshold)
-    flat = family.select("main", "node", "label", "away", "n", "nc", F.size("delta").alias("d"), F.explode("delta").alias("t"))
     need = F.greatest(F.lit(1.0), (F.col("d") - k * (F.col("n") + F.col("nc"))) / 2)
     half = F.greatest(F.lit(1.0), (F.col("d") + k * (F.col("nc") - F.col("n"))) / 2)
-    room = F.col("d") - F.col("p")
-    placed = _placed(flat).where("df > 1").select("main", "t", "node", "label", "n", "d", room.alias("room"), (room + EPS >= half).alias("as_y"),
-                                                  (F.col("away") & (room + EPS >= need)).alias("as_x"))
+    ones = {f"{c}_w": F.transform(c, lambda _: F.lit(1).cast("long")) for c in ("own", "common")}
+    known = family.withColumn("d", F.size("own") + F.size("common")).withColumns({"need": need, "half": half})
+    sets = known.withColumns(ones).withColumn("cap", F.col("d") - F.least("half", F.when(F.col("away"), F.col("need"))) + EPS)
+    placed = _placed(sets).join(known.select("main", "node", "label", "away", "n", "d", "need", "half"), ["main", "node"])
+    room = F.col("d") - F.col("before")
+    placed = placed.select("main", "t", "node", "label", "n", "d", room.alias("room"), (room + EPS >= F.col("half")).alias("as_y"),
+                           (F.col("away") & (room + EPS >= F.col("need"))).alias("as_x"))
     placed = stage(placed.where("as_x or as_y"), "near-rare")
     y = placed.where("as_y").select("main", "t", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", "d", "room")])
     common = (F.col("d") + F.col("y_d") - k * (F.col("n") + F.col("y_n"))) / 2
@@ -346,16 +384,24 @@ def _mass_pairs(family: DataFrame, texts: DataFrame, threshold: float, shingle:
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [weighted(*shingles(np.asarray(h), np.array([len(h)]), shingle))[1:] for h in batch["h"]]
-            yield batch.drop(columns="h").assign(t=[h.view(np.int64) for h, _ in found], w=[w for _, w in found])
+            out = []
+            for h, hc in zip(batch["h"], batch["hc"]):
+                (_, t, w), (_, c, _) = (weighted(*shingles(np.asarray(x), np.array([len(x)]), shingle)) for x in (h, hc))
+                inside, t = np.isin(t, c), t.view(np.int64)
+                out.append((t[~inside], w[~inside], t[inside], w[inside], w.sum()))
+            own, own_w, common, common_w, mass = zip(*out) if out else ((), (), (), (), ())
+            yield batch[["main", "node", "label", "away", "plain"]].assign(
+                own=list(own), own_w=list(own_w), common=list(common), common_w=list(common_w), mass=mass)
 
     most = 1 / threshold - 1
-    sets = family.select("main", "node", "label", "away", "plain").join(texts, "node").mapInPandas(
-        run, "node string, main string, label string, away boolean, plain boolean, t array<long>, w array<long>")
-    flat = sets.select("main", "node", "label", "away", "plain", F.aggregate("w", F.lit(0).cast("long"), lambda s, w: s + w).alias("mass"),
-                       F.explode(F.arrays_zip("t", "w")).alias("z")).select("main", "node", "label", "away", "plain", "mass", "z.t", "z.w")
-    before = F.sum("w").over(Window.partitionBy("main", "node").orderBy("df", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
-    placed = _placed(flat).withColumn("odds", before / (F.col("mass") - before)).where((F.col("df") > 1) & (F.col("odds") <= most + EPS))
+    told = family.select("main", "node", "label", "away", "plain", "center").join(texts, "node").join(
+        texts.select(F.col("node").alias("center"), F.col("h").alias("hc")), "center")
+    sets = stage(told.select("main", "node", "label", "away", "plain", "h", "hc").mapInPandas(
+        run, "main string, node string, label string, away boolean, plain boolean, own array<long>, own_w array<long>, "
+        "common array<long>, common_w array<long>, mass long"), "near-sets")
+    placed = _placed(sets.withColumn("cap", (most + EPS) / (1 + most + EPS) * F.col("mass") + EPS)).join(
+        sets.select("main", "node", "label", "away", "plain", "mass"), ["main", "node"])
+    placed = placed.withColumn("odds", F.col("before") / (F.col("mass") - F.col("before"))).where(F.col("odds") <= most + EPS)
     placed = stage(placed.select("main", "t", "node", "label", "away", "plain", "odds"), "near-rare")
     y = placed.select("main", "t", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "away", "plain", "odds")])
     met = placed.where("not plain").join(y, ["main", "t"]).where("label <> y_label and (away or y_away) and (y_plain or node < y_node)")

@@ -258,3 +258,28 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
             kept[name] = Counter(r.doc_id for r in rows)
             docs = spark.createDataFrame(rows, docs.schema)
+
+
+def test_tokens_of_a_family_are_placed_rarest_first(spark):
+    """Own and center tokens of several families in one order, weights ahead summed, tokens of one member left out: as by brute force."""
+    rng = np.random.default_rng(4)
+    members = []
+    for main, size in (("m", 30), ("n", 2), ("o", 1)):
+        for i in range(size):
+            own, common = (sorted({int(x) for x in rng.integers(low, low + span, rng.integers(0, 12))}) for low, span in ((0, 60), (-9, 9)))
+            weights = [[int(x) for x in rng.integers(1, 4, len(t))] for t in (own, common)]
+            members.append((main, f"{main}{i}", own, weights[0], common, weights[1], float(rng.integers(0, 30))))
+    count = {}
+    for main, _, own, _, common, _, _ in members:
+        for t in own + common:
+            count[main, t] = count.get((main, t), 0) + 1
+    want = set()
+    for main, node, own, own_w, common, common_w, cap in members:
+        before = 0
+        for t, w in sorted(zip(own + common, own_w + common_w), key=lambda x: (count[main, x[0]], x[0])):
+            if count[main, t] > 1 and before <= cap:
+                want.add((main, node, t, before))
+            before += w
+    sets = spark.createDataFrame(members, "main string, node string, own array<long>, own_w array<long>, common array<long>, common_w array<long>, cap double")
+    got = [tuple(r) for r in neardup._placed(sets).collect()]
+    assert len(got) == len(want) and set(got) == want
