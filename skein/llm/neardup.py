@@ -28,6 +28,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SMALL_GROUP = 32
+SHARE_TOKENS = 1 << 16  # of a large family, in one task
 EPS = 1e-6
 
 
@@ -309,40 +310,51 @@ def _placed(sets: DataFrame) -> DataFrame:
     """Tokens (main, node, t, before) that may be a pair's first common one; ``before``: the weight of the member's tokens ahead of t.
 
     ``sets`` is (main, node, own, own_w, common, common_w, cap): tokens and weights apart from those of the family's center and from
-    its side, and how much may stand ahead. The order of a family is rarest first, ties by token. The common ones are as few as the
-    center has shingles, so their counts go to the members as one array; of the own ones only those that another member has too are
-    joined with their counts. Tokens of one member only stand ahead of all others and are left out.
+    its side, and how much may stand ahead. The order of a family is rarest first, ties by token. Tokens of one member only stand ahead
+    of all others and are left out. Tokens travel as arrays: a family's members are dealt to shares of about ``SHARE_TOKENS`` tokens, a
+    share counts its tokens and deals them to as many parts, a part adds the counts of all shares up and tells each share those that two
+    members hold. So neither a share nor a part grows with the family, and only tokens that pass become rows.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                parts = [(np.asarray(t, np.int64), np.asarray(w, np.int64)) for t, w in ((row.own, row.own_w), (row.common, row.common_w))]
-                met, met_df, order, order_df = (np.asarray([] if x is None else x, np.int64) for x in (row.met, row.met_df, row.order, row.order_df))
-                mine = np.isin(order, parts[1][0])
-                weight = []
-                for tokens, (t, w) in zip((met, order[mine]), parts):
-                    by = np.argsort(t, kind="stable")
-                    weight.append(w[by][np.searchsorted(t[by], tokens)] if len(tokens) else np.empty(0, np.int64))
-                alone = parts[0][1].sum() - weight[0].sum()
-                t, w, df = np.concatenate([met, order[mine]]), np.concatenate(weight), np.concatenate([met_df, order_df[mine]])
-                by = np.lexsort((t, df))
-                before = alone + np.cumsum(w[by]) - w[by]
-                use = (before <= row.cap) & (df[by] > 1)
-                out.append((t[by][use], before[use]))
-            t, before = zip(*out) if out else ((), ())
-            yield batch[["main", "node"]].assign(t=list(t), before=list(before))
-
-    count = F.count(F.lit(1)).alias("df")
-    count, listed = F.count(F.lit(1)).alias("df"), F.collect_list(F.struct("t", "df")).alias("all")
-    own = sets.select("main", "node", F.explode("own").alias("t"))
-    met = own.join(own.groupBy("main", "t").agg(count).where("df > 1"), ["main", "t"]).groupBy("main", "node").agg(listed).select(
-        "main", "node", F.col("all")["t"].alias("met"), F.col("all")["df"].alias("met_df"))
-    order = sets.select("main", F.explode("common").alias("t")).groupBy("main", "t").agg(count).groupBy("main").agg(listed).select(
-        "main", F.col("all")["t"].alias("order"), F.col("all")["df"].alias("order_df"))
-    told = sets.join(met, ["main", "node"], "left").join(order, "main", "left").select(
-        "main", "node", "own", "own_w", "common", "common_w", "cap", "met", "met_df", "order", "order_df")
-    found = told.mapInPandas(run, "main string, node string, t array<long>, before array<long>")
+    def counted(share: pd.DataFrame) -> pd.DataFrame:
+        t, df = np.unique(np.concatenate([*share["own"], *share["common"]]).astype(np.int64), return_counts=True)
+        part = t % np.int64(share["shares"].iloc[0])
+        by = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[by], return_index=True)
+        return pd.DataFrame({"main": share["main"].iloc[0], "share": share["share"].iloc[0], "part": parts,
+                             "t": np.split(t[by], first[1:]) if len(t) else [], "df": np.split(df[by], first[1:]) if len(t) else []})
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        t, size = np.concatenate(part["t"].tolist()), part["t"].map(len).to_numpy()
+        known, at = np.unique(t, return_inverse=True)
+        df = np.bincount(at, np.concatenate(part["df"].tolist()), len(known)).astype(np.int64)[at]
+        met = df > 1
+        cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(part)), size)[met], minlength=len(part)))[:-1]
+        out = part[["main", "share"]].assign(t=np.split(t[met], cuts), df=np.split(df[met], cuts))
+        return out[out["t"].map(len) > 0]
+
+    def run(share: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        known, known_df = (np.concatenate([np.empty(0, np.int64), *met[c]]) for c in ("t", "df"))
+        by = np.argsort(known)
+        known, known_df, out = known[by], known_df[by], []
+        for row in share.itertuples(index=False):
+            t, w = np.concatenate([row.own, row.common]).astype(np.int64), np.concatenate([row.own_w, row.common_w]).astype(np.int64)
+            at = np.searchsorted(known, t)
+            in_two = np.append(known, 0)[at] == t
+            in_two &= at < len(known)
+            alone, t, w, df = w[~in_two].sum(), t[in_two], w[in_two], known_df[at[in_two]]
+            by = np.lexsort((t, df))
+            before = alone + np.cumsum(w[by]) - w[by]
+            use = before <= row.cap
+            out.append((t[by][use], before[use]))
+        t, before = zip(*out) if out else ((), ())
+        return share[["main", "node"]].assign(t=list(t), before=list(before))
+
+    shares = F.floor(F.sum(F.size("own") + F.size("common")) / SHARE_TOKENS) + 1
+    dealt = sets.join(sets.groupBy("main").agg(shares.alias("shares")), "main").withColumn("share", F.pmod(F.xxhash64("node"), "shares"))
+    met = dealt.groupBy("main", "share").applyInPandas(counted, "main string, share long, part long, t array<long>, df array<long>").groupBy(
+        "main", "part").applyInPandas(added, "main string, share long, t array<long>, df array<long>")
+    found = dealt.groupBy("main", "share").cogroup(met.groupBy("main", "share")).applyInPandas(
+        run, "main string, node string, t array<long>, before array<long>")
     return found.select("main", "node", F.explode(F.arrays_zip("t", "before")).alias("z")).select("main", "node", "z.t", "z.before")
 
 

@@ -260,6 +260,24 @@ def test_pipeline(spark):
             docs = spark.createDataFrame(rows, docs.schema)
 
 
+@pytest.mark.parametrize("most", [neardup.SHARE_TOKENS, 25])
+def test_tokens_of_a_family_travel_as_arrays(spark, monkeypatch, most):
+    """No row for each token of a family: only those that pass become rows, whatever the number of shares."""
+    monkeypatch.setattr(neardup, "SHARE_TOKENS", most)
+    members = [("m", f"m{i}", [j for j in range(60) if (i * 7 + j * j) % 11 < 3] + [1000 + i], [-j for j in range(1, 9) if (i + j) % 3]) for i in range(40)]
+    count = Counter(t for *_, own, common in members for t in own + common)
+    want = set()
+    for main, node, own, common in members:
+        placed = sorted(own + common, key=lambda t: (count[t], t))
+        want |= {(main, node, t, i) for i, t in enumerate(placed) if count[t] > 1 and i <= 6}
+    rows = [(m, n, o, [1] * len(o), c, [1] * len(c), 6.0) for m, n, o, c in members]
+    sets = spark.createDataFrame(rows, "main string, node string, own array<long>, own_w array<long>, common array<long>, common_w array<long>, cap double")
+    placed = neardup._placed(sets)
+    assert {tuple(r) for r in placed.collect()} == want
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(own" not in plan and "explode(common" not in plan
+
+
 def test_tokens_of_a_family_are_placed_rarest_first(spark):
     """Own and center tokens of several families in one order, weights ahead summed, tokens of one member left out: as by brute force."""
     rng = np.random.default_rng(4)
