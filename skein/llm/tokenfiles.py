@@ -24,6 +24,8 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 import zstandard
@@ -36,11 +38,17 @@ END_ID = 2               # appended to every document
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22       # a file ends after the document that reaches this
 LEVEL = 3
-WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
-SLICE_CHARS = 1 << 19
-# Latin words without an apostrophe: letters that change by case only, and what can't be part of a letter run
+PIECES_KEPT = 700_000
+SLICE_CHARS = 1 << 20
+# Latin text: letters that change by case only, and what can't be part of a letter run; no special token begins in it
 _PLAIN = re.compile(r"[\x00-&(-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-_PARTS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[^a-z\xdf-\xf6\xf8-\xff]+")
+# a word with an apostrophe or any other character stays whole; else runs of letters and what stands between them
+_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PIECES = re.compile(rf"[\x00-\x08\x0e-\x1f!-&(-;=-~{_LETTERS[6:]}]*['<\x7f-\xbf\xd7\xf7Ā-\U0010ffff][^ \t-\r]*|[{_LETTERS}]+|[^{_LETTERS} \t-\r]+")
+_BLANK = " \t\n\v\f\r"
+# of bytes: white space, letters in lower case (beyond ASCII plain text has letters only), anything else
+_KIND = np.full(256, 2, np.uint8)
+_KIND[list(_BLANK.encode())], _KIND[97:123], _KIND[128:] = 0, 1, 1
 _DOCUMENTS = np.dtype([("id", "<i8"), ("known", "<u1"), ("tokens", "<i8")])
 
 
@@ -165,10 +173,12 @@ class Known:
 class Encoder:
     """Ids of whole texts.
 
-    With ``word_rules`` texts are cut at blanks, and plain Latin words into letters in lower case and what stands between them.
-    That is right for vocabularies that fold case, drop white space and never join letters with other characters; words with
-    an apostrophe, a special token or other characters stay whole. Pieces are encoded once and kept. New ones go to the
-    tokenizer as one text, with a special token between them, which it never joins with what stands beside it.
+    With ``word_rules`` texts are cut at white space, and plain Latin words into runs of letters and what stands between them; texts that
+    are plain throughout are put into lower case first. That is right for vocabularies that fold case, drop white space and never join
+    letters with other characters; words with an apostrophe, a special token or other characters stay whole. Pieces are encoded once
+    and kept. New ones go to the tokenizer as one text, with a special token between them, which it never joins with what stands beside
+    it; runs of lower-case ASCII letters, which its normalizer leaves as they are and its pre-tokenizer whole, with blanks between them and
+    without those two steps.
     """
 
     def __init__(self, path: str, word_rules: bool = True):
@@ -176,9 +186,25 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a worker for each core
         self.tokenizer, self.word_rules = Tokenizer.from_file(path), word_rules
+        told = json.loads(self.tokenizer.to_str())
+        steps = told["pre_tokenizer"] or {}
+        steps = [p for p in steps.get("pretokenizers", [steps]) if p.get("type") == "ByteLevel"]
+        told |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *steps]}}
+        self.folded, suffix = Tokenizer.from_str(json.dumps(told)), told["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[n for t, n in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = min(special.items()) if special else (None, None)
-        self.words, self.pieces = Known(WORDS_KEPT), Known(PIECES_KEPT)
+        self.pieces = Known(PIECES_KEPT)
+
+    def _encoded_letters(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of runs of lower-case ASCII letters; the last token of each has the suffix of words."""
+        ids = np.array(self.folded.encode_batch_fast([" ".join(strings)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends_word[ids])
+        if len(last) != len(strings) or last[-1] != len(ids) - 1:
+            return self._encoded(strings)
+        return ids, np.diff(np.concatenate([[-1], last]))
 
     def _encoded(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all strings, number of ids of each)."""
@@ -189,22 +215,18 @@ class Encoder:
         marks = np.flatnonzero(ids == self.mark_id)
         return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
-    def _learn(self, words: list[str]) -> None:
-        cut = [_PARTS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in words]
-        fresh = self.pieces.missing(set().union(*cut))
-        older = len(self.pieces.number)
+    def _learn(self, fresh: list[str]) -> None:
         odd = [p for p in fresh if self.mark and self.mark in p]
-        for group in (list(set(fresh).difference(odd)), odd) if odd else (fresh,):
+        rest = set(fresh).difference(odd) if odd else fresh
+        folded, other = [], []
+        for p in rest:
+            (folded if p.isascii() and p.islower() and p.isalpha() else other).append(p)
+        for group, encoded in ((folded, self._encoded_letters), (other, self._encoded), (odd, self._encoded)):
             if group:
-                self.pieces.add(group, *self._encoded(group))
-        at = self.pieces.find([p for parts in cut for p in parts], older)
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        ends = np.concatenate([[0], np.cumsum(self.pieces.size[at])])
-        last = np.cumsum(count)
-        self.words.add(words, self.pieces.ids(at), ends[last] - ends[last - count])
+                self.pieces.add(group, *encoded(group))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Texts are taken in slices of bounded length, so that unknown words go to the tokenizer many at a time."""
+        """Texts are taken in slices of bounded length, so that unknown pieces go to the tokenizer many at a time."""
         slice_, chars = [], 0
         for text in texts:
             slice_.append(text)
@@ -220,13 +242,41 @@ class Encoder:
         if not self.word_rules:
             yield from (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
             return
-        split = [t.split(" ") for t in texts]
-        fresh = self.words.missing(set().union(*split))
-        older = len(self.words.number)
+        plain, rest, out = [], [], {}
+        for i, text in enumerate(texts):
+            (plain if _PLAIN.fullmatch(text) else rest).append(i)
+        for group, cut in ((plain, _runs), (rest, _pieces)):
+            if group:
+                out.update(zip(group, self._ids(*cut([texts[i] for i in group]))))
+        yield from map(out.__getitem__, range(len(texts)))
+
+    def _ids(self, pieces: pa.Array, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts from their pieces in a row; each different piece is looked up once."""
+        coded = pieces.dictionary_encode()
+        strings = pc.utf8_rtrim(coded.dictionary, _BLANK).to_numpy(zero_copy_only=False).tolist()
+        fresh = self.pieces.missing(set(strings))
+        older = len(self.pieces.number)
         if fresh:
             self._learn(fresh)
-        for words in split:
-            yield self.words.ids(self.words.find(words, older))
+        at = self.pieces.find(strings, older)[coded.indices.to_numpy()]
+        last = np.concatenate([[0], np.cumsum(self.pieces.size[at])])
+        return np.split(self.pieces.ids(at), last[ends[:-1]])
+
+
+def _runs(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of plain texts with the white space after them, number of pieces up to each text's end), found on the bytes of all texts."""
+    each = [t.lower().encode() for t in texts]
+    whole = b"\n".join(each)
+    kind = _KIND[np.frombuffer(whole, np.uint8)]
+    starts = np.flatnonzero((kind != 0) & (kind != np.concatenate([[0], kind[:-1]])))
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(whole)).astype(np.int64)), pa.py_buffer(whole))
+    return pieces, np.searchsorted(starts, np.cumsum([len(b) + 1 for b in each]))
+
+
+def _pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The same of any texts, by a regular expression."""
+    cut = [_PIECES.findall(t) for t in texts]
+    return pa.array([p for pieces in cut for p in pieces], pa.large_string()), np.cumsum([len(pieces) for pieces in cut])
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

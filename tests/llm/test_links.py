@@ -225,6 +225,25 @@ def test_token_files(spark, file_ids):
     assert tokenfiles.token_files(docs.where("false"), path).count() == 0
 
 
+def test_pieces_are_looked_up_once_and_encoded_as_in_whole_texts(monkeypatch):
+    """Any mixture of cases, apostrophes, special tokens and other characters; capitals and punctuation make no new pieces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(3)
+    parts = ["don't", "'tis", "'START", "rock'n'roll", "\"'s\"", "The", "\xc9COLE", "stra\xdfe", "\u0130stanbul", "\u039f\u0394\u039f\u03a3", "e\u0301te\u0301", "12", "3.14", "..",
+             "\u2014", "<|endoftext|>", "<|STARTOFTEXT|>", "<", "\x1c", "\x85", "\xa0", "\t", "\r\n", " ", "\x7f", "\xb2", "\xb5", "\u6f22", "\xff", "\xd7", "'ll", "''", "ab,cd", "\x00", "\u200b", "\U0001f600"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(14))) for _ in range(2000)]
+    for kept in (tokenfiles.PIECES_KEPT, 50):
+        monkeypatch.setattr(tokenfiles, "PIECES_KEPT", kept)
+        found = list(tokenfiles.Encoder(path).encode(texts))
+        assert [f.tolist() for f in found] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    encoder = tokenfiles.Encoder(path)
+    list(encoder.encode(["Word, word. WORD (word) w\xc4rd w\xe4rd"]))
+    assert set(encoder.pieces.number) == {"word", ",", ".", "(", ")", "w\xe4rd"}
+
+
 def test_pipeline(spark):
     """Each stage against what it may do to its own input."""
     import corpus_pipeline as pipeline
