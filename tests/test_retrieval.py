@@ -148,3 +148,16 @@ def test_part_ids(spark):
     nested = {r.id: r for r in out.withColumn("sub", numbered(F.col("id"), F.lit(1), 10)).collect()}
     assert len(nested) == len(rows) == len({r["sub"] for r in nested.values()})
     assert all(i == r.p * 1_000_000 + r.n and r["sub"] == i * 10 + 1 for i, r in nested.items() if i >= 0)
+
+
+def test_equal_questions_are_worked_out_once(spark, data, monkeypatch):
+    asked = []
+    anchor_rows = R.anchor_rows
+    monkeypatch.setattr(R, "anchor_rows", lambda seeds, d: asked.extend(r.query_id for r in seeds.select("query_id").distinct().collect()) or anchor_rows(seeds, d))
+    rows = [(1, unit(0), None), (2, unit(0), None), (3, unit(0), 40), (4, unit(1), None), (5, unit(1), None), (5, unit(1), None), (6, unit(0), None)]
+    got = R.retrieve_single(spark.createDataFrame(rows, "query_id long, embedding array<float>, budget int"), data)
+    assert sorted(asked) == [1, 3, 4, 5]  # 5 comes twice and stands for itself
+    for part in (got.seeds, got.nodes, got.edges, got.wiki, got.chunks, got.summary):
+        of = {i: sorted(map(str, part.where(F.col("query_id") == i).drop("query_id").collect())) for i in (1, 2, 3, 4, 6)}
+        assert of[1] == of[2] == of[6]
+    assert {r.query_id: r.budget for r in got.summary.collect()} == {1: 3600, 2: 3600, 3: 40, 4: 3600, 5: 3600, 6: 3600}
