@@ -2,11 +2,13 @@
 
 Four base kinds have exact rules and always stay. Beside them, loose generators propose overlapping spans (addresses written
 out, telephone numbers without a plus sign, long digit groups, key = "value" pairs). Boosted regression trees, fitted here with
-numpy on candidates of a bounded sample of documents, score each span by its format and its surroundings; scores are
+numpy on the candidates of all documents, score each span by its format and its surroundings; scores are
 calibrated on spans kept from the fit, and a span is added where its probability reaches the threshold of its kind whose
 calibration precision on spans outside the base rules is at least ``PRECISION``. Labels of the fit come from checks the features do not see: the base rules, assignments of
 a random-looking value to a name, a loose address that decodes to a base one, a valid grouping of digits after a telephone word.
-As a table may hold no loose address or number at all, the sampled texts are also read with some written in (``planted``): base
+Rows of equal bins are one row with a weight; the sums of a level
+are counted by the tasks that hold the rows, in whole numbers, so they do not depend on partitions, and scores are rounded so that
+calibration needs their counts only. As a table may hold no loose address or number at all, the texts are also read with some written in (``planted``): base
 numbers without their plus sign and prefix and base addresses spelled out are right ones, dates, versions and dotted numbers in the
 same surroundings wrong ones.
 """
@@ -14,7 +16,7 @@ same surroundings wrong ones.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 import hashlib
 from itertools import accumulate
 import re
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 from skein.llm.common import partitions, ready
 from skein.session import stage
 
-SAMPLE_ROWS = 4000       # bound of the documents whose candidates the trees are fitted on
-SAMPLE_CANDIDATES = 40_000
 PRECISION = 0.98
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+UNIT = 1 << 20           # gradients are added up as whole numbers of this fraction
+DIGITS = 3               # of a score
+LOCAL_ROWS = 50_000      # up to as many different rows the sums of a level are counted here, beyond by a job, with equal sums
 # The base kinds in the order in which they are listed, then the kind of the method's own.
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -156,9 +159,8 @@ def grouped(text: str, start: int, end: int) -> bool:
     return 9 <= sum(sizes) <= 12 and sizes[1] >= 3 and sizes[2] >= 3 and not row
 
 
-def planted(text: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, kind, start, end, label): candidates written into the text where base numbers and addresses stand, or anywhere."""
-    base = spans(text)[0]
+def planted(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """(text, kind, start, end, label): candidates written into the text where the ``base`` numbers and addresses stand, or anywhere."""
     seed = int(hashlib.md5(text.encode()).hexdigest(), 16)
     free = text.find(" ", seed % (len(text) + 1)) + 1
     out = []
@@ -235,6 +237,47 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
             row, *[len(g) for g in (groups + ["", "", ""])[:3]], span[-1:].isalpha()]
 
 
+def quantiles() -> list[float]:
+    return np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+
+
+def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint8)
+
+
+def ends(columns: np.ndarray, tree: list[tuple]) -> np.ndarray:
+    """The node of each row in a tree of (feature, cut, left, right, value); ``columns`` are rows of features, or of bins with trees that cut them."""
+    def below(node: int) -> np.ndarray | int:
+        feature, cut, left, right = tree[node][:4]
+        return node if feature < 0 else np.where(columns[:, feature] <= cut, below(left), below(right))
+
+    return np.broadcast_to(below(0), len(columns))
+
+
+def level_sums(bins: np.ndarray, y: np.ndarray, w: np.ndarray, start: float, trees: list[list[tuple]], nodes: list[int]) -> np.ndarray:
+    """(3, nodes, features, BINS) sums of gradient and hessian for the ``nodes`` of the last tree, which is still growing; ``bins`` by column.
+
+    The third are the weights of the nodes, in the first slot of each.
+    """
+    raw = np.full(len(y), start)
+    for tree in trees[:-1]:
+        raw += np.array([n[4] for n in tree])[ends(bins, tree)]
+    place = np.full(len(trees[-1]), -1)
+    place[nodes] = np.arange(len(nodes))
+    at = place[ends(bins, trees[-1])]
+    p = 1 / (1 + np.exp(-raw))
+    parts = (np.rint((y - p) * UNIT) * w, np.rint(p * (1 - p) * UNIT) * w)
+    rows = at >= 0
+    out = np.zeros((3, len(nodes), bins.shape[1], BINS), np.int64)
+    out[2, :, 0, 0] = np.bincount(at[rows], w[rows], len(nodes))
+    at, parts = at[rows] * BINS, [part[rows] for part in parts]
+    for j in range(bins.shape[1]):
+        slot = at + bins[rows, j]
+        for k, part in enumerate(parts):
+            out[k, :, j] = np.bincount(slot, part, len(nodes) * BINS).reshape(len(nodes), BINS)
+    return out
+
+
 class Boosted:
     """Gradient boosting of small regression trees on the logistic loss, on binned features."""
 
@@ -247,78 +290,74 @@ class Boosted:
         self.scale = (1.0, 0.0)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        cuts = [np.unique(np.quantile(x[:, j], quantiles())) for j in range(x.shape[1])]
+        bins, ones = np.asfortranarray(binned(x, cuts)), np.ones(len(y))
+        return self.grow(cuts, float(y.mean()), lambda *asked: level_sums(bins, y, ones, *asked))
+
+    def grow(self, cuts: list[np.ndarray], share: float, sums: Callable[[float, list, list], np.ndarray]) -> Boosted:
+        """Trees from the ``level_sums`` of all rows, asked for once a level: ``sums(start, trees of bins, nodes)``."""
+        share = min(max(share, 1e-3), 1 - 1e-3)
         self.start = float(np.log(share / (1 - share)))
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        bins = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
-        raw = np.full(len(y), self.start)
+        trees: list[list[tuple]] = []
         for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-raw))
-            tree: list[tuple] = []
-            leaf = self._grow(tree, bins, cuts, y - p, p * (1 - p), np.arange(len(y)), 0, raw)
-            self.grown.append(tree)
-            assert leaf == 0
+            tree, nodes = [(-1, 0, 0, 0, 0.0)], [0]
+            trees.append(tree)
+            for _ in range(self.depth):
+                if not nodes:
+                    break
+                found, opened = sums(self.start, trees, nodes), []
+                for i, node in enumerate(nodes):
+                    g, h = found[:2, i] / UNIT
+                    whole_g, whole_h = g[0].sum(), h[0].sum()
+                    if node == 0:
+                        tree[0] = (-1, 0, 0, 0, self.rate * whole_g / (whole_h + 1.0))
+                    gs, hs = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
+                    gain = gs ** 2 / (hs + 1.0) + (whole_g - gs) ** 2 / (whole_h - hs + 1.0) - whole_g ** 2 / (whole_h + 1.0)
+                    gain[np.arange(BINS - 1) >= np.array([len(c) for c in cuts])[:, None]] = 0.0
+                    j, at = divmod(int(gain.argmax()), BINS - 1)
+                    if found[2, i, 0, 0] < 8 or gain[j, at] <= 1e-6:
+                        continue
+                    low = self.rate * gs[j, at] / (hs[j, at] + 1.0)
+                    high = self.rate * (whole_g - gs[j, at]) / (whole_h - hs[j, at] + 1.0)
+                    tree[node] = (j, at, len(tree), len(tree) + 1, tree[node][4])
+                    opened += [len(tree), len(tree) + 1]
+                    tree += [(-1, 0, 0, 0, float(low)), (-1, 0, 0, 0, float(high))]
+                nodes = opened
+        self.grown = [[(j, float(cuts[j][at]) if j >= 0 else 0.0, left, right, value) for j, at, left, right, value in tree] for tree in trees]
         return self
 
-    def _grow(self, tree: list, bins, cuts, g, h, rows, depth, raw) -> int:
-        """Nodes are (feature, cut, left, right, value); returns the node's number."""
-        number = len(tree)
-        value = self.rate * g[rows].sum() / (h[rows].sum() + 1.0)
-        tree.append((-1, 0.0, 0, 0, value))
-        best = (1e-6, -1, 0)
-        if depth < self.depth and len(rows) >= 8:
-            whole = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-            for j in range(bins.shape[1]):
-                n = len(cuts[j]) + 1
-                gs = np.cumsum(np.bincount(bins[rows, j], g[rows], n))[:-1]
-                hs = np.cumsum(np.bincount(bins[rows, j], h[rows], n))[:-1]
-                if len(gs):
-                    gain = gs ** 2 / (hs + 1.0) + (g[rows].sum() - gs) ** 2 / (h[rows].sum() - hs + 1.0) - whole
-                    at = int(gain.argmax())
-                    if gain[at] > best[0]:
-                        best = (float(gain[at]), j, at)
-        _, j, at = best
-        if j < 0:
-            raw[rows] += value
-            return number
-        low = bins[rows, j] <= at
-        left = self._grow(tree, bins, cuts, g, h, rows[low], depth + 1, raw)
-        right = self._grow(tree, bins, cuts, g, h, rows[~low], depth + 1, raw)
-        tree[number] = (j, float(cuts[j][at]), left, right, value)
-        return number
-
     def raw(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
         for tree in self.grown:
-            at = np.zeros(len(x), int)
-            feature, cut, left, right, value = (np.array(c) for c in zip(*tree))
-            for _ in range(self.depth):
-                split = feature[at] >= 0
-                low = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= cut[at]
-                at = np.where(split, np.where(low, left[at], right[at]), at)
-            out += value[at]
-        return out
+            out += np.array([n[4] for n in tree])[ends(x, tree)]
+        return np.round(out, DIGITS)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
+        return self._scaled(self.raw(x))
+
+    def _scaled(self, z: np.ndarray) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-(a * self.raw(x) + b)))
+        return 1 / (1 + np.exp(-(a * z + b)))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, precision: float) -> None:
-        """Platt scaling by a few Newton steps, then the lowest threshold with the asked precision on these rows."""
-        z, a, b = self.raw(x), 1.0, 0.0
+        self.calibrate_scores(self.raw(x), y, np.ones(len(y)), precision)
+
+    def calibrate_scores(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> None:
+        """Platt scaling by a few Newton steps, then the lowest threshold with the asked precision, for rows that come ``n`` times."""
+        a, b = 1.0, 0.0
         for _ in range(20):
             p = 1 / (1 + np.exp(-(a * z + b)))
-            w, r = p * (1 - p) + 1e-9, y - p
+            w, r = n * (p * (1 - p) + 1e-9), n * (y - p)
             hessian = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
             da, db = np.linalg.solve(hessian, [(r * z).sum(), r.sum()])
             a, b = float(np.clip(a + da, 0.05, 20)), float(np.clip(b + db, -20, 20))
         self.scale = (a, b)
-        self.threshold = self.lowest(x, y, precision)
+        self.threshold = self.lowest(z, y, n, precision)
 
-    def lowest(self, x: np.ndarray, y: np.ndarray, precision: float) -> float:
-        p = self.probability(x)
+    def lowest(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, precision: float) -> float:
+        p = self._scaled(z)
         order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        right = np.cumsum((y * n)[order]) / np.cumsum(n[order])
         last = np.append(p[order][1:] != p[order][:-1], True)
         fine = np.flatnonzero((right >= precision) & last)
         if not len(fine):
@@ -327,45 +366,100 @@ class Boosted:
         return float(max((p[order][fine[-1]] + below) / 2, 0.5))
 
 
-def fit(docs: DataFrame, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Boosted | None:
-    """Trees fitted on candidates of about ``bound`` documents, at most; None where the sample has no candidates of both labels."""
-    n = ready(docs).select(F.count(F.lit(1))).first()[0]
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("pii")), F.lit(1 << 30))
-    draw = drawn < int(min(1.0, bound / max(n, 1)) * (1 << 30))
-    # the lowest draws, so that reruns take the same rows; equal rows are all one
-    sample = docs.where(draw & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), drawn.alias("drawn"), F.xxhash64(F.col(text_col)).alias("tie"))
-    sample = sample.orderBy("drawn", "tie").limit(bound).select("text").repartition(partitions(docs))
+def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labelled rows of each text, its own and planted ones; a third of them, by a hash of the span, is kept from the fit."""
+    for batch in batches:
+        rows = [([float(v) for v in features(t, k, a, b)], y, int(hashlib.md5(t[a:b].encode()).hexdigest()[:8], 16) % 3 == 0, own and i < len(spans_of[0]))
+                for text in batch["text"] for spans_of in [spans(text)]
+                for own, several in ((True, [(text, *c) for c in spans_of[1]]), (False, planted(text, spans_of[0])))
+                for i, (t, k, a, b, y) in enumerate(several) if y >= 0]
+        yield pd.DataFrame(rows, columns=["x", "y", "kept", "base"])
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int = 65_536) -> Iterator[pd.DataFrame]:
+    """Batches of about ``rows`` rows, for work whose calls cost more than their rows."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + len(batch)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def fit(docs: DataFrame, bound: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> Boosted | None:
+    """Trees fitted on the candidates of all documents, or of the ``bound`` lowest draws; None where they have no candidates of both labels."""
+    texts = ready(docs).where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("pii")).alias("drawn"))
+    if bound is not None:
+        texts = texts.orderBy("drawn", F.xxhash64("text")).limit(bound).repartition(partitions(docs))
+    found = texts.select("text").mapInPandas(candidates, "x array<double>, y int, kept boolean, base boolean")
+    found = stage(found.groupBy("x", "y", "kept", "base").agg(F.count(F.lit(1)).alias("n")), "personal_candidates")
+    labels = {bool(r.kept): r.labels for r in found.groupBy("kept").agg(F.countDistinct("y").alias("labels")).collect()}
+    if len(labels) == 1:
+        found = found.withColumn("kept", F.pmod(F.xxhash64("x"), F.lit(3)) == 0)
+        labels = {bool(r.kept): r.labels for r in found.groupBy("kept").agg(F.countDistinct("y").alias("labels")).collect()}
+    if labels.get(True) != 2 or labels.get(False) != 2:
+        return None
+    return _fitted(found)
+
+
+def _fitted(found: DataFrame) -> Boosted:
+    """Trees of the rows ``(x, y, kept, base, n)`` that are not kept, thresholds of those that are."""
+    learnt = found.where("not kept")
+    at = learnt.select("n", F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.percentile("v", quantiles(), F.col("n")).alias("cuts"))
+    cuts = [np.unique(r.cuts) for r in sorted(at.collect(), key=lambda r: r.j)]
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [([float(v) for v in features(t, k, a, b)], y, int(hashlib.md5(t[a:b].encode()).hexdigest()[:8], 16), own, own and i < len(spans_of[0]))
-                    for text in batch["text"] for spans_of in [spans(text)]
-                    for own, several in ((True, [(text, *c) for c in spans_of[1]]), (False, planted(text)))
-                    for i, (t, k, a, b, y) in enumerate(several) if y >= 0]
-            yield pd.DataFrame(rows, columns=["x", "y", "part", "own", "base"])
-
-    found = sample.mapInPandas(candidates, "x array<double>, y int, part bigint, own boolean, base boolean")
-    # planted ones have a bound of their own, some eighteen for each document
-    found = stage(found, "personal_candidates")
-
-    def first(rows: DataFrame, most: int) -> pd.DataFrame:
-        """By hash, so that reruns take the same ones; rows that tie are equal."""
-        return rows.orderBy("part", F.xxhash64("x"), "x", "y", "base").limit(most).toPandas()
-
-    found = pd.concat([first(found.where("own"), SAMPLE_CANDIDATES), first(found.where("not own"), 18 * bound)])
-    if found["y"].nunique() < 2:
-        return None
-    found = found.sort_values(["part", "y"], kind="stable")
-    x, y, kept = np.stack(found["x"]), found["y"].to_numpy(float), (found["part"] % 3 == 0).to_numpy()
-    if kept.all() or not kept.any():
-        kept = np.arange(len(y)) % 3 == 0
-    if len(set(y[~kept])) < 2 or len(set(y[kept])) < 2:
-        return None
-    model = Boosted().fit(x[~kept], y[~kept])
-    model.calibrate(x[kept], y[kept], PRECISION)
+            if len(batch):
+                yield pd.DataFrame({"bins": [r.tobytes() for r in binned(np.stack(batch["x"]), cuts)], "y": batch["y"], "n": batch["n"]})
+
+    rows = learnt.select("x", "y", "n").mapInPandas(cut, "bins binary, y int, n bigint").groupBy("bins", "y").agg(F.sum("n").alias("n"))
+    rows = stage(rows, "personal_rows")
+    different, right, whole = rows.agg(F.count(F.lit(1)), F.sum(F.col("y") * F.col("n")), F.sum("n")).first()
+    model = Boosted()
+
+    def arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bins = np.frombuffer(b"".join(batch["bins"]), np.uint8).reshape(len(batch), -1)
+        return np.asfortranarray(bins), batch["y"].to_numpy(float), batch["n"].to_numpy(float)
+
+    if different <= LOCAL_ROWS:
+        here = arrays(rows.toPandas())
+
+        def sums(start: float, trees: list, nodes: list) -> np.ndarray:
+            return level_sums(*here, start, trees, nodes)
+    else:
+        def sums(start: float, trees: list, nodes: list) -> np.ndarray:
+            shape = (3, len(nodes), len(cuts), BINS)
+
+            def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                out = np.zeros(shape, np.int64)
+                for batch in gathered(batches):
+                    out += level_sums(*arrays(batch), start, trees, nodes)
+                slots = np.flatnonzero(out)
+                yield pd.DataFrame({"slot": slots, "value": out.ravel()[slots]})
+
+            added = rows.mapInPandas(part, "slot bigint, value bigint").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+            out = np.zeros(int(np.prod(shape)), np.int64)
+            out[added["slot"].to_numpy(int)] = added["value"].to_numpy(np.int64)
+            return out.reshape(shape)
+
+    model.grow(cuts, right / whole, sums)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["x"])
+                yield batch.drop(columns="x").assign(z=np.rint(model.raw(x) * 10 ** DIGITS).astype(np.int64), kind=x[:, 0].astype(np.int32))
+
+    scored = found.where("kept").select("x", "y", "base", "n").mapInPandas(score, "y int, base boolean, n bigint, z bigint, kind int")
+    kept = scored.groupBy("z", "kind", "base", "y").agg(F.sum("n").alias("n")).orderBy("z", "kind", "base", "y").toPandas()
+    z, y, n, kind = (kept["z"].to_numpy(float) / 10 ** DIGITS, *(kept[c].to_numpy(float) for c in ("y", "n", "kind")))
+    model.calibrate_scores(z, y, n, PRECISION)
     # base spans are right by their rules and say nothing about the precision of added ones
-    loose = kept & ~found["base"].to_numpy(bool)
-    model.kinds = {k: model.lowest(x[rows], y[rows], PRECISION) for k in range(len(KINDS)) if (rows := loose & (x[:, 0] == k)).any()}
+    loose = ~kept["base"].to_numpy(bool)
+    model.kinds = {k: model.lowest(z[own], y[own], n[own], PRECISION) for k in range(len(KINDS)) if (own := loose & (kind == k)).any()}
     return model
 
 

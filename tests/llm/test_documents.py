@@ -1,6 +1,7 @@
 """Operators that answer for each document, against plain Python over whole texts, with awkward rows among them."""
 
 from collections import Counter, defaultdict
+import functools
 import hashlib
 import pickle
 import re
@@ -205,6 +206,21 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert drawn[0] == drawn[1] and len(drawn[0]) == 3
 
 
+def test_personal_data_learns_from_all_documents(spark, monkeypatch):
+    """Every document's own spans are rows of the fit, beyond any bound; sums by jobs give the model that local sums give."""
+    seen, stage = [], pii.stage
+    monkeypatch.setattr(pii, "stage", lambda df, name: seen.append((name, stage(df, name))) or seen[-1][1])
+    monkeypatch.setattr(pii, "Boosted", functools.partial(pii.Boosted, trees=3))
+    docs = spark.range(4500).selectExpr("id as doc_id", "concat('write to a', id, '@example.org, token = ', sha2(cast(id as string), 256)) as text")
+    models = []
+    for local in (pii.LOCAL_ROWS, 0):
+        monkeypatch.setattr(pii, "LOCAL_ROWS", local)
+        models.append(vars(pii.fit(docs)))
+    assert models[0] == models[1]
+    own = [df for name, df in seen if name == "personal_candidates"][0].where("base").agg({"n": "sum"}).first()[0]
+    assert own == sum(len(pii.spans(r.text)[0]) for r in docs.collect()) >= 4500
+
+
 def test_loose_personal_data(spark):
     """Each generator adds spans; dates, versions and dotted numbers stay out; a loose match inside a base span is no second one."""
     model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
