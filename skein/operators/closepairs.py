@@ -3,7 +3,7 @@
 Unit vectors of cosine >= t are at most r = sqrt(2 - 2t) apart. Vectors are dealt to cells around at most ``PIVOTS`` of them. If a vector
 lies in its own cell at distance d, the triangle inequality leaves it partners only in cells whose pivot is within d + 2r of it, so it goes to
 those as a guest. A cell is cut into blocks of its own vectors and chunks of all that came; a tile of both is one matrix product.
-Equal vectors are compared once, through the one of the smallest id.
+Equal vectors are a class, which is compared once; ``Close.all_pairs`` tells the pairs of all rows.
 """
 
 from __future__ import annotations
@@ -25,11 +25,33 @@ EPS = 1e-6
 
 @dataclass(frozen=True)
 class Close:
-    """``pairs (a, b, similarity)`` of different vectors with a < b, ``members (id, representative)``, and ``work (compared, possible)``."""
+    """``pairs (a, b, similarity)`` of different vectors with a < b, by the smallest id of each, ``members (id, representative)``, and
+    ``work (compared, possible)``; ``rows (class_id, id)`` are all rows, ``alike (ca, cb, similarity)`` the pairs of classes, each with itself too.
+    """
 
     pairs: DataFrame
     members: DataFrame
     work: DataFrame
+    rows: DataFrame
+    alike: DataFrame
+
+    def all_pairs(self, block: int = BLOCK) -> DataFrame:
+        """``(a, b, similarity)`` of all rows with a < b, equal vectors among them.
+
+        Rows of a class are dealt to blocks, so a class of many copies is paired block by block, in many tasks.
+        """
+        sizes = self.rows.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+        rows = stage(self.rows.join(sizes, "class_id").select("class_id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "id"), "close-members")
+        tiles = self.alike
+        for side in "ab":
+            of = sizes.select(F.col("class_id").alias(f"c{side}"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(f"block_{side}"))
+            tiles = tiles.join(of, f"c{side}")
+        for side in "ab":
+            of = rows.select(F.col("class_id").alias(f"c{side}"), F.col("block").alias(f"block_{side}"), F.col("id").alias(side))
+            tiles = tiles.join(of, [f"c{side}", f"block_{side}"])
+        # two rows of one class meet twice
+        met = tiles.where("a < b or (a > b and ca <> cb)")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -69,8 +91,9 @@ def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
     fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e150))) & F.exists(x, lambda v: v != 0)
     rows = vectors.where("id is not null").select("id", F.when(fit, x).alias("v")).where("v is not null")
     members = stage(rows.select("id", F.col("v").alias("key")), "close-rows")
-    classes = stage(members.groupBy("key").agg(F.min("id").alias("representative")).select("representative", F.col("key").alias("v")), "close-classes")
-    told = members.join(classes, F.col("key") == F.col("v")).select("id", "representative")
+    classes = stage(members.groupBy("key").agg(F.min("id").alias("representative")).select(
+        F.monotonically_increasing_id().alias("class_id"), "representative", F.col("key").alias("v")), "close-classes")
+    told = stage(members.join(classes, F.col("key") == F.col("v")).select("class_id", "id", "representative"), "close-told")
     radius = math.sqrt(max(0.0, 2 - 2 * (threshold - EPS))) + EPS
     # a bounded number of vectors, drawn by hash, for each dimension at most
     drawn: dict[int, list] = {}
@@ -78,7 +101,9 @@ def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
         drawn.setdefault(len(v), []).append(v)
     centres = {d: _units(pd.Series(vs)) for d, vs in drawn.items()}
 
-    dealt = stage(classes.mapInPandas(_deal(centres, radius), "representative long, v array<double>, cell string, own boolean"), "close-cells")
+    # a class goes by its number, because rows of one id may hold different vectors
+    numbered_classes = classes.select(F.col("class_id").alias("representative"), "v")
+    dealt = stage(numbered_classes.mapInPandas(_deal(centres, radius), "representative long, v array<double>, cell string, own boolean"), "close-cells")
     cells = stage(dealt.groupBy("cell").agg(F.ceil(F.count(F.when(F.col("own"), 1)) / block).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
                   .where("blocks > 0"), "close-sizes")
     sized = dealt.join(cells, "cell")
@@ -103,4 +128,9 @@ def close_pairs(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
     found = stage(fan_out(lefts, *keys[0]).groupBy(*keys[0]).cogroup(fan_out(rights, *keys[1]).groupBy(*keys[1])).applyInPandas(
         tile, "a long, b long, similarity double, compared long"), "close-found")
     work = found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared")).withColumn("possible", F.lit(classes.count() ** 2).cast("long"))
-    return Close(found.where("compared = 0").select("a", "b", "similarity"), told, work)
+    alike = found.where("compared = 0").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "similarity")
+    first = {c: classes.select(F.col("class_id").alias(c), F.col("representative").alias(f"r{c}")) for c in ("ca", "cb")}
+    named = alike.join(first["ca"], "ca").join(first["cb"], "cb").where("rca <> rcb")
+    pairs = named.select(F.least("rca", "rcb").alias("a"), F.greatest("rca", "rcb").alias("b"), "similarity")
+    itself = told.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("ca"), F.col("class_id").alias("cb"), F.lit(1.0).alias("similarity"))
+    return Close(pairs, told.select("id", "representative"), work, told.select("class_id", "id"), alike.unionByName(itself.where(F.col("similarity") >= threshold)))

@@ -78,4 +78,4 @@ SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6)
 WHERE a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.4""")
 def close_entity_vectors(t: Tables):
     """All pairs of given vectors that are alike by a low threshold, so that there are some."""
-    return close_pairs(t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4).pairs
+    return close_pairs(t.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.4).all_pairs()

@@ -67,3 +67,24 @@ def test_vectors_are_dealt_to_cells_in_bounded_frames():
     frames = list(closepairs._deal(centres, 2.0)(iter([batch])))
     assert max(map(len, frames)) <= 16_384 and sum(map(len, frames)) == 4096 * 64
     assert sum(int(f["own"].sum()) for f in frames) == 4096
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_pairs_of_all_rows(spark, block):
+    """Copies pair with each other and with all that is close to them; rows that repeat, or share an id, each count."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(5, 15)] + [(1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 0.0]), (7, [1.0, 0.0, 0.0])]
+    rows += [(2, [0.0, 1.0, 0.01]), (2, [0.0, 1.0, 0.02])] + [(100 + i, rng.normal(size=3).tolist()) for i in range(20)]
+    close = closepairs.close_pairs(spark.createDataFrame(rows, "id long, embedding array<double>"), 0.9)
+    wanted = sorted((a, b, round(float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y))), 6)) for a, x in rows for b, y in rows if a < b)
+    assert sorted(tuple(r) for r in close.all_pairs(block).collect()) == [w for w in wanted if w[2] >= 0.9]
+    none = closepairs.close_pairs(spark.createDataFrame(rows, "id long, embedding array<double>"), 1.1)
+    assert none.all_pairs().count() == 0
+
+
+def test_the_query_tells_pairs_of_equal_vectors(spark, tmp_path):
+    from skein.plans.registry import QUERIES, load
+    load()
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.1]), (4, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r["a"], r["b"]) for r in QUERIES["close_entity_vectors"](spark, str(tmp_path)).collect()) == [(1, 2), (1, 3), (2, 3)]
