@@ -7,13 +7,12 @@ vector adds at most its length without the components read, times the length of
 the proof leaves few possible members, or once all is read; those are scored again exactly.
 
 A query first searches the block of its own vector; the score of its last place there is the floor under which no other block needs to
-prove anything. Every query meets every block: no vector is left out by a guess.
+prove anything. Every query meets every block: no vector is left out by a guess. They meet in cells of a few blocks and a share of the
+queries, so an index moves once for each share and a query once for each few blocks, not once for each chunk and block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -22,7 +21,8 @@ from skein.llm.common import ready
 from skein.session import fan_out, stage
 
 BLOCK = 4096  # classes of one block
-CHUNK = 256  # queries of one search task
+CHUNK = 256  # queries that are searched at once
+CELL_BLOCKS, CELL_QUERIES = 16, 1 << 15  # blocks and queries that meet in one task
 SHARE = 24  # reading stops once one in so many (query, vector) pairs is possible: scoring those is cheaper than reading on
 LARGEST = 1 << 24  # whole numbers beyond this could overflow sums
 
@@ -95,51 +95,66 @@ class Block:
 
 
 _FOUND = "query_class long, class_id long, score long, read long"
+_INDEX = "block int, classes array<long>, firsts array<long>, postings binary, impacts binary, segments binary, vectors binary"
 
 
-def _search_cells(k: int, at_home: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = block = None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if held != row.block:
-                    held, block = row.block, Block(row._asdict(), len(row.classes))
-                queries = np.frombuffer(row.queries, np.int32).reshape(len(row.floors), -1)
-                asked = np.flatnonzero((row.homes == row.block) == at_home)
-                if not len(asked):
+def _search_cell(k: int, at_home: bool):
+    """The k best classes of each query in a cell; with ``at_home`` queries meet the block they come from, else all others."""
+    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        none = tuple(np.zeros(0, np.int64) for _ in range(4))  # query number, score, smallest id and class
+        vectors = np.stack(queries["v"].to_numpy()) if len(queries) else None
+        homes, floors = queries["home"].to_numpy(), queries["floor"].to_numpy(copy=True)
+        chunks = [np.arange(start, min(start + CHUNK, len(queries))) for start in range(0, len(queries), CHUNK)]
+        held, read = [none] * len(chunks), [0] * len(chunks)
+        for row in index.itertuples(index=False) if chunks else ():
+            block = Block(row._asdict(), len(row.classes))
+            for i, chunk in enumerate(chunks):
+                some = chunk[(homes[chunk] == row.block) == at_home]
+                if not len(some):
                     continue
-                floors = row.floors[asked]
-                rows, at, scores, read = block.search(queries[asked], k, floors)
-                reached = scores >= floors[rows]
-                rows, at, scores = rows[reached], at[reached], scores[reached]
+                rows, at, scores, levels = block.search(vectors[some], k, floors[some])
+                reached = scores >= floors[some][rows]
+                rows, at, scores = some[rows[reached]], at[reached], scores[reached]
+                every = tuple(np.concatenate(x) for x in zip(held[i], (rows, scores, row.firsts[at], row.classes[at])))
                 # a row among the k best is of a class among the k best by score and smallest id
-                order = np.lexsort((row.firsts[at], -scores, rows))
-                rows, at, scores = rows[order], at[order], scores[order]
-                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                yield pd.DataFrame({"query_class": row.query_classes[asked[rows[best]]], "class_id": row.classes[at[best]], "score": scores[best], "read": read})
+                order = np.lexsort((every[2], -every[1], every[0]))
+                place = np.arange(len(order)) - np.searchsorted(every[0][order], every[0][order])
+                held[i] = tuple(x[order[place < k]] for x in every)
+                last = order[place == k - 1]  # what a class of the blocks to come has to reach
+                floors[every[0][last]] = np.maximum(floors[every[0][last]], every[1][last])
+                read[i] += levels
+        query, score, _, found = (np.concatenate(x) for x in zip(none, *held))
+        return pd.DataFrame({"query_class": queries["class_id"].to_numpy()[query], "class_id": found, "score": score,
+                             "read": np.repeat(np.array(read, np.int64), [len(h[0]) for h in held])})
 
     return run
 
 
-_INDEX = "block int, classes array<long>, firsts array<long>, postings binary, impacts binary, segments binary, vectors binary"
-_CHUNKS = "chunk long, query_classes array<long>, homes array<int>, floors array<double>, queries binary"
-
-
 def _index_block(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("class_id")
     return pd.DataFrame([{"block": group["block"].iloc[0], "classes": group["class_id"].tolist(), "firsts": group["first"].tolist(),
                           **build_index(np.stack(group["v"].to_numpy()).astype(np.int32))}])
 
 
-def _query_chunk(group: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([{"chunk": group["chunk"].iloc[0], "query_classes": group["class_id"].tolist(), "homes": group["block"].tolist(),
-                          "floors": group["floor"].tolist(), "queries": _bytes(np.stack(group["v"].to_numpy()))}])
+def cells_of(queries: int, blocks: int, tasks: int) -> tuple[int, int]:
+    """Groups of blocks and shares of queries: bounded cells, as many as keep ``tasks`` busy, with little copying."""
+    groups, shares = -(-blocks // CELL_BLOCKS), max(1, -(-queries // CELL_QUERIES))
+    while groups * shares < tasks:
+        # an index block is about as large as 3 BLOCK queries
+        if groups < blocks and queries * groups <= 3 * BLOCK * blocks * shares:
+            groups = min(2 * groups, blocks)
+        elif queries > shares * CHUNK:
+            shares *= 2
+        else:
+            break
+    return groups, shares
 
 
-def _cells(chunks: DataFrame, index: DataFrame, k: int, at_home: bool, name: str) -> DataFrame:
-    """Search the (chunk, block) pairs, dealt over tasks by both."""
-    cells = fan_out(chunks.join(index, "block"), "block", "chunk").sortWithinPartitions("block")
-    return stage(cells.mapInPandas(_search_cells(k, at_home), _FOUND), name)
+def _cells(queries: DataFrame, index: DataFrame, k: int, at_home: bool, name: str) -> DataFrame:
+    """Search the (queries, blocks) cells, dealt over tasks by both."""
+    keys = ["cell_group", "cell_share"]
+    sides = [fan_out(df, *keys).groupBy(*keys) for df in (queries, index)]
+    return stage(sides[0].cogroup(sides[1]).applyInPandas(_search_cell(k, at_home), _FOUND), name)
 
 
 def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64, block: int = BLOCK) -> DataFrame:
@@ -159,29 +174,25 @@ def exact_top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: in
     listed = ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asking = rows.groupBy("v").agg(F.max(asked).alias("asked"))
     classes = stage(listed.join(asking, "v").withColumn("class_id", F.monotonically_increasing_id()), "impact-classes")
-    count = classes.count()
+    count, n_asked = classes.agg(F.count(F.lit(1)), F.count_if("asked")).first()
     blocks = max(1, -(-count // block))
     placed = classes.withColumn("block", F.pmod(F.xxhash64("v", F.lit(11)), F.lit(blocks)).cast("int"))
     index = stage(placed.select("block", "class_id", F.col("ids")[0].alias("first"), "v").groupBy("block").applyInPandas(_index_block, _INDEX), "impact-index")
-    queries = placed.where("asked").select("class_id", "v", "block")
-
-    def chunks(source: DataFrame, number: Column, name: str) -> DataFrame:
-        return stage(source.withColumn("chunk", number).groupBy("chunk").applyInPandas(_query_chunk, _CHUNKS), name)
+    queries = placed.where("asked").select("class_id", "v", F.col("block").alias("home"))
 
-    parts = max(1, -(-block // (query_step * CHUNK)))  # a block's own queries, cut into chunks
-    at_home = chunks(queries.withColumn("floor", F.lit(float("-inf"))), F.col("block").cast("long") * parts + F.pmod(F.xxhash64("v", F.lit(13)), F.lit(parts)), "impact-home")
-    home = _cells(at_home.withColumn("block", F.col("homes")[0]), index, k + 1, True, "impact-near")
+    own = [F.lit(0).alias("cell_share"), F.lit(float("-inf")).alias("floor")]
+    home = _cells(queries.select("*", F.col("home").alias("cell_group"), *own), index.select("*", F.col("block").alias("cell_group"), own[0]), k + 1, True, "impact-near")
     # the floor of a query: the score that k + 1 rows of its own block reach
     counted = home.join(classes.select("class_id", F.size("ids").alias("n_rows")), "class_id")
     reach = Window.partitionBy("query_class").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     floors = counted.withColumn("reach", F.sum("n_rows").over(reach)).where(F.col("reach") > k).groupBy(
         F.col("query_class").alias("class_id")).agg(F.max("score").cast("double").alias("floor"))
     known = queries.join(floors, "class_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    groups = max(1, -(-count // (query_step * CHUNK)))
-    packed = chunks(known, F.pmod(F.xxhash64("v", F.lit(17)), F.lit(groups)), "impact-queries")
-    # every chunk meets every block; the queries skip their own one, which they have met
-    met = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = home.unionByName(_cells(met, index, k + 1, False, "impact-far")).select("query_class", "class_id", "score")
+    groups, shares = cells_of(n_asked, blocks, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    # every query meets every block; the one of its own, which it has met, is skipped
+    met = known.select("*", F.pmod(F.xxhash64("v", F.lit(17)), F.lit(shares)).cast("int").alias("cell_share"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell_group"))
+    spread = index.select("*", F.pmod("block", F.lit(groups)).alias("cell_group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("cell_share"))
+    found = home.unionByName(_cells(met, spread, k + 1, False, "impact-far")).select("query_class", "class_id", "score")
     exploded = found.join(classes.select("class_id", "ids"), "class_id").select("query_class", "class_id", "score", F.explode("ids").alias("vec_id"))
     by_score = Window.partitionBy("query_class").orderBy(F.col("score").desc(), "vec_id", "class_id")
     best = stage(exploded.withColumn("n", F.row_number().over(by_score)).where(F.col("n") <= k + 1), "impact-best")

@@ -79,3 +79,24 @@ def test_few_rows(spark):
 def test_query_on_given_vectors(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
     assert table(queries.QUERIES["op12_exact_top_k"](spark, SF)) == brute(rows)
+
+
+def test_index_moves_once_for_each_share_of_queries(spark, monkeypatch):
+    """Rows that hold an index block grow with the blocks, not with blocks times chunks of queries; cells stay bounded."""
+    moved, fan_out = [], impacts.fan_out
+
+    def counting(df, *keys):
+        if "postings" in df.columns:
+            moved.append(df.count())
+        return fan_out(df, *keys)
+
+    monkeypatch.setattr(impacts, "fan_out", counting)
+    monkeypatch.setattr(impacts, "CHUNK", 8)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 2)]) for i in range(640)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4, "x") for i, v in rows], KINDS)
+    assert table(impacts.exact_top_k(df, k=3, query_step=2, block=20)) == brute(rows, 3, 2)
+    assert moved and max(moved) <= 32  # 32 blocks, which 40 chunks of queries meet
+    for queries_, blocks, tasks in ((31_000, 150, 16), (31_000, 150, 1000), (10, 1, 64), (0, 1, 16), (1 << 18, 3, 8)):
+        groups, shares = impacts.cells_of(queries_, blocks, tasks)
+        assert -(-blocks // groups) <= impacts.CELL_BLOCKS and -(-queries_ // shares) <= impacts.CELL_QUERIES and groups <= blocks
