@@ -161,3 +161,70 @@ def test_equal_questions_are_worked_out_once(spark, data, monkeypatch):
         of = {i: sorted(map(str, part.where(F.col("query_id") == i).drop("query_id").collect())) for i in (1, 2, 3, 4, 6)}
         assert of[1] == of[2] == of[6]
     assert {r.query_id: r.budget for r in got.summary.collect()} == {1: 3600, 2: 3600, 3: 40, 4: 3600, 5: 3600, 6: 3600}
+
+
+def awkward_links(spark):
+    """Questions, nodes, links and chunks with copies, vectors of length zero, of other lengths and without numbers, and lost rows."""
+    import random
+    rng = random.Random(3)
+    base = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(30)] + [[0.0] * 4, [1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 1e-7], [2.0, 0.0, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [1.0], []]
+    chunks = [(i, 5, 0, "x" * rng.randint(0, 90) if i % 11 else None, rng.choice(base) if i % 13 else None, T0) for i in range(-20, 280)]
+    links = [(rng.randint(-30, 290), rng.randint(0, 40)) for _ in range(700)] + [(None, 3), (4, None)]
+    links += links[:50]
+    asked = [(q, rng.choice(base) if q != 7 else None, rng.randint(0, 120), rng.randint(0, 120)) for q in range(30)]
+    asked += [(50, base[0], 40, 40), (50, base[0], 40, 40)]
+    seeds = [(q, rng.randint(0, 40)) for q, *_ in asked for _ in range(2) if q != 9] + [(60, 1)]
+    nodes = [(q, rng.randint(0, 60), h) for q, *_ in asked for h in (1, 1, 2) if q != 9]
+    return [spark.createDataFrame(rows, schema) for rows, schema in (
+        (asked, "query_id long, embedding array<float>, seed_budget int, hop_budget int"), (seeds, "query_id long, entity_id long"),
+        (nodes, "query_id long, entity_id long, hop int"), (links, "chunk_id long, entity_id long"),
+        (chunks, "chunk_id long, source_id long, chunk_index int, text_content string, embedding array<float>, created_at timestamp_ntz"))]
+
+
+def test_chunks_chosen_in_shares_equal_those_chosen_by_rows(spark, data, monkeypatch):
+    from skein.operators import contexts
+    asked, seeds, nodes, links, chunks = awkward_links(spark)
+    graph = replace(data, chunks=chunks, chunk_entities=links)
+    fixed = asked.withColumn("elastic", F.col("seed_budget") + F.col("hop_budget"))
+    once = asked.groupBy("query_id").count().where("count = 1").select("query_id")
+    own = [df.join(once, "query_id", "left_semi") for df in (seeds, nodes, asked, fixed)]
+    chosen, counts = R._choose_by_rows(*own, graph, DEFAULTS)
+    rooms = asked.withColumnsRenamed({"seed_budget": "seed_room", "hop_budget": "hop_room"})
+    staged, stage = {}, contexts.stage
+
+    def counting(df, name, *rest):
+        out = stage(df, name, *rest)
+        staged[name] = out.count()
+        return out
+
+    def rows(df):
+        return sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+
+    monkeypatch.setattr(contexts, "stage", counting)
+    pairs = R.linked_chunks(seeds, nodes, links).count()
+    for limits in ({}, {"SHARE_PAIRS": 64, "LEAST_PAIRS": 16, "SLICE_PAIRS": 20}, {"HELD_VALUES": 64, "LEAST_PAIRS": 8}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(contexts, name, value)
+            found = contexts.choose_chunks(rooms, R.node_members(seeds, nodes), links, chunks, R.chunk_vectors(chunks))
+        assert rows(found[0]) == rows(chosen) and rows(found[1]) == rows(counts.select("query_id", "fetched", "survived"))
+        assert [r.query_id for r in found[2].collect()] == [50]  # it comes twice
+    assert chosen.count() > 50 and max(staged.values()) < pairs / 2, (staged, pairs)  # no row for each pair
+
+
+def test_questions_of_many_links_and_repeated_chunks_go_by_rows(spark):
+    from skein.operators import contexts
+    asked, seeds, nodes, links, chunks = awkward_links(spark)
+    rooms = asked.withColumnsRenamed({"seed_budget": "seed_room", "hop_budget": "hop_room"})
+    members = R.node_members(seeds, nodes)
+    told = [contexts.choose_chunks(rooms, members, links, c, R.chunk_vectors(c), replace(DEFAULTS, dedup_block_rows=n)) for c, n in ((chunks, 90), (chunks.unionByName(chunks.limit(5)), 4096))]
+    some, every = [{r.query_id for r in rest.collect()} for _, _, rest in told]
+    assert {50} < some < every and told[0][1].count() > 0 and told[1][1].count() == 0
+    assert not some & {r.query_id for r in told[0][1].collect()}
+
+
+@pytest.mark.parametrize("x", [0.1234565, -0.1234565, 0.5, 0.0000005, 0.0000004999, 1.0, -0.9999995, 0.3333335, 2 / 3])
+def test_rounds_like_the_engine(spark, x):
+    import numpy as np
+    from skein.operators.contexts import _rounded
+    assert _rounded(np.array([x]))[0] == spark.range(1).select(F.round(F.lit(x), 6)).first()[0]
