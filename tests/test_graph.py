@@ -106,3 +106,39 @@ def test_induced_edges_around_hubs_make_no_row_for_every_two_nodes(spark):
     rows = [(r.query_id, r.relation_id, r.hop) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
     assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limits", [{}, {"REACH_PAIRS": 40, "REACH_MARKS": 50}])
+def test_last_hop_meets_all_where_the_neighbours_are(spark, monkeypatch, limits):
+    """Against a walk in memory, with hubs, self-loops, lost seeds and small batches; no exchange after the last hop's rows exist."""
+    import random
+    for name, value in limits.items():
+        monkeypatch.setattr(graph, name, value)
+    rng = random.Random(4)
+    ends = [(i, 0 if i % 3 else 1) for i in range(2, 120)] + [(rng.randint(0, 150), rng.randint(0, 150)) for _ in range(60)] + [(5, 5), (-7, 3), (None, 4), (4, None)]
+    seeds = [(q, rng.randint(-10, 150)) for q in range(40) for _ in range(2)] + [(-3, 0), (-3, 0), (99, 10_000), (98, 5), (97, None)]
+    near = {}
+    for a, b in ends:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    wanted = {}
+    for q, e in seeds:
+        wanted[q, e] = 0
+    for hop in (1, 2):
+        for (q, e), h in list(wanted.items()):
+            for n in near.get(e, ()) if h == hop - 1 else ():
+                wanted.setdefault((q, n), hop)
+    asked = spark.createDataFrame(seeds, "query_id long, entity_id long")
+    relations = spark.createDataFrame([(i, *e) for i, e in enumerate(ends)], "relation_id long, source_entity_id long, target_entity_id long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (before, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            found = graph.reach(asked, relations)
+            got = [((r.query_id, r.entity_id), r.hop) for r in found.collect()]
+            assert len(got) == len(wanted) and dict(got) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "LeftAnti" not in plan
