@@ -54,8 +54,7 @@ def entity_context(wanted: DataFrame, entities: DataFrame, relations: DataFrame,
     kept = greedy_dedup(scored.drop("cost"), ["query_id"], ["neg_sim", "chunk_id"], "chunk_id",
                         chunk_vectors(chunks, settings), settings).select(
         F.col("query_id").alias("entity_id"), "chunk_id", "neg_sim")
-    told = kept.join(chunk_entries(chunks, sources), "chunk_id").withColumn("cost", T.estimate_tokens(F.col("entry")))
-    ordered = budget_prefix(told.drop("entry", "text").join(room, "entity_id"), ["entity_id"], [F.col("neg_sim"), F.col("chunk_id")],
+    ordered = budget_prefix(kept.join(entry_costs(chunks, sources), "chunk_id").join(room, "entity_id"), ["entity_id"], [F.col("neg_sim"), F.col("chunk_id")],
                             "cost", F.col("room"), base)
     chosen = stage(ordered.drop("room"), "wiki-chunks")
 
@@ -65,16 +64,26 @@ def entity_context(wanted: DataFrame, entities: DataFrame, relations: DataFrame,
     return EntityContext(edges, chosen, known, budget)
 
 
-def chunk_entries(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks as citable entries: ``(chunk_id, source_id, source_file, chunk_index, ingested_at, text, entry)``."""
-    named = chunks.select("chunk_id", "source_id", "chunk_index", F.coalesce("text_content", F.lit("")).alias("text"),
-                          F.coalesce(iso(F.col("created_at")), F.lit("")).alias("ingested_at")).join(
+def _named_chunks(chunks: DataFrame, sources: DataFrame, *more: Column) -> DataFrame:
+    """``(chunk_id, source_id, source_file, chunk_index, ingested_at, ...)`` and what opens a chunk's entry as ``head``."""
+    named = chunks.select("chunk_id", "source_id", "chunk_index", *more, F.coalesce(iso(F.col("created_at")), F.lit("")).alias("ingested_at")).join(
         sources.select("source_id", "file_name"), "source_id", "left").withColumn(
         "source_file", F.coalesce("file_name", F.lit("unknown"))).drop("file_name")
-    entry = F.concat(
+    return named.withColumn("head", F.concat(
         F.lit("---\n["), F.col("source_file"), F.lit(":"), F.col("chunk_index").cast("string"), F.lit("] (source: "),
-        F.col("source_file"), F.lit(", ingested: "), F.col("ingested_at"), F.lit(")\n"), F.col("text"))
-    return named.withColumn("entry", entry)
+        F.col("source_file"), F.lit(", ingested: "), F.col("ingested_at"), F.lit(")\n")))
+
+
+def chunk_entries(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks as citable entries: ``(chunk_id, source_id, source_file, chunk_index, ingested_at, text, entry)``."""
+    named = _named_chunks(chunks, sources, F.coalesce("text_content", F.lit("")).alias("text"))
+    return named.withColumn("entry", F.concat("head", "text")).drop("head")
+
+
+def entry_costs(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """``chunk_entries`` with the tokens of the entry as ``cost`` instead of the texts, of which only the lengths move."""
+    named = _named_chunks(chunks, sources, F.length(F.coalesce("text_content", F.lit(""))).alias("chars"))
+    return named.withColumn("cost", T.tokens_of(F.length("head") + F.col("chars"))).drop("head", "chars")
 
 
 def mentioned(wanted: DataFrame, chosen: DataFrame, entities: DataFrame, chunks: DataFrame, links: DataFrame,

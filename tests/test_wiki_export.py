@@ -136,3 +136,19 @@ def test_names_are_sought_in_texts_of_their_own_sources_only(spark, monkeypatch)
     chosen = spark.createDataFrame([(1, 10), (3, 11)], "entity_id long, chunk_id long")
     got = W.mentioned(wanted, chosen, entities, chunks, links, sources)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 2), (1, 4), (1, 6), (3, 3)]
+
+
+def test_entry_costs_move_lengths_and_equal_those_of_the_entries(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from skein.functions import text as T
+    from skein.operators import wiki as W
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, 5, 0, "x" * 41, at), (2, 5, 1, None, None), (3, 9, 2, "é\U0001F600y", at), (4, None, 3, "", at), (5, 5, None, "abc", at), (None, 5, 4, "z" * 9, at)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_id long, chunk_index int, text_content string, created_at timestamp_ntz")
+    sources = spark.createDataFrame([(5, "f5.txt")], "source_id long, file_name string")
+    costs = W.entry_costs(chunks, sources)
+    entries = W.chunk_entries(chunks, sources).withColumn("cost", T.estimate_tokens(F.col("entry"))).drop("entry", "text")
+    assert sorted(map(repr, costs.collect())) == sorted(map(repr, entries.select(costs.columns).collect())) and set(costs.columns) == set(entries.columns)
+    plan = costs.select("chunk_id", "cost")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text_content" not in plan.split("Join")[0]
